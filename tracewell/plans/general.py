@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators import timeline
-from tracewell.session import standing, table
+from tracewell.operators import changes, hierarchy, orphans, timeline
+from tracewell.session import blank_to_null, cut, standing, table
 
 
 def hit_times(spark: SparkSession, d: str, costs: timeline.Costs = timeline.Costs()) -> DataFrame:
@@ -32,3 +32,185 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     hits = part(hit_times(spark, d), "search_hits", "turn_id", "ts")
     messages = part(message_times(spark, d), "oc_message", "id", "time_created")
     return hits.unionByName(messages).dropDuplicates()
+
+
+def session_tree(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
+    nodes = standing(table(spark, d, "oc_session").select("id", "parent_id", "time_updated"), "id", ["time_updated"])
+    return hierarchy.hierarchy(nodes, "id", "parent_id", paths)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    nodes = cut(standing(table(spark, d, "oc_session").select("id", "parent_id", "time_updated"), "id", ["time_updated"]))
+    tree = hierarchy.hierarchy(nodes, "id", "parent_id", paths=False)
+    # a child of a missing parent is a root of depth 0, yet has a parent_id
+    linked = nodes.where("parent_id <> ''").select("id")
+    return tree.join(linked, "id", "left_semi").select("id", "root_id", "depth")
+
+
+def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Each session with its path, depth, root and number of descendants."""
+    tree = cut(session_tree(spark, d))
+    below = hierarchy.descendants(tree).groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n_descendants"))
+    return tree.join(below, "id", "left").select(
+        "id", "root_id", "depth", F.concat_ws("/", "path").alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants")
+    )
+
+
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(session_tree(spark, d))
+
+
+LOG_PARTITIONS = 32
+
+
+def scan_log(spark: SparkSession, d: str) -> DataFrame:
+    """file_scan as an append log: part, offset (landing time, scan id, hash), path, version."""
+    rows = table(spark, d, "file_scan").select("scan_id", "path", "hash", "seen_at", "landed_at").where("path IS NOT NULL AND landed_at IS NOT NULL")
+    value = F.lower("hash")
+    return rows.select(
+        changes.log_partition(["path", "scan_id"], LOG_PARTITIONS).alias("part"),
+        changes.epoch_us(F.col("landed_at")).alias("landed"),
+        F.struct(changes.epoch_us(F.col("landed_at")).alias("landed"), F.col("scan_id")).alias("offset"),
+        "path",
+        F.struct(changes.epoch_us(F.col("seen_at")).alias("seen"), F.lit(1).alias("scan"), F.col("scan_id")).alias("version"),
+        value.alias("value"),
+    )
+
+
+def run_plan(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
+    runs = table(spark, d, "index_runs").where("started_at IS NOT NULL").dropDuplicates(["run_id"])
+    runs = runs.select("run_id", changes.epoch_us(F.col("started_at")).alias("started"), F.coalesce(F.col("status") == "ok", F.lit(False)).alias("ok"))
+    return changes.write_ahead(changes.batch_plan(log, runs, "part", "offset", "landed", LOG_PARTITIONS))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    log = scan_log(spark, d)
+    plan = run_plan(spark, d, log)
+    files = standing(table(spark, d, "index_files").select("path", "hash", "indexed_at"), "path", ["indexed_at"])
+    base = files.select(
+        "path",
+        F.struct((F.col("indexed_at") * 1_000_000).alias("seen"), F.lit(0).alias("scan"), F.lit(None).cast("long").alias("scan_id")).alias("version"),
+        F.lower("hash").alias("value"),
+    )
+    batches = changes.committed_batches(log, plan, "part", "offset")
+    return changes.changed(batches, base, "path", "version", "value")
+
+
+def p3_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Records per run of the write-ahead plan, replays included."""
+    plan = run_plan(spark, d, scan_log(spark, d))
+    return plan.groupBy("run_id", "committed").agg(F.sum("records").alias("records"))
+
+
+def symbol_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Every reference with the key it needs: ``u:`` a uid, ``l:`` a leaf."""
+    edges = table(spark, d, "index_edges").select("id", "dst", "resolved", "target", "indexed_at")
+    dst = F.regexp_replace(blank_to_null("dst"), r"^\./", "")
+    edge_key = F.when(dst.isNotNull(), F.concat(F.lit("u:"), dst)).when(
+        F.col("resolved") == 1, F.concat(F.lit("l:"), orphans.leaf(F.regexp_replace("target", r"^\s+|\s+$", "")))
+    )
+    names = table(spark, d, "ruby_hybrid_unresolved").where("op = 'added'")
+    period = F.date_format(F.timestamp_seconds("indexed_at"), "yyyy-MM").alias("period")
+    return (
+        edges.select(F.lit("index_edges").alias("table_name"), F.col("id").alias("ref_id"), period, edge_key.alias("key"))
+        .unionByName(
+            names.select(
+                F.lit("ruby_hybrid_unresolved").alias("table_name"),
+                F.col("id").alias("ref_id"),
+                period,
+                F.concat(F.lit("l:"), orphans.leaf(blank_to_null("name"))).alias("key"),
+            )
+        )
+        .where("key IS NOT NULL")
+        .dropDuplicates()
+    )
+
+
+def symbol_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of every symbol that exists: live rows of index_symbols and core_symbols."""
+    live = table(spark, d, "index_symbols").where("dropped_at IS NULL").select("uid", "name")
+    every = live.unionByName(table(spark, d, "core_symbols").select("uid", "name"))
+    both = F.array(F.concat(F.lit("u:"), "uid"), F.concat(F.lit("l:"), orphans.leaf(F.col("name"))))
+    return every.select(F.explode(both).alias("key")).where("key IS NOT NULL").distinct()
+
+
+def pending_references(spark: SparkSession, d: str) -> orphans.OrphanState:
+    refs = symbol_refs(spark, d)
+    return orphans.OrphanState.empty(refs, "key").apply(refs=refs, arrived=symbol_keys(spark, d), keep_resolved=False)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pending_references(spark, d).pending.select("table_name", "ref_id", "period")
+
+
+def p5_orphans_per_period(spark: SparkSession, d: str) -> DataFrame:
+    return pending_references(spark, d).snapshot("table_name", "period")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p2_found": p2_found,
+    "p2_hierarchy": p2_hierarchy,
+    "p2_descendants": p2_descendants,
+    "p3_found": p3_found,
+    "p3_plan": p3_plan,
+    "p5_found": p5_found,
+    "p5_orphans_per_period": p5_orphans_per_period,
+}
+
+_STANDING = """
+  st AS (SELECT id, nullif(parent_id, '') AS parent_id FROM (
+    SELECT *, row_number() OVER (PARTITION BY id ORDER BY time_updated DESC, parent_id DESC) AS rn FROM oc_session WHERE id IS NOT NULL) WHERE rn = 1),
+  walk(id, cur, depth, seen) AS (
+    SELECT id, id, 0, [id] FROM st
+    UNION ALL
+    SELECT w.id, p.id, w.depth + 1, list_append(w.seen, p.id) FROM walk w JOIN st s ON s.id = w.cur JOIN st p ON p.id = s.parent_id
+    WHERE NOT list_contains(w.seen, p.id)),
+  last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY depth DESC) AS rn FROM walk) WHERE rn = 1),
+  tree AS (
+    SELECT l.id, l.cur, l.depth, l.seen, s.parent_id AS up, p.id IS NOT NULL AS caught
+    FROM last l JOIN st s ON s.id = l.cur LEFT JOIN st p ON p.id = s.parent_id),
+  named AS (
+    SELECT id, CASE WHEN caught THEN list_min(seen[list_position(seen, up):]) ELSE cur END AS root_id,
+      CASE WHEN caught THEN -1 ELSE depth END AS depth, CASE WHEN caught THEN '' ELSE array_to_string(list_reverse(seen), '/') END AS path, seen, caught
+    FROM tree)
+"""
+_STATES = """
+  r AS (SELECT DISTINCT run_id, started_at FROM index_runs WHERE status = 'ok'),
+  f AS (SELECT path, lower(hash) AS hash, indexed_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY path ORDER BY indexed_at DESC) AS rn FROM index_files) WHERE rn = 1),
+  v AS (
+    SELECT path, lower(hash) AS hash, seen_at AS seen, 1 AS scan, scan_id, landed_at FROM file_scan
+    UNION ALL SELECT path, hash, make_timestamp(indexed_at * 1000000), 0, -1, NULL FROM f),
+  s AS (
+    SELECT run_id, started_at, path, hash FROM (
+      SELECT r.run_id, r.started_at, v.*, row_number() OVER (PARTITION BY r.run_id, path ORDER BY seen DESC, scan DESC, scan_id DESC) AS rn
+      FROM r JOIN v ON v.landed_at IS NULL OR v.landed_at <= r.started_at) WHERE rn = 1
+    UNION ALL SELECT 0, TIMESTAMP '1970-01-01', path, hash FROM f),
+  g AS (SELECT *, lag(hash) OVER (PARTITION BY path ORDER BY started_at) AS was FROM s)
+"""
+_REFS = """
+  a AS (SELECT uid, name FROM index_symbols WHERE dropped_at IS NULL UNION ALL SELECT uid, name FROM core_symbols),
+  u AS (SELECT DISTINCT uid FROM a),
+  l AS (SELECT DISTINCT regexp_replace(name, '^.*(::|#|[.])', '') AS leaf FROM a),
+  e AS (SELECT DISTINCT id, nullif(regexp_replace(trim(coalesce(dst, ''), ' ' || chr(9) || chr(10) || chr(13)), '^[.]/', ''), '') AS dst, resolved, target, indexed_at FROM index_edges),
+  o AS (
+    SELECT 'index_edges' AS table_name, id AS ref_id, indexed_at FROM e
+    WHERE (dst IS NOT NULL AND dst NOT IN (SELECT uid FROM u))
+       OR (dst IS NULL AND resolved = 1 AND regexp_replace(trim(target), '^.*(::|#|[.])', '') NOT IN (SELECT leaf FROM l))
+    UNION ALL
+    SELECT DISTINCT 'ruby_hybrid_unresolved', id, indexed_at FROM ruby_hybrid_unresolved
+    WHERE op = 'added' AND regexp_replace(trim(name, ' ' || chr(9) || chr(10) || chr(13)), '^.*(::|#|[.])', '') NOT IN (SELECT leaf FROM l)),
+  p AS (SELECT table_name, ref_id, strftime(make_timestamp(indexed_at * 1000000), '%Y-%m') AS period FROM o)
+"""
+ORACLES = {
+    "p2_found": f"WITH RECURSIVE {_STANDING} SELECT n.id, n.root_id, n.depth FROM named n JOIN st USING (id) WHERE st.parent_id IS NOT NULL",
+    "p2_hierarchy": f"""WITH RECURSIVE {_STANDING}, below AS (
+      SELECT a AS id, count(*) AS n FROM (SELECT unnest(seen[2:]) AS a FROM named WHERE NOT caught) GROUP BY a)
+      SELECT n.id, n.root_id, n.depth, n.path, coalesce(b.n, 0) AS n_descendants FROM named n LEFT JOIN below b USING (id)""",
+    "p2_descendants": f"""WITH RECURSIVE {_STANDING} SELECT seen[i] AS ancestor, id AS descendant, i - 1 AS distance
+      FROM (SELECT id, seen, unnest(range(2, len(seen) + 1)) AS i FROM named WHERE NOT caught)""",
+    "p3_found": f"WITH {_STATES} SELECT run_id, path FROM g WHERE run_id > 0 AND hash IS NOT NULL AND hash IS DISTINCT FROM was",
+    "p5_found": f"WITH {_REFS} SELECT table_name, ref_id, period FROM p",
+    "p5_orphans_per_period": f"WITH {_REFS} SELECT table_name, period, count(*) AS orphans FROM p GROUP BY ALL",
+}

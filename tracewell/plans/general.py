@@ -17,7 +17,10 @@ def hit_times(spark: SparkSession, d: str, costs: timeline.Costs = timeline.Cost
 
 def message_times(spark: SparkSession, d: str, costs: timeline.Costs = timeline.Costs()) -> DataFrame:
     """oc_message, one row per id and text, with its session's agent and ``utc_ms``."""
-    messages = table(spark, d, "oc_message").dropDuplicates(["id", "session_id", "time_created", "data"])
+    return time_messages(spark, d, table(spark, d, "oc_message").select("id", "session_id", "time_created").dropDuplicates(), costs)
+
+
+def time_messages(spark: SparkSession, d: str, messages: DataFrame, costs: timeline.Costs = timeline.Costs()) -> DataFrame:
     sessions = standing(table(spark, d, "oc_session"), "id", ["time_updated"]).select(F.col("id").alias("session_id"), "agent")
     known = messages.join(sessions, "session_id", "left")
     return timeline.read_times(known, "time_created", "agent", "session_id", ["id"], timeline.clocks(table(spark, d, "agent_clocks")), costs)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import sources
+from tracewell.llm import conversations, sources
+from tracewell.plans import general
 from tracewell.session import standing, table
 
 
@@ -24,5 +25,27 @@ def p4_origins_by_language(spark: SparkSession, d: str) -> DataFrame:
     return file_origins(spark, d).groupBy("language").agg(F.count("*").alias("files"), *[F.count_if(k).alias(k) for k in kinds])
 
 
-QUERIES = {"p4_found": p4_found, "p4_origins_by_language": p4_origins_by_language}
+def conversation_turns(spark: SparkSession, d: str, texts: bool, max_offset_ms: int = 0) -> DataFrame:
+    # the data column is read to role and reply link before the times are sorted out
+    read = conversations.read_messages(table(spark, d, "oc_message").dropDuplicates(["id"])).drop("data")
+    timed = general.time_messages(spark, d, read)
+    return conversations.rebuild(timed, conversations.read_parts(table(spark, d, "oc_part"), texts), table(spark, d, "oc_session"), max_offset_ms)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    # times are to be taken as they stand: the clocks are trusted
+    return conversation_turns(spark, d, texts=False).select("session_id", "turn_no", "message_id")
+
+
+def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """The turns kept with role, moment and text; sender clocks may be off by a day."""
+    return conversation_turns(spark, d, texts=True, max_offset_ms=86_400_000)
+
+
+QUERIES = {
+    "p4_found": p4_found,
+    "p4_origins_by_language": p4_origins_by_language,
+    "p6_found": p6_found,
+    "p6_conversations": p6_conversations,
+}
 ORACLES: dict[str, str] = {}

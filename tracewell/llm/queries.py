@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import conversations, sources
+from tracewell.llm import conversations, mixing, packing, sources, tokens
 from tracewell.plans import general
-from tracewell.session import standing, table
+from tracewell.session import cut, standing, table
 
 
 def file_origins(spark: SparkSession, d: str) -> DataFrame:
@@ -42,10 +42,42 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversation_turns(spark, d, texts=True, max_offset_ms=86_400_000)
 
 
+def document_sizes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", *columns, tokens.token_count(F.col("text")).alias("tokens"))
+
+
+def p7_pack(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(document_sizes(spark, d), table(spark, d, "pack_specs"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_pack(spark, d), table(spark, d, "pack_specs"))
+
+
+def mixture(spark: SparkSession, d: str) -> tuple[DataFrame, list[mixing.Source]]:
+    sized = document_sizes(spark, d, "source").where("source IS NOT NULL").withColumn("source", mixing.source_name(F.col("source")))
+    sized = cut(sized.where("tokens > 0"))
+    sources_ = mixing.plan(sized, table(spark, d, "mix_targets"))
+    return mixing.mix(sized, sources_), sources_
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return mixture(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(*mixture(spark, d))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_origins_by_language": p4_origins_by_language,
     "p6_found": p6_found,
     "p6_conversations": p6_conversations,
+    "p7_pack": p7_pack,
+    "p7_fill": p7_fill,
+    "p8_mixture": p8_mixture,
+    "p8_shares": p8_shares,
 }
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import conversations, mixing, packing, sources, tokens
+from tracewell.llm import conversations, languages, mixing, packing, sources, tokens
 from tracewell.plans import general
 from tracewell.session import cut, standing, table
 
@@ -70,6 +70,27 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*mixture(spark, d))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """The languages of each document whose set of them is not the one its label names."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    net = languages.fit(docs)
+    # the label rides along with the text: no join
+    read = languages.document_languages(docs.withColumn("label", languages.label_language(F.col("lang"))), net, "label")
+    right = (F.size("found") == 1) & F.coalesce(F.col("found")[0]["lang"] == F.col("label"), F.lit(False))
+    return read.where(~right).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.lang")
+
+
+def p9_languages(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's languages with confidence and number of full sentences."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return languages.document_languages(docs, languages.fit(docs)).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
+
+
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    return languages.segments(docs, languages.fit(docs))
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_origins_by_language": p4_origins_by_language,
@@ -79,5 +100,8 @@ QUERIES = {
     "p7_fill": p7_fill,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_languages": p9_languages,
+    "p9_segments": p9_segments,
 }
 ORACLES: dict[str, str] = {}

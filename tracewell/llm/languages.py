@@ -27,8 +27,8 @@ LANGUAGES = sorted(NAMES)
 WINDOW, DIM, WIDTHS, FILTERS = 96, 8, (2, 3, 4, 5), 12
 WIDE = max(WIDTHS)
 #: Bounds of the training sample: documents and sentences per language, sentences per document.
-SAMPLE_DOCUMENTS, SAMPLE_SENTENCES, PER_DOCUMENT = 400, 2500, 15
-TRUSTED = 3  # documents that must agree on a sentence for its label to stand by itself
+SAMPLE_DOCUMENTS, SAMPLE_SENTENCES, PER_DOCUMENT = 400, 4500, 40
+AGREE = 0.8  # share of a document's sentences that must agree with its label for it to teach
 SURE = 0.9  # least confidence at which a sentence counts
 CACHE = 200_000  # sentences a worker remembers
 
@@ -229,37 +229,52 @@ def fit(documents: DataFrame) -> Network:
     return learn([(r["doc_id"], r["label"], r["text"]) for r in sample])
 
 
-def learn(sample: list[tuple[int, str, str]]) -> Network:
-    """A network from (document id, label, text) rows, some of them labelled wrongly."""
-    rng = np.random.default_rng(11)
-    # a sentence's votes: in how many documents of each label it stands, by the label's size
+def _examples(docs: list[tuple[int, list[str]]], most: int, rng: np.random.Generator) -> tuple[list[str], np.ndarray]:
+    """Sentences with the label most of their documents give them (by the label's
+    size), what stands in many documents first and more than once."""
     votes: dict[str, np.ndarray] = {}
     size = np.ones(len(LANGUAGES))
-    for _, label, text in sorted(sample):
-        k = LANGUAGES.index(label)
+    for k, found in docs:
         size[k] += 1
-        found = list(dict.fromkeys(s for _, _, s in sentences(text)))
-        for i in rng.permutation(len(found))[:PER_DOCUMENT]:
-            votes.setdefault(found[i], np.zeros(len(LANGUAGES)))[k] += 1
+        for s in found:
+            votes.setdefault(s, np.zeros(len(LANGUAGES)))[k] += 1
     held: list[list[tuple[str, int]]] = [[] for _ in LANGUAGES]
     for s in sorted(votes):
         v = votes[s] / size
         if v.max() > 0.6 * v.sum():
             held[int(v.argmax())].append((s, int(votes[s].max())))
-    texts, labels, trusted = [], [], []
+    texts, labels = [], []
     for i, mine in enumerate(held):
         mine = [mine[j] for j in rng.permutation(len(mine))]
-        for s, n in sorted(mine, key=lambda x: -min(x[1], TRUSTED))[:SAMPLE_SENTENCES]:
-            times = 1 + int(np.log2(n))  # what stands in many documents is seen more often
+        for s, n in sorted(mine, key=lambda x: -min(x[1], 3))[:most]:
+            times = 1 + int(np.log2(n))
             texts += [s] * times
             labels += [i] * times
-            trusted += [n >= TRUSTED] * times
-    labels = np.array(labels, dtype=int)
-    if not len(labels):
+    return texts, np.array(labels, dtype=int)
+
+
+def learn(sample: list[tuple[int, str, str]]) -> Network:
+    """A network from (document id, label, text) rows, some of them labelled wrongly.
+
+    A first, short training reads every sampled document; those whose sentences
+    contradict their label (wrong or mixed) are left out of the second.
+    """
+    rng = np.random.default_rng(11)
+    docs = []
+    for _, label, text in sorted(sample):
+        found = list(dict.fromkeys(s for _, _, s in sentences(text)))
+        docs.append((LANGUAGES.index(label), [found[i] for i in rng.permutation(len(found))[:PER_DOCUMENT]]))
+    texts, labels = _examples(docs, SAMPLE_SENTENCES // 3, rng)
+    if not texts:
         return Network.fresh(rng)
-    guess = train(texts, labels, epochs=3).classify(texts)[0]
-    kept = np.flatnonzero((guess == labels) | np.array(trusted))
-    return train([texts[i] for i in kept], labels[kept])
+    every = sorted({s for _, found in docs for s in found})
+    guess = dict(zip(every, train(texts, labels, epochs=3).classify(every)[0].tolist()))
+    agree = [(k, [s for s in found if guess[s] == k]) for k, found in docs if found and sum(guess[s] == k for s in found) >= AGREE * len(found)]
+    again, more = _examples(agree, SAMPLE_SENTENCES, rng)
+    known = set(more.tolist())
+    # a language whose documents were all doubted keeps its first examples
+    extra = [i for i, k in enumerate(labels) if k not in known]
+    return train(again + [texts[i] for i in extra], np.concatenate([more, labels[extra]]))
 
 
 class Reader:

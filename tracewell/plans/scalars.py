@@ -1,0 +1,261 @@
+"""Filters, predicates and scalar functions (FLT, FN) over the stored tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracewell.functions import paths as P
+from tracewell.functions import text as T
+from tracewell.plans.registry import Registry
+from tracewell.session import table
+from tracewell.sources import relations as R
+
+reg = Registry(R.CTES)
+QUERIES, ORACLES = reg.queries, reg.oracles
+
+@reg("SELECT path, lower(basename) AS basename, dir_base FROM (SELECT path, regexp_extract(path, '[^/]*$') AS basename, coalesce(nullif(split_part(regexp_replace(path, '/?[^/]*$', ''), '/', -1), ''), '') AS dir_base FROM files)", "files")
+def path_parts(spark, d):
+    p = T.path_parts(F.col("path"))
+    return R.files(spark, d, "id").select("path", F.lower(p["basename"]).alias("basename"), p["dir_base"].alias("dir_base"))
+
+
+@reg(
+    """SELECT id, array_to_string(list_filter(list_transform(regexp_split_to_array(
+      regexp_replace(regexp_replace(name, '(\\p{Ll})(\\p{Lu})', '\\1_\\2', 'g'), '([^_\\-.:#])(\\p{Lu}\\p{Ll})', '\\1_\\2', 'g'), '[_\\-.:#]+'), lambda w: lower(w)), lambda w: w <> ''), ' ') AS words
+      FROM symbols""",
+    "symbols",
+)
+def ident_words(spark, d):
+    return R.symbols(spark, d).select("id", F.array_join(T.split_ident_words(F.col("name")), " ").alias("words"))
+
+
+@reg(
+    """SELECT turn_id, regexp_replace(regexp_replace(lower(text), '\\s+', ' ', 'g'), '^[[:punct:]\\s]+|[[:punct:]\\s]+$', '', 'g') AS norm,
+      len(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: strlen(w) >= 2))) AS words
+      FROM turns WHERE text IS NOT NULL""",
+    "turns",
+)
+def normalized_turns(spark, d):
+    t = R.turns(spark, d).where("text IS NOT NULL")
+    return t.select("turn_id", T.normalize(F.col("text")).alias("norm"), F.size(T.concept_words(F.col("text"))).alias("words"))
+
+
+@reg(
+    """WITH g AS (SELECT event_id, list_distinct(list_transform(range(1, greatest(length(t) - 1, 2)), lambda i: substr(t, i, 3))) AS a, list_distinct(list_transform(range(1, greatest(length(u) - 1, 2)), lambda i: substr(u, i, 3))) AS b
+      FROM (SELECT event_id, event_type AS t, lower(coalesce(lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), '')) AS u FROM events) WHERE u <> '')
+      SELECT event_id, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS similarity FROM g"""
+)
+def gram_jaccard(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, d, "events").select("event_id", "event_type", F.lead("event_type").over(w).alias("u")).where("u IS NOT NULL")
+    return e.select("event_id", F.round(T.jaccard(T.char_grams(F.col("event_type")), T.char_grams(F.col("u"))), 6).alias("similarity"))
+
+
+UNITS = ["the daemon", "cursor", "rows"]
+
+
+@reg(
+    """SELECT doc_id, (length(l) - length(replace(l, 'the daemon', ''))) // 10 + (length(l) - length(replace(l, 'cursor', ''))) // 6 + (length(l) - length(replace(l, 'rows', ''))) // 4 AS hits
+      FROM (SELECT doc_id, lower(text) AS l FROM documents WHERE text IS NOT NULL) WHERE hits > 0"""
+)
+def relevance(spark, d):
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    return docs.select("doc_id", T.relevance_of(F.col("text"), UNITS).alias("hits")).where("hits > 0")
+
+
+@reg(
+    """SELECT doc_id, CASE WHEN s > 1 THEN '…' ELSE '' END || substr(text, s, e - s) || CASE WHEN e <= length(text) THEN '…' ELSE '' END AS snippet, substr(text, s2, e2 - s2) AS around, (s2 > 1 OR e2 <= length(text)) AS truncated
+      FROM (SELECT doc_id, text, greatest(p - 20, 1) AS s, least(p + 120, length(text) + 1) AS e, greatest(q - 120, 1) AS s2, least(q + 6 + 120, length(text) + 1) AS e2
+      FROM (SELECT doc_id, text, strpos(lower(text), 'cursor') AS p, strpos(text, 'cursor') AS q FROM documents) WHERE p > 0 AND q > 0)"""
+)
+def snippets(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", T.window_around(F.col("text"), "cursor").alias("snippet"), T.snippet_around(F.col("text"), "cursor").alias("m"))
+    return docs.where("snippet IS NOT NULL AND m IS NOT NULL").select("doc_id", "snippet", F.col("m.snippet").alias("around"), F.col("m.truncated").alias("truncated"))
+
+
+@reg()
+def normalized_messages(spark, d):
+    """Lines of program output by their message without volatile parts (checked by brute force)."""
+    lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(r"^(?:ERROR|error|thread|panicked|GET)\b"))
+    return lines.groupBy(T.normalize_message(F.col("line")).alias("message")).agg(F.count("*").alias("lines"))
+
+
+@reg(
+    """SELECT event_id, sha256(event_type || chr(10) || coalesce(user_id::VARCHAR, '') || chr(10) || trim(regexp_replace(props, '\\s+', ' ', 'g'))) AS hash
+      FROM events WHERE NOT regexp_matches(props, '[0-9]{5}|[0-9A-Fa-f]{8}|://')"""
+)
+def dedup_hashes(spark, d):
+    e = table(spark, d, "events").where(~F.col("props").rlike("[0-9]{5}|[0-9A-Fa-f]{8}|://"))
+    return e.select("event_id", T.dedup_hash(F.col("event_type"), F.col("user_id").cast("string"), F.col("props")).alias("hash"))
+
+
+@reg(
+    """SELECT doc_id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens, CAST(floor(strlen(text) / 4.0) AS BIGINT) AS read, CASE WHEN strlen(text) > 0 AND length(text) // 2 < strlen(text) THEN CAST(round((strlen(text) - length(text) // 2) * 100.0 / strlen(text)) AS BIGINT) END AS saved,
+      round(CASE WHEN strlen(text) <> 0 THEN greatest(0.0, least(1.0, 1 - length(text) / strlen(text))) END, 6) AS ratio FROM documents WHERE text IS NOT NULL"""
+)
+def token_savings(spark, d):
+    t = table(spark, d, "documents").where("text IS NOT NULL").withColumn("b", F.octet_length("text").cast("long")).withColumn("half", F.floor(F.length("text") / 2))
+    return t.select(
+        "doc_id", T.estimate_tokens(F.col("text")).alias("tokens"), T.read_tokens(F.col("b")).alias("read"),
+        T.saved_percent(F.col("b"), F.col("half")).alias("saved"), F.round(T.savings_ratio(F.length("text"), F.col("b")), 6).alias("ratio"),
+    )
+
+
+@reg(
+    """SELECT doc_id, substr(text, 1, 64) AS capped, strlen(text) > 64 AS truncated, substr(trim(coalesce(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')[1], '')), 1, 120) AS title
+      FROM documents WHERE text IS NOT NULL AND strlen(text) = length(text)"""
+)
+def capped_texts(spark, d):
+    t = table(spark, d, "documents").where("text IS NOT NULL AND octet_length(text) = length(text)")
+    c = T.cap_text(F.col("text"), 64)
+    return t.select("doc_id", c["text"].alias("capped"), c["truncated"].alias("truncated"), T.derive_title(F.col("text")).alias("title"))
+
+
+@reg(
+    """SELECT vec_id, round(scale, 9) AS scale, array_to_string(list_transform(embedding, lambda x: CASE WHEN scale > 0 THEN CAST(round(x::DOUBLE / scale) AS INT) ELSE 0 END), ' ') AS codes
+      FROM (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 127 AS scale FROM embeddings)"""
+)
+def quantized_vectors(spark, d):
+    q = T.quantize(F.col("embedding"))
+    return table(spark, d, "embeddings").select("vec_id", q.alias("q")).select("vec_id", F.round("q.scale", 9).alias("scale"), F.array_join(F.transform("q.codes", lambda x: x.cast("string")), " ").alias("codes"))
+
+
+def _is(keyword):
+    return lambda w: T.word_matches(w, F.lit(keyword))
+
+
+@reg(
+    """SELECT p_partkey, count_if(m) AS matched FROM (SELECT p_partkey, w, k, (w = k OR (least(length(w), length(k)) >= 4 AND starts_with(CASE WHEN length(w) <= length(k) THEN k ELSE w END, CASE WHEN length(w) <= length(k) THEN w ELSE k END) AND 2 * least(length(w), length(k)) >= greatest(length(w), length(k)))) AS m
+      FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w, unnest([lower(p_type)]) AS t FROM part), (SELECT unnest(['part', 'parts', 'smallest', 'stand', 'standard']) AS k)) GROUP BY p_partkey"""
+)
+def morph_matches(spark, d):
+    words = table(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("ws"))
+    keys = ["part", "parts", "smallest", "stand", "standard"]
+    total = F.lit(0)
+    for k in keys:
+        total = total + F.size(F.filter("ws", _is(k)))
+    return words.select("p_partkey", total.cast("long").alias("matched"))
+
+
+@reg(
+    """SELECT turn_id, CASE WHEN contains(lower(text), 'daemon') AND NOT contains(lower(coalesce(nxt, '')), 'daemon') THEN 'daemon' WHEN contains(lower(text), 'cursor') AND NOT contains(lower(coalesce(nxt, '')), 'cursor') THEN 'cursor' END AS removed
+      FROM (SELECT turn_id, text, lead(text) OVER (PARTITION BY session_id ORDER BY seq, turn_id) AS nxt FROM turns WHERE text IS NOT NULL) WHERE removed IS NOT NULL""",
+    "turns",
+)
+def removed_phrases(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("session_id").orderBy("seq", "turn_id")
+    t = R.turns(spark, d).where("text IS NOT NULL").withColumn("nxt", F.coalesce(F.lead("text").over(w), F.lit("")))
+    return t.select("turn_id", T.phrase_removed_between(F.col("text"), F.col("nxt"), ["daemon", "cursor"]).alias("removed")).where("removed IS NOT NULL")
+
+
+@reg(
+    """SELECT path, len(list_filter(string_split(head, chr(10)), lambda s: contains(s, 'return') AND NOT regexp_matches(ltrim(s), '^(//|#)'))) > 0 AS outside FROM files WHERE contains(head, 'return')""",
+    "files",
+)
+def definitions_outside_comments(spark, d):
+    f = R.files(spark, d, "id", "head").where(F.col("head").contains("return"))
+    return f.select("path", T.phrase_outside_comment(F.col("head"), "return").alias("outside"))
+
+
+@reg("SELECT turn_id FROM turns WHERE len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) >= 3 AND length(text) >= 12", "turns")
+def strings_worth_indexing(spark, d):
+    return R.turns(spark, d).where(T.string_worth_indexing(F.col("text"))).select("turn_id")
+
+
+@reg("SELECT event_id, round(CASE WHEN m > 0 THEN event_id / m * 1e-3 ELSE 0 END, 9) AS recency, sha256(props) AS content FROM events, (SELECT max(event_id) AS m FROM events)")
+def recency_scores(spark, d):
+    e = table(spark, d, "events")
+    top = e.agg(F.max("event_id")).first()[0] or 0
+    return e.select("event_id", F.round(T.recency_score(F.col("event_id"), F.lit(top)), 9).alias("recency"), F.sha2("props", 256).alias("content"))
+
+
+@reg()
+def fnv_ids(spark, d):
+    """FNV-1a ids of the symbols (checked against known values in the tests)."""
+    return R.symbols(spark, d).select("uid", T.fnv1a64(F.col("uid")).alias("fnv"), F.xxhash64("uid").alias("digest"))
+
+
+@reg(
+    """SELECT path FROM files WHERE (regexp_matches(path, '^(.*/)?(lib|app)/(.*)$') OR regexp_matches(path, '^(.*/)?(lib|app)$')) IS NOT NULL
+      AND CASE WHEN regexp_matches(path, '^(.*/)?test(/.*)?$') THEN FALSE WHEN regexp_matches(path, '^(.*/)?[^/]*\\.rb(/.*)?$') THEN TRUE WHEN regexp_matches(path, '^(.*/)?[^/]*\\.rs(/.*)?$') THEN TRUE ELSE FALSE END
+      AND contains(path, '.') AND split_part(path, '.', -1) IN ('rb', 'rs')""",
+    "files",
+)
+def glob_filtered_paths(spark, d):
+    f = R.files(spark, d, "id")
+    return f.where(P.keeps(F.col("path"), ["*.rs", "*.rb", "!test"], ["ruby", "rust"])).select("path")
+
+
+@reg("SELECT path FROM files WHERE path = 'amber-switchyard/src' OR starts_with(path, 'amber-switchyard/src/') OR starts_with(path, 'quarry-signal/lib/')", "files")
+def paths_under(spark, d):
+    return R.files(spark, d, "id").where(P.under(F.col("path"), ["amber-switchyard/src", "quarry-signal/lib/"])).select("path")
+
+
+@reg(
+    f"""SELECT path, regexp_matches(p, '(^|/)(test|tests|__tests__)(/|$)') OR regexp_matches(p, '(^|/)[^/.]*_test(\\.[^/]*)?$') OR regexp_matches(p, '(^|[/.])(spec|test)\\.[^/.]*$') AS is_test,
+      CASE WHEN regexp_matches(p, '(^|/)(docs|doc|specs|spec|public|vendor|third_party)/') OR split_part(p, '.', -1) IN ({", ".join(f"'{x}'" for x in P.NON_CODE_EXT)}) THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS role,
+      CASE WHEN regexp_matches(p, '(^|/)(test|__tests__|spec|specs)/') OR regexp_matches(p, '(_test\\.|\\.test\\.|\\.spec\\.|_spec\\.)[^/]*$') THEN 0.8::DOUBLE WHEN regexp_matches(p, '\\.(json|yaml|yml|toml)$') OR regexp_matches(p, '(^|/)(locales|locale|i18n)/') THEN 1.0::DOUBLE WHEN regexp_matches(p, '\\.md$') THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS demotion,
+      regexp_matches(path, '(^|/)(node_modules|vendor|dist)(/|$)') OR contains(split_part(p, '/', -1), '.min.') OR regexp_matches(path, '\\.(map|snap)$') OR contains(path, 'generated') OR contains(path, 'codegen') AS skipped,
+      regexp_matches(p, '(^|/)secrets(/|$)') OR regexp_matches(p, '(^|/)(\\.env[^/]*|[^/]*\\.env|credentials(\\.[^/]*)?|[^/]*secret[^/]*|[^/]*(\\.pem|\\.key|_rsa))$') AS credential
+      FROM (SELECT path, lower(path) AS p FROM files)""",
+    "files",
+)
+def path_classes(spark, d):
+    p = F.col("path")
+    return R.files(spark, d, "id").select(
+        "path", P.is_test_path(p).alias("is_test"), P.role_weight(p).alias("role"), P.demotion(p, ["config", "loader"]).alias("demotion"),
+        P.skip_path(p).alias("skipped"), P.credential_path(p).alias("credential"),
+    )
+
+
+@reg(
+    """SELECT path, CASE WHEN n = 0 THEN 'text' WHEN total // greatest(filled, 1) > 400 OR longest > 2000 THEN 'minified' WHEN regexp_matches(lower(path), '\\.(json|js|mjs)$') AND (strlen(head) - ascii_n) / strlen(head) > 0.30 THEN 'generated' ELSE 'text' END AS kind,
+      n >= 2048 AND n // greatest(lines, 1) >= 500 AS blob
+      FROM (SELECT path, head, strlen(head) AS n, len(list_filter(l, lambda s: s <> '')) AS filled, coalesce(list_sum(list_transform(l, lambda s: strlen(s))), 0) AS total, coalesce(list_max(list_transform(l, lambda s: strlen(s))), 0) AS longest,
+        length(regexp_replace(head, '[^\\x00-\\x7F]', '', 'g')) AS ascii_n, len(l) - CASE WHEN ends_with(head, chr(10)) THEN 1 ELSE 0 END AS lines FROM (SELECT path, head, string_split(head, chr(10)) AS l FROM files))""",
+    "files",
+)
+def content_kinds(spark, d):
+    from tracewell.operators.quality import content_kind, generated_blob
+
+    f = R.files(spark, d, "id", "head")
+    return f.select("path", content_kind(F.col("head"), F.col("path")).alias("kind"), generated_blob(F.col("head"), 2048, 500).alias("blob"))
+
+
+@reg(
+    """SELECT doc_id, n AS line, CASE WHEN contains(s, '-----BEGIN ') OR contains(s, 'PRIVATE KEY-----') THEN 'private-key' WHEN regexp_matches(s, 'ghp_|github_pat_|gho_|ghu_|ghs_|ghr_') THEN 'github-token' WHEN regexp_matches(s, 'sk-proj-|sk-ant-|sk-svca-') THEN 'openai-key' WHEN regexp_matches(s, 'xoxb-|xoxp-|xoxa-|xoxr-') THEN 'slack-token' WHEN regexp_matches(s, 'AKIA[A-Z0-9]{16}') THEN 'cloud-access-key'
+      WHEN regexp_matches(lower(s), 'api_key|api-key|apikey|secret|password|passwd|passphrase|credential') AND regexp_matches(s, '[=:]') THEN 'credential-named-assignment' END AS class
+      FROM (SELECT doc_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL)) WHERE class IS NOT NULL"""
+)
+def secret_lines(spark, d):
+    from tracewell.operators.quality import secret_class
+
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "s"))
+    return lines.select("doc_id", (F.col("i") + 1).alias("line"), secret_class(F.col("s")).alias("class")).where("class IS NOT NULL")
+
+
+@reg(
+    "SELECT turn_id FROM turns WHERE agent = 'lantern' AND starts_with(cwd, '/work/') AND role = 'user' AND ts BETWEEN 1740000000000 AND 1780000000000",
+    "turns",
+)
+def filtered_turns(spark, d):
+    from tracewell.operators.corpus import turn_filter
+
+    return R.turns(spark, d).where(turn_filter(agent="lantern", cwd="/work/", role="user", since_ms=1740000000000, until_ms=1780000000000)).select("turn_id")
+
+
+@reg(
+    """SELECT role, CASE WHEN regexp_matches(ltrim(text), '^(<system-reminder>|<task-notification>|<command-name>|<command-message>|<local-command|<bash-input>|Caveat: The messages below)') THEN 'orchestrator' ELSE 'human' END AS intent, count(*) AS turns
+      FROM turns WHERE text IS NOT NULL GROUP BY ALL""",
+    "turns",
+)
+def turn_intents(spark, d):
+    from tracewell.operators.corpus import user_intent
+
+    t = R.turns(spark, d).where("text IS NOT NULL")
+    return t.groupBy("role", user_intent(F.col("text")).alias("intent")).agg(F.count("*").alias("turns"))

@@ -35,11 +35,13 @@ CHUNK_BITS = 12
 class Costs:
     """``off_rule``: a reading against the declared clock; above twice
     ``switch + backward`` a declared clock always wins, so the path decides only
-    where no clock is declared.  ``off_rule=0``: no clock is trusted."""
+    where no clock is declared.  ``off_rule=0``: no clock is trusted.  ``strict``: a
+    text none of whose readings follows its clock has no moment."""
 
     off_rule: float = 1000.0
     switch: float = 1.0
     backward: float = 2.0
+    strict: bool = True
 
 
 def _link(ms, fmt, a: int, i: int, b: int, j: int, costs: Costs) -> float:
@@ -248,4 +250,7 @@ def read_times(rows: DataFrame, text: str, agent: str, source: str, order: list[
     known = rows.join(c, F.col(agent) == F.col("_agent"), "left").drop("_agent")
     read = instants.with_readings(known, text, F.coalesce("_zone", F.lit("UTC")), F.coalesce("_order", F.lit("dmy")), costs.off_rule)
     read = read.drop("_zone", "_order")
+    if costs.strict:
+        follows = F.exists("readings", lambda r: r["cost"] == 0)
+        read = read.withColumn("readings", F.when(follows, F.col("readings")).otherwise(F.filter("readings", lambda r: F.lit(False))))
     return resolve(read, source, order, "readings", costs, tag)

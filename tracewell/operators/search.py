@@ -259,7 +259,8 @@ def lines_matching(docs: DataFrame, key: str, text: str, pattern: str) -> DataFr
     """``key, line, content`` of every line that matches; a text stops at its first NUL.
     Java's dialect: keep to the subset the planner's parser shares."""
     body = F.substring_index(F.col(text), "\0", 1)
-    lines = docs.where(F.col(text).rlike(pattern)).select(key, F.posexplode(F.split(body, "\n")).alias("_i", "content"))
+    # the anchors of a line hold inside the text only with (?m)
+    lines = docs.where(F.col(text).rlike(f"(?m){pattern}")).select(key, F.posexplode(F.split(body, "\n")).alias("_i", "content"))
     return lines.where(F.col("content").rlike(pattern)).select(key, (F.col("_i") + 1).alias("line"), "content")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,8 +22,8 @@ def walk(spark: SparkSession, root: str, ignore: list[str] = [], max_bytes: int
     ``max_bytes`` are left out by metadata, before any content is read.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = root.removeprefix("file:").rstrip("/")
-    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^{base}/", "")
+    base = re.sub("^file:/*", "/", root).rstrip("/")
+    rel = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), f"^{re.escape(base)}/", "")
     rules = [*FIXED_IGNORES, *ignore]
     dropped = F.lit(False)
     for g in rules:

@@ -168,15 +168,16 @@ class Network:
         return total.argmax(1), total.max(1)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7, rate: float = 0.006) -> Network:
-    """Adam on cross-entropy over the windows of ``texts``."""
+def train(texts: list[str], labels: np.ndarray, epochs: int = 8, seed: int = 7, rate: float = 0.006, steps: int = 500) -> Network:
+    """Adam on cross-entropy over the windows of ``texts``: ``epochs`` passes, more of
+    them where the sample is so small that they would make fewer than ``steps`` steps."""
     rng = np.random.default_rng(seed)
     net, mask = Network.fresh(rng), Network.mask()
     x, owner = windows(texts)
     y = labels[owner]
     names = ["embed", "kernel", "bias", "out", "out_bias"]
     m, v, step = {k: 0.0 for k in names}, {k: 0.0 for k in names}, 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * 128 // max(1, len(x))))):
         order = rng.permutation(len(x))
         for i in range(0, len(order), 128):
             at = order[i : i + 128]
@@ -268,7 +269,7 @@ def learn(sample: list[tuple[int, str, str]]) -> Network:
     if not texts:
         return Network.fresh(rng)
     every = sorted({s for _, found in docs for s in found})
-    guess = dict(zip(every, train(texts, labels, epochs=3).classify(every)[0].tolist()))
+    guess = dict(zip(every, train(texts, labels, epochs=3, steps=200).classify(every)[0].tolist()))
     agree = [(k, [s for s in found if guess[s] == k]) for k, found in docs if found and sum(guess[s] == k for s in found) >= AGREE * len(found)]
     again, more = _examples(agree, SAMPLE_SENTENCES, rng)
     known = set(more.tolist())

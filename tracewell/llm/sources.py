@@ -80,11 +80,16 @@ def layout(files: DataFrame, text: str = "head") -> DataFrame:
     return df.withColumn("numbered", first_missing).drop("_x", "_ids")
 
 
-def shingles(df: DataFrame, key: str, text: str, out: str = "shingle") -> DataFrame:
-    """``key, out``: the distinct hashed five-word shingles of each text."""
-    words = df.select(key, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(\w+)"), 1).alias("_w")).where(F.size("_w") >= SHINGLE)
-    at = F.transform(F.sequence(F.lit(1), F.size("_w") - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice("_w", i, SHINGLE)))
-    return words.select(key, F.explode(F.array_distinct(at)).alias(out))
+def shingles(df: DataFrame, key: str, text: str, out: str = "shingles") -> DataFrame:
+    """``key, out``: the distinct hashed five-word shingles of each text, as an array.
+
+    Words and shingles are steps of their own: a step inlined into the next one's
+    lambda would be evaluated anew for every shingle.
+    """
+    words = df.select(key, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(r"(\w+)"), 1).alias("_w"))
+    last = F.size("_w") - (SHINGLE - 1)
+    at = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice("_w", i, SHINGLE)))
+    return words.select(key, F.when(last >= 1, F.array_distinct(at)).otherwise(F.array().cast("array<bigint>")).alias(out))
 
 
 def copies(files: DataFrame, upstream: DataFrame, key: str = "path", text: str = "head") -> DataFrame:
@@ -95,19 +100,11 @@ def copies(files: DataFrame, upstream: DataFrame, key: str = "path", text: str =
     hashes; counts are combined before any shuffle of them.
     """
     known = upstream.select(F.xxhash64("package", "version", "file_name", "hash").alias("up"), F.col(text).alias("_t"))
-    theirs = shingles(known, "up", "_t").distinct()
-    sizes = theirs.groupBy("up").agg(F.count("*").alias("size"))
-    mine = shingles(files, key, text)
-    both = mine.join(theirs, "shingle").groupBy(key, "up").agg(F.count("*").alias("both"))
-    own = files.select(key, F.greatest(F.size(F.array_distinct(_hashes(F.col(text)))), F.lit(1)).alias("own"))
-    scored = both.join(sizes, "up").join(own, key)
+    theirs = shingles(known, "up", "_t").select("up", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")).distinct()
+    mine = shingles(files, key, text).select(key, F.size("shingles").alias("own"), F.explode("shingles").alias("shingle"))
+    both = mine.join(theirs, "shingle").groupBy(key, "up", "own", "size").agg(F.count("*").alias("both"))
     sim = F.greatest(F.col("both") / F.col("own"), F.col("both") / F.col("size"))
-    return scored.groupBy(key).agg(F.max(sim).alias("similarity")).where(F.col("similarity") >= SIMILAR)
-
-
-def _hashes(text: Column) -> Column:
-    w = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\w+)"), 1)
-    return F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(w, i, SHINGLE)))).otherwise(F.array())
+    return both.groupBy(key).agg(F.max(sim).alias("similarity")).where(F.col("similarity") >= SIMILAR)
 
 
 def classify(files: DataFrame, upstream: DataFrame) -> DataFrame:

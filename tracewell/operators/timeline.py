@@ -165,6 +165,18 @@ def _join_chunks(costs: Costs):
     return run
 
 
+def placed(rows: DataFrame, source: str, order: list[str]) -> DataFrame:
+    """``rows`` range partitioned and sorted by source and record order, numbered in it.
+
+    A narrow step may follow before :func:`decide`: what comes before is read twice,
+    once to sample the ranges.
+    """
+    src = F.coalesce(F.col(source).cast("string"), F.lit("\x00"))
+    n = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sorted_ = rows.withColumn("_src", src).repartitionByRange(n, "_src", *order).sortWithinPartitions("_src", *order)
+    return sorted_.withColumn("_no", F.monotonically_increasing_id())
+
+
 def resolve(rows: DataFrame, source: str, order: list[str], readings: str = "readings", costs: Costs = Costs(), tag: str = "utc_ms") -> DataFrame:
     """Add ``tag`` (epoch ms or null) and ``tag + '_format'`` to ``rows``.
 
@@ -174,18 +186,15 @@ def resolve(rows: DataFrame, source: str, order: list[str], readings: str = "rea
     Rows without a reading get nulls and take no part in a path; equal-cost paths
     go to the reading generated first.  Columns of any other name pass through.
     """
-    spark = rows.sparkSession
-    src = F.coalesce(F.col(source).cast("string"), F.lit("\x00"))
-    spread = (
-        rows.withColumn("_src", src)
-        .repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "_src", *order)
-        .sortWithinPartitions("_src", *order)
-        .withColumn("_no", F.monotonically_increasing_id())
-    )
+    return decide(placed(rows, source, order), readings, costs, tag)
+
+
+def decide(rows: DataFrame, readings: str = "readings", costs: Costs = Costs(), tag: str = "utc_ms") -> DataFrame:
+    """The second half of :func:`resolve`, over rows from :func:`placed`."""
     several = F.size(readings) > 1
-    placed = cut(spread)
+    at = cut(rows)
     pad = lambda f, z: F.transform(F.sequence(F.lit(1), F.lit(K)), lambda k: F.coalesce(F.get(F.col(readings), k - 1)[f], z))
-    flat = placed.where(F.size(readings) > 0).select(
+    flat = at.where(F.size(readings) > 0).select(
         F.col("_no").alias("row_no"),
         F.shiftright("_no", CHUNK_BITS).alias("chunk"),
         F.col("_src").alias("source"),
@@ -205,8 +214,8 @@ def resolve(rows: DataFrame, source: str, order: list[str], readings: str = "rea
     )
     picks = inner.unionByName(edge)
     # only ambiguous rows meet the picks; the rest keep their single reading in place
-    sure = placed.where(~several).withColumn("pick", F.lit(0))
-    choice = placed.where(several).join(picks, placed["_no"] == picks["row_no"], "left").drop("row_no")
+    sure = at.where(~several).withColumn("pick", F.lit(0))
+    choice = at.where(several).join(picks, at["_no"] == picks["row_no"], "left").drop("row_no")
     chosen = F.get(F.col(readings), F.coalesce(F.col("pick"), F.lit(0)))
     return (
         sure.unionByName(choice)
@@ -247,10 +256,10 @@ def read_times(rows: DataFrame, text: str, agent: str, source: str, order: list[
     ``clock_rows`` comes from :func:`clocks`; agents without a row use UTC and dmy.
     """
     c = clock_rows.select(F.col("agent").alias("_agent"), F.col("zone").alias("_zone"), F.col("date_order").alias("_order"))
-    known = rows.join(c, F.col(agent) == F.col("_agent"), "left").drop("_agent")
+    known = placed(rows.join(c, F.col(agent) == F.col("_agent"), "left").drop("_agent"), source, order)
     read = instants.with_readings(known, text, F.coalesce("_zone", F.lit("UTC")), F.coalesce("_order", F.lit("dmy")), costs.off_rule)
     read = read.drop("_zone", "_order")
     if costs.strict:
         follows = F.exists("readings", lambda r: r["cost"] == 0)
         read = read.withColumn("readings", F.when(follows, F.col("readings")).otherwise(F.filter("readings", lambda r: F.lit(False))))
-    return resolve(read, source, order, "readings", costs, tag)
+    return decide(read, "readings", costs, tag)

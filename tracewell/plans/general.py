@@ -10,14 +10,14 @@ from tracewell.session import blank_to_null, cut, standing, table
 
 
 def hit_times(spark: SparkSession, d: str, costs: timeline.Costs = timeline.Costs()) -> DataFrame:
-    """search_hits, one row per turn_id and text, with ``utc_ms``."""
-    hits = table(spark, d, "search_hits").select("turn_id", "session_id", "seq", "agent", "ts", "ts_source").dropDuplicates(["turn_id", "ts", "agent"])
+    """search_hits with ``utc_ms``; repeated rows stay and read alike."""
+    hits = table(spark, d, "search_hits").select("turn_id", "session_id", "seq", "agent", "ts", "ts_source")
     return timeline.read_times(hits, "ts", "agent", "session_id", ["seq", "turn_id"], timeline.clocks(table(spark, d, "agent_clocks")), costs)
 
 
 def message_times(spark: SparkSession, d: str, costs: timeline.Costs = timeline.Costs()) -> DataFrame:
-    """oc_message, one row per id and text, with its session's agent and ``utc_ms``."""
-    return time_messages(spark, d, table(spark, d, "oc_message").select("id", "session_id", "time_created").dropDuplicates(), costs)
+    """oc_message with its session's agent and ``utc_ms``; repeated rows stay and read alike."""
+    return time_messages(spark, d, table(spark, d, "oc_message").select("id", "session_id", "time_created"), costs)
 
 
 def time_messages(spark: SparkSession, d: str, messages: DataFrame, costs: timeline.Costs = timeline.Costs()) -> DataFrame:

@@ -26,9 +26,9 @@ def p4_origins_by_language(spark: SparkSession, d: str) -> DataFrame:
 
 
 def conversation_turns(spark: SparkSession, d: str, texts: bool, max_offset_ms: int = 0) -> DataFrame:
-    # the data column is read to role and reply link before the times are sorted out
-    read = conversations.read_messages(table(spark, d, "oc_message").dropDuplicates(["id"])).drop("data")
-    timed = general.time_messages(spark, d, read)
+    # JSON is read after the range sort of the times, which reads its input twice
+    sorted_ = general.time_messages(spark, d, table(spark, d, "oc_message"))
+    timed = conversations.read_messages(sorted_).drop("data").dropDuplicates(["id"])
     return conversations.rebuild(timed, conversations.read_parts(table(spark, d, "oc_part"), texts), table(spark, d, "oc_session"), max_offset_ms)
 
 

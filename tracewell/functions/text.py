@@ -206,10 +206,9 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> Column:
     """``struct<low, high>`` of a share; (0, 1) without trials."""
     n = total.cast("double")
     p = successes / n
-    mid = (p + z * z / (2 * n)) / (1 + z * z / n)
-    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
-    empty = total == 0
-    low, high = F.greatest(F.lit(0.0), mid - half), F.least(F.lit(1.0), mid + half)
+    half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))
+    empty, mid, scale = total == 0, p + z * z / (2 * n), 1 + z * z / n
+    low, high = F.greatest(F.lit(0.0), (mid - half) / scale), F.least(F.lit(1.0), (mid + half) / scale)
     return F.struct(F.when(empty, 0.0).otherwise(low).alias("low"), F.when(empty, 1.0).otherwise(high).alias("high"))
 
 

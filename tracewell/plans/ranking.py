@@ -270,7 +270,7 @@ WILSON = "({p} + 1.96 * 1.96 / (2 * n) {s} 1.96 * sqrt({p} * (1 - {p}) / n + 1.9
 
 
 @reg(
-    f"SELECT source, round(greatest(0, {WILSON.format(p='k / n', s='-')}), 6) AS low, round(least(1, {WILSON.format(p='k / n', s='+')}), 6) AS high FROM (SELECT source, count_if(lang = 'en') AS k, count(*)::DOUBLE AS n FROM documents GROUP BY source)"
+    f"SELECT source, round(greatest(0, {WILSON.format(p='k / n', s='-')}), 6) AS low, round(least(1, {WILSON.format(p='k / n', s='+')}), 6) AS high FROM (SELECT source, count(*) FILTER (lang = 'en') AS k, count(*)::DOUBLE AS n FROM documents GROUP BY source)"
 )
 def wilson_by_group(spark, d):
     g = table(spark, d, "documents").groupBy("source").agg(F.count_if(F.col("lang") == "en").alias("k"), F.count("*").alias("n"))

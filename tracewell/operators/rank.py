@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import paths as P
 from tracewell.functions import text as T
+from tracewell.session import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60.0
 
@@ -28,25 +30,25 @@ def keyword_weight(df: Column, n: Column) -> Column:
 
 def term_frequencies(docs: DataFrame, text: str, terms: list[str], keep: list[str]) -> DataFrame:
     """``keep, len, tf0..tfk``: occurrences of the query's terms, counted in place, so no
-    text or token is shuffled whatever the size of the corpus."""
-    words = T.tokens(F.coalesce(F.col(text), F.lit("")))
-    d = docs.select(*keep, words.alias("_w"))
-    tfs = [F.size(F.filter("_w", _equals(t))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    return d.select(*keep, F.size("_w").alias("len"), *tfs)
+    text or token is shuffled whatever the size of the corpus.
 
-
-def _equals(term: str):
-    return lambda w: w == term
+    Tokens are runs of ``[a-z0-9_]`` in the lower-cased text; they are counted by
+    patterns, not split off, so no array of tokens is built.  A term with other
+    characters occurs nowhere.
+    """
+    low = docs.select(*keep, F.lower(F.coalesce(F.col(text), F.lit(""))).alias("_low"))
+    count = lambda t: F.regexp_count("_low", F.lit(rf"(?<![a-z0-9_]){t}(?![a-z0-9_])")) if re.fullmatch("[a-z0-9_]+", t) else F.lit(0)
+    return low.select(*keep, F.regexp_count("_low", F.lit("[a-z0-9_]+")).alias("len"), *[count(t).alias(f"tf{i}") for i, t in enumerate(terms)])
 
 
 def bm25(docs: DataFrame, key: str, text: str, terms: list[str], k1: float = K1, b: float = B, keep: list[str] = []) -> DataFrame:  # noqa: B006
     """``key, [keep], score`` of the documents with a positive Okapi BM25 score over the pool.
 
-    One pass counts the terms, one small aggregate gives sizes and document
-    frequencies (numbers per query term), a second pass scores; nothing is shuffled
-    but one row per task.  An empty query or pool scores nothing.
+    One pass over the texts counts the terms and writes a few numbers per document;
+    sizes, document frequencies and scores are made from those.  An empty query or
+    pool scores nothing.
     """
-    tf = term_frequencies(docs, text, terms, [key, *keep])
+    tf = cut(term_frequencies(docs, text, terms, [key, *keep]))
     if not terms:
         return tf.select(key, *keep, F.lit(0.0).alias("score")).limit(0)
     stat = tf.agg(F.count("*").alias("n"), F.sum("len").alias("total"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))]).first()

@@ -36,25 +36,22 @@ def hierarchy(nodes: DataFrame, key: str, parent: str, paths: bool = True) -> Da
     if paths:
         start = start.withColumn("path", F.array("id"))
     frontier = cut(start)
-    reached = [frontier]
+    reached, done = [frontier], 0
     while True:
-        levels, at = [], frontier
-        for _ in range(LEVELS):
-            up = [F.col("u.root_id"), (F.col("u.depth") + 1).alias("depth")]
-            if paths:
-                up.append(F.concat("u.path", F.array("c.id")).alias("path"))
-            at = left.alias("c").join(at.alias("u"), F.col("c.parent") == F.col("u.id")).select("c.id", *up)
-            levels.append(at)
-        found = cut(reduce(DataFrame.unionByName, levels))
-        if found.isEmpty():
-            drop(found)
-            break
+        # a row follows one way down, level by level; every node on it is found
+        at = frontier.withColumnRenamed("id", "c0")
+        for k in range(1, LEVELS + 1):
+            step = left.select(F.col("id").alias(f"c{k}"), F.col("parent").alias("_p"))
+            at = at.join(step, F.col(f"c{k - 1}") == F.col("_p"), "left").drop("_p")
+        hop = [F.struct(F.col(f"c{k}").alias("id"), F.lit(done + k).alias("depth"), *([F.concat("path", F.array(*[f"c{i}" for i in range(1, k + 1)])).alias("path")] if paths else [])) for k in range(1, LEVELS + 1)]
+        ways = at.select("root_id", F.explode(F.filter(F.array(*hop), lambda h: h["id"].isNotNull())).alias("h"))
+        found = cut(ways.select("h.id", "root_id", "h.depth", *(["h.path"] if paths else [])).dropDuplicates(["id"]))
+        done += LEVELS
         reached.append(found)
         rest = cut(left.join(found.select("id"), "id", "left_anti"))
         drop(left)
-        left = rest
-        frontier = found.where(F.col("depth") == found.agg(F.max("depth")).first()[0])
-        if left.isEmpty():
+        left, frontier = rest, found.where(F.col("depth") == done)
+        if frontier.isEmpty():
             break
     out = reduce(DataFrame.unionByName, reached).withColumn("on_circle", F.lit(False))
     caught = circles(left)

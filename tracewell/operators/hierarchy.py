@@ -36,21 +36,21 @@ def hierarchy(nodes: DataFrame, key: str, parent: str, paths: bool = True) -> Da
     if paths:
         start = start.withColumn("path", F.array("id"))
     frontier = cut(start)
-    reached, done = [frontier], 0
+    reached = [frontier]
     while True:
         # a row follows one way down, level by level; every node on it is found
         at = frontier.withColumnRenamed("id", "c0")
         for k in range(1, LEVELS + 1):
             step = left.select(F.col("id").alias(f"c{k}"), F.col("parent").alias("_p"))
             at = at.join(step, F.col(f"c{k - 1}") == F.col("_p"), "left").drop("_p")
-        hop = [F.struct(F.col(f"c{k}").alias("id"), F.lit(done + k).alias("depth"), *([F.concat("path", F.array(*[f"c{i}" for i in range(1, k + 1)])).alias("path")] if paths else [])) for k in range(1, LEVELS + 1)]
+        hop = [F.struct(F.col(f"c{k}").alias("id"), (F.col("depth") + k).alias("depth"), F.lit(k == LEVELS).alias("edge"), *([F.concat("path", F.array(*[f"c{i}" for i in range(1, k + 1)])).alias("path")] if paths else [])) for k in range(1, LEVELS + 1)]
         ways = at.select("root_id", F.explode(F.filter(F.array(*hop), lambda h: h["id"].isNotNull())).alias("h"))
-        found = cut(ways.select("h.id", "root_id", "h.depth", *(["h.path"] if paths else [])).dropDuplicates(["id"]))
-        done += LEVELS
-        reached.append(found)
+        # the same expressions in every batch: compiled once, whatever the depth
+        found = cut(ways.select("h.id", "root_id", "h.depth", "h.edge", *(["h.path"] if paths else [])).dropDuplicates(["id"]))
+        reached.append(found.drop("edge"))
         rest = cut(left.join(found.select("id"), "id", "left_anti"))
         drop(left)
-        left, frontier = rest, found.where(F.col("depth") == done)
+        left, frontier = rest, found.where("edge").drop("edge")
         if frontier.isEmpty():
             break
     out = reduce(DataFrame.unionByName, reached).withColumn("on_circle", F.lit(False))

@@ -45,6 +45,7 @@ def impact_3hop(spark, d):
     f"""WITH {IMPACT}, u AS (SELECT DISTINCT regexp_replace(trim(name), '^.*(::|#|[.])', '') AS leaf FROM ruby_hybrid_unresolved WHERE op = 'added'), g AS (SELECT seed, count_if(depth = 1) AS direct, count(*) AS reached FROM im GROUP BY seed)
       SELECT seed, direct, reached, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][least(CASE WHEN direct > 50 THEN 3 WHEN direct > 15 THEN 2 WHEN direct > 3 THEN 1 ELSE 0 END + CASE WHEN leaf IN (SELECT leaf FROM u) THEN 1 ELSE 0 END, 3) + 1] AS risk FROM g JOIN symbols s ON s.id = g.seed""",
     "symbols edges calls",
+    whole="direct",
 )
 def impact_risk(spark, d):
     from tracewell.operators.orphans import leaf

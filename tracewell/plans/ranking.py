@@ -74,6 +74,7 @@ def path_rank(spark, d):
     """WITH h AS (SELECT path_id, status, least(count(*), 50) AS n FROM file_changes GROUP BY ALL), f AS (SELECT status, count(*) AS df FROM h GROUP BY status)
       SELECT path_id, CAST(floor(round(sum(1 + ln(m / df)) * 1000, 6)) AS BIGINT) AS score, sum(n) AS total FROM h JOIN f USING (status), (SELECT max(df) AS m FROM f) GROUP BY path_id""",
     "file_changes",
+    whole="total",
 )
 def content_rank(spark, d):
     return K.content_scores(R.file_changes(spark, d).withColumn("one", F.lit(1)), "path_id", "status", "one")
@@ -209,7 +210,7 @@ def language_coverage(spark, d):
     return j.select("lang", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("symbols", F.lit(0)).alias("symbols"), F.when(F.col("files") > 0, F.round(100.0 * F.coalesce("indexed", F.lit(0)) / F.col("files"), 6)).alias("pct"))
 
 
-@reg("SELECT source, sum(strlen(text) // 4) AS tokens, CAST(round(median(strlen(text) // 4)) AS BIGINT) AS median FROM documents WHERE text IS NOT NULL GROUP BY source")
+@reg("SELECT source, sum(strlen(text) // 4) AS tokens, CAST(round(median(strlen(text) // 4)) AS BIGINT) AS median FROM documents WHERE text IS NOT NULL GROUP BY source", whole="tokens")
 def read_savings_audit(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL").select("source", T.read_tokens(F.octet_length("text")).alias("t"))
     return docs.groupBy("source").agg(F.sum("t").alias("tokens"), F.round(F.median("t")).cast("long").alias("median"))
@@ -218,8 +219,7 @@ def read_savings_audit(spark, d):
 @reg(
     """WITH b AS (SELECT o_orderpriority AS gate, o_orderkey, o_orderstatus = 'F' AS delivered, count(l_orderkey) AS calls, list_distinct(list(l_partkey % 40) FILTER (l_returnflag <> 'R')) AS injected, list_distinct(list(l_partkey % 40) FILTER (l_linestatus = 'F')) AS used
         FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL), c AS (SELECT gate, delivered, calls, coalesce(injected, []) AS i, coalesce(used, []) AS u FROM b)
-      SELECT gate, count(*) AS n, count_if(delivered) AS delivered, CASE WHEN count(*) > 0 THEN round(count_if(calls = 0) / count(*), 6) END AS zero_call_rate, CASE WHEN sum(len(i)) > 0 THEN round(sum(len(list_intersect(i, u))) / sum(len(i)), 6) END AS precision, CASE WHEN sum(len(u)) > 0 THEN round(sum(len(list_intersect(i, u))) / sum(len(u)), 6) END AS recall FROM c GROUP BY gate"""
-)
+      SELECT gate, count(*) AS n, count_if(delivered) AS delivered, CASE WHEN count(*) > 0 THEN round(count_if(calls = 0) / count(*), 6) END AS zero_call_rate, CASE WHEN sum(len(i)) > 0 THEN round(sum(len(list_intersect(i, u))) / sum(len(i)), 6) END AS precision, CASE WHEN sum(len(u)) > 0 THEN round(sum(len(list_intersect(i, u))) / sum(len(u)), 6) END AS recall FROM c GROUP BY gate""", whole="delivered")
 def brief_metrics(spark, d):
     part = F.col("l_partkey") % 40
     l = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("calls"), F.collect_set(F.when(F.col("l_returnflag") != "R", part)).alias("injected"), F.collect_set(F.when(F.col("l_linestatus") == "F", part)).alias("used"))
@@ -238,7 +238,7 @@ def ops_metrics_summary(spark, d):
     return f.groupBy(F.col("event_type").alias("version"), F.when(F.col("value") > 50, "full").otherwise("partial").alias("coverage")).agg(F.count("*").alias("operations"), F.round(F.sum("value"), 4).alias("saved"))
 
 
-@reg("SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey % 3 AS model, year(l_shipdate) AS year, count(*) AS steps, sum(CAST(l_quantity AS BIGINT)) AS saved FROM lineitem GROUP BY ALL")
+@reg("SELECT l_returnflag, l_linestatus, l_linenumber, l_suppkey % 3 AS model, year(l_shipdate) AS year, count(*) AS steps, sum(CAST(l_quantity AS BIGINT)) AS saved FROM lineitem GROUP BY ALL", whole="saved")
 def time_estimate_groups(spark, d):
     l = table(spark, d, "lineitem")
     return l.groupBy("l_returnflag", "l_linestatus", "l_linenumber", (F.col("l_suppkey") % 3).alias("model"), F.year("l_shipdate").alias("year")).agg(F.count("*").alias("steps"), F.sum(F.col("l_quantity").cast("long")).alias("saved"))
@@ -357,8 +357,7 @@ def idf_table(spark, d):
 
 @reg(
     """WITH r AS (SELECT doc_id, strlen(text) AS size, sum(strlen(text)) OVER (ORDER BY coalesce(lang, '') <> 'ja', epoch_us(created_at) DESC, doc_id ROWS UNBOUNDED PRECEDING) AS kept FROM documents WHERE text IS NOT NULL AND created_at IS NOT NULL)
-      SELECT doc_id, kept AS kept_size FROM r WHERE kept <= 400000"""
-)
+      SELECT doc_id, kept AS kept_size FROM r WHERE kept <= 400000""", whole="kept_size")
 def eviction_budget(spark, d):
     docs = table(spark, d, "documents").where("text IS NOT NULL AND created_at IS NOT NULL").select("doc_id", F.octet_length("text").alias("size"), (F.coalesce("lang", F.lit("")) == "ja").alias("rescue"), epoch_us(F.col("created_at")).alias("at"))
     return A.evict(docs, "size", "rescue", "at", "doc_id", 400_000)

@@ -17,7 +17,9 @@ class Registry:
         self.oracles: dict[str, str] = {}
         self.ctes = ctes or {}
 
-    def __call__(self, sql: str | None = None, uses: str = "", recursive: bool = False) -> Callable[[Query], Query]:
+    def __call__(self, sql: str | None = None, uses: str = "", recursive: bool = False, whole: str = "") -> Callable[[Query], Query]:
+        """``whole`` names sums that DuckDB widens to 128 bits and Spark does not."""
+
         def add(f: Query) -> Query:
             self.queries[f.__name__] = f
             if sql is not None:
@@ -26,6 +28,9 @@ class Registry:
                 text = sql.strip()
                 if with_:
                     text = head + with_ + (", " + text[5:].removeprefix("RECURSIVE ") if text.upper().startswith("WITH ") else " " + text)
+                if whole:
+                    casts = ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in whole.split())
+                    text = f"SELECT * REPLACE ({casts}) FROM ({text})"
                 self.oracles[f.__name__] = text
             return f
 

@@ -128,8 +128,7 @@ def _is(keyword):
 
 @reg(
     """SELECT p_partkey, count_if(m) AS matched FROM (SELECT p_partkey, w, k, (w = k OR (least(length(w), length(k)) >= 4 AND starts_with(CASE WHEN length(w) <= length(k) THEN k ELSE w END, CASE WHEN length(w) <= length(k) THEN w ELSE k END) AND 2 * least(length(w), length(k)) >= greatest(length(w), length(k)))) AS m
-      FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w, unnest([lower(p_type)]) AS t FROM part), (SELECT unnest(['part', 'parts', 'smallest', 'stand', 'standard']) AS k)) GROUP BY p_partkey"""
-)
+      FROM (SELECT p_partkey, unnest(string_split(lower(p_name), ' ')) AS w, unnest([lower(p_type)]) AS t FROM part), (SELECT unnest(['part', 'parts', 'smallest', 'stand', 'standard']) AS k)) GROUP BY p_partkey""", whole="matched")
 def morph_matches(spark, d):
     words = table(spark, d, "part").select("p_partkey", F.split(F.lower("p_name"), " ").alias("ws"))
     keys = ["part", "parts", "smallest", "stand", "standard"]

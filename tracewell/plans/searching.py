@@ -41,8 +41,7 @@ def search_page(spark, d):
 
 @reg(
     """WITH g AS (SELECT DISTINCT event_type, unnest(list_transform(range(1, length(event_type) - 1), lambda i: substr(lower(event_type), i, 3))) AS gram FROM events)
-      SELECT gram, count(*) AS docs, sum(n) AS events FROM g JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) USING (event_type) GROUP BY gram"""
-)
+      SELECT gram, count(*) AS docs, sum(n) AS events FROM g JOIN (SELECT event_type, count(*) AS n FROM events GROUP BY 1) USING (event_type) GROUP BY gram""", whole="events")
 def gram_index(spark, d):
     kinds = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
     return kinds.select("event_type", "n", F.explode(S.grams(F.col("event_type"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("docs"), F.sum("n").alias("events"))

@@ -44,7 +44,7 @@ def lifecycle_first_last(spark, d):
     return H.lifecycle(c, "path_id", "committed_at", "commit_id", "status")
 
 
-@reg("SELECT count_if(state = 'P') AS unindexed, count_if(state = 'P' AND committed_at < TIMESTAMP '1995-06-01') AS unindexed_before FROM commits", "commits")
+@reg("SELECT count_if(state = 'P') AS unindexed, count_if(state = 'P' AND committed_at < TIMESTAMP '1995-06-01') AS unindexed_before FROM commits", "commits", whole="unindexed unindexed_before")
 def token_coverage(spark, d):
     import datetime
 

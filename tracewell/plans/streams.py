@@ -66,7 +66,7 @@ def stream_cursor(spark, d):
     return spark.read.parquet(f"{out}/data").agg(F.count("*").alias("events"), F.max("event_id").alias("cursor"))
 
 
-@reg("SELECT user_id, count(*) AS windows, sum(n) AS n FROM (SELECT user_id, w, count(*) AS n FROM (SELECT user_id, unnest([epoch_us(ts) // 1800000000, epoch_us(ts) // 1800000000 - 1]) AS w FROM events) GROUP BY ALL) GROUP BY user_id")
+@reg("SELECT user_id, count(*) AS windows, sum(n) AS n FROM (SELECT user_id, w, count(*) AS n FROM (SELECT user_id, unnest([epoch_us(ts) // 1800000000, epoch_us(ts) // 1800000000 - 1]) AS w FROM events) GROUP BY ALL) GROUP BY user_id", whole="n")
 def windowed_activity(spark, d):
     """Sliding-window counts; the batch run of the streaming operator."""
     w = S.windowed_activity(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id")

@@ -69,11 +69,11 @@ def _round(pieces: DataFrame, shards: int, label: int) -> DataFrame:
         capacity = int(p["capacity"].iloc[0])
         p["container"] = best_fit_decreasing(p["tokens"].tolist(), capacity)
         p["room"] = capacity - p.groupby("container")["tokens"].transform("sum")
-        p["container"] = (label << 60) + p["shard"].astype("int64") * (1 << 32) + p["container"]
+        p["container"] = f"{label}." + p["shard"].astype(str) + "." + p["container"].astype(str)
         return p
 
     sharded = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(label)), F.lit(shards)).cast("int"))
-    return sharded.groupBy("spec_id", "shard").applyInPandas(run, _PIECES + ", container long, room long")
+    return sharded.groupBy("spec_id", "shard").applyInPandas(run, _PIECES + ", container string, room long")
 
 
 def pack(items: DataFrame, specs: DataFrame, rounds: int = 3) -> DataFrame:
@@ -85,14 +85,16 @@ def pack(items: DataFrame, specs: DataFrame, rounds: int = 3) -> DataFrame:
     Items are hashed into shards of about ``SHARD_ITEMS``; what lies in containers
     that stay loose is hashed anew and packed again, in ever fewer shards, up to
     ``rounds`` times.  Items of size 0 lie where they fit, which is anywhere.  Specs
-    without a positive capacity hold nothing and are left out.
+    without a positive capacity hold nothing and are left out.  A container's name is
+    unique within its spec: ``d.document.piece`` for a full piece, else
+    ``round.shard.number``.
     """
     specs = specs.where("capacity > 0").select("spec_id", "capacity").dropDuplicates(["spec_id"])
     each = F.collect_set(F.struct("spec_id", "capacity"))
     # one array of the few capacities rides along with every item: no join
     listed = [(r["spec_id"], r["capacity"]) for r in specs.agg(each.alias("s")).first()["s"]]
     if not listed:
-        return items.limit(0).selectExpr("cast(0 as int) spec_id", "0L container", "doc_id", "0 piece_no", "0L from_token", "0L tokens")
+        return items.limit(0).selectExpr("cast(0 as int) spec_id", "'' container", "doc_id", "0 piece_no", "0L from_token", "0L tokens")
     kinds = F.array(*[F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).cast("int").alias("capacity")) for s, c in sorted(listed)])
     sized = cut(items.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("long").alias("tokens")))
     n = sized.count()
@@ -107,7 +109,7 @@ def pack(items: DataFrame, specs: DataFrame, rounds: int = 3) -> DataFrame:
         (F.col("piece_no").cast("long") * F.col("capacity")).alias("from_token"),
         F.least(F.col("_n") - F.col("piece_no").cast("long") * F.col("capacity"), F.col("capacity").cast("long")).alias("tokens"),
     )
-    whole = pieces.where("tokens = capacity").withColumn("container", -F.abs(F.xxhash64("spec_id", "doc_id", "piece_no")) - 1)
+    whole = pieces.where("tokens = capacity").withColumn("container", F.concat_ws(".", F.lit("d"), F.col("doc_id").cast("string"), F.col("piece_no").cast("string")))
     rest = pieces.where("tokens < capacity")
     names = ["spec_id", "container", "doc_id", "piece_no", "from_token", "tokens"]
     done = [whole.select(*names)]

@@ -49,6 +49,26 @@ def test_hierarchy_against_walking(spark, seed):
     assert pairs == {(a, r["id"], r["depth"] - k) for r in got if r["path"] for k, a in enumerate(r["path"][:-1])}
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_descendants_through_circles(spark, seed):
+    rng = random.Random(seed)
+    ids = [f"n{i:02d}" for i in range(30)]
+    parents = {i: rng.choice([None, "gone", *ids]) for i in ids}
+    parents |= {f"r{k}": f"r{(k + 1) % 5}" for k in range(5)} | {"h0": "r3", "h1": "h0", "self": "self", "leaf": "self"}
+    df = spark.createDataFrame(list(parents.items()), "id string, parent string")
+    tree = hierarchy.hierarchy(df, "id", "parent")
+    got = [tuple(r) for r in hierarchy.descendants(tree).unionByName(hierarchy.caught_descendants(tree, df, "id", "parent")).collect()]
+    want = set()
+    for i in parents:
+        at, seen = parents[i], [i]
+        while at in parents and at not in seen:
+            want.add((at, i, len(seen)))
+            seen.append(at)
+            at = parents[at]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert ("r2", "h1", 6) in want and ("self", "leaf", 1) in want
+
+
 def test_hierarchy_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, parent string")
     assert hierarchy.hierarchy(empty, "id", "parent").collect() == []

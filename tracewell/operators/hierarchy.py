@@ -92,3 +92,22 @@ def descendants(tree: DataFrame) -> DataFrame:
     """``ancestor, descendant, distance`` for every pair on a path (circles have none)."""
     up = tree.where("depth > 0").select(F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("pos", "ancestor"))
     return up.where("pos < depth").select("ancestor", "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
+
+
+def caught_descendants(tree: DataFrame, nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """``ancestor, descendant, distance`` for the nodes of ``tree`` that hang on a circle or lie on it.
+
+    The way up from such a node runs into its circle and once around it; each node on
+    it counts once, at its first place, and none is its own ancestor.  Ways double, so
+    a way of n nodes takes log2(n) joins; what has come around is left as it is.
+    """
+    caught = tree.where("depth < 0").select("id")
+    links = nodes.select(F.col(key).cast("string").alias("id"), F.col(parent).cast("string").alias("up")).join(caught, "id", "left_semi")
+    ways = cut(links.select("id", F.array("up").alias("way"), (F.col("id") == F.col("up")).alias("done")))
+    while not ways.where("NOT done").isEmpty():
+        on = ways.select(F.col("id").alias("_l"), F.col("way").alias("_w"), F.col("done").alias("_d"))
+        longer = ways.where("NOT done").withColumn("_l", F.element_at("way", -1)).join(on, "_l").select("id", F.concat("way", "_w").alias("_r"), F.array_distinct(F.concat("way", "_w")).alias("way"), "_d")
+        done = F.col("_d") | (F.size("way") < F.size("_r")) | F.array_contains("way", F.col("id"))
+        ways = cut(ways.where("done").unionByName(longer.select("id", "way", done.alias("done"))))
+    up = ways.select(F.col("id").alias("descendant"), F.posexplode(F.array_except("way", F.array("id"))).alias("pos", "ancestor"))
+    return up.select("ancestor", "descendant", (F.col("pos") + 1).alias("distance"))

@@ -63,6 +63,27 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(session_tree(spark, d))
 
 
+def _whole_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The session tree and all its ancestor pairs, those through circles included."""
+    nodes = cut(standing(table(spark, d, "oc_session").select("id", "parent_id", "time_updated"), "id", ["time_updated"]))
+    tree = cut(hierarchy.hierarchy(nodes, "id", "parent_id"))
+    return tree, hierarchy.descendants(tree).unionByName(hierarchy.caught_descendants(tree, nodes, "id", "parent_id"))
+
+
+def p2_hierarchy_all(spark: SparkSession, d: str) -> DataFrame:
+    """As p2_hierarchy, with the descendants of sessions caught in circles counted too."""
+    tree, pairs = _whole_tree(spark, d)
+    below = pairs.groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n_descendants"))
+    return tree.join(below, "id", "left").select(
+        "id", "root_id", "depth", F.concat_ws("/", "path").alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants")
+    )
+
+
+def p2_descendants_all(spark: SparkSession, d: str) -> DataFrame:
+    """As p2_descendants, with the pairs of sessions caught in circles."""
+    return _whole_tree(spark, d)[1]
+
+
 LOG_PARTITIONS = 32
 
 
@@ -155,6 +176,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_hierarchy": p2_hierarchy,
     "p2_descendants": p2_descendants,
+    "p2_hierarchy_all": p2_hierarchy_all,
+    "p2_descendants_all": p2_descendants_all,
     "p3_found": p3_found,
     "p3_plan": p3_plan,
     "p5_found": p5_found,
@@ -217,3 +240,5 @@ ORACLES = {
     "p5_found": f"WITH {_REFS} SELECT table_name, ref_id, period FROM p",
     "p5_orphans_per_period": f"WITH {_REFS} SELECT table_name, period, count(*) AS orphans FROM p GROUP BY ALL",
 }
+# the same definitions without the condition that leaves caught sessions out
+ORACLES |= {f"{name}_all": ORACLES[name].replace(" WHERE NOT caught", "") for name in ("p2_hierarchy", "p2_descendants")}

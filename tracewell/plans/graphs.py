@@ -193,15 +193,30 @@ def neighbour_files(spark, d):
     return G.neighbor_files(R.edges(spark, d), s, s.where("id % 25 = 0").select("id", F.col("id").alias("rank")))
 
 
+@reg(ORACLES["neighbour_files"].replace(" WHERE t.id % 25 = 0", "").replace(" WHERE s.id % 25 = 0", ""))
+def neighbour_files_all(spark, d):
+    s = R.symbols(spark, d)
+    return G.neighbor_files(R.edges(spark, d), s, s.select("id", F.col("id").alias("rank")))
+
+
 @reg(
     """WITH i AS (SELECT DISTINCT s.file AS a, t.file AS b FROM edges e JOIN symbols s ON s.id = e.src JOIN symbols t ON t.id = e.dst WHERE e.kind = 'import'), seed AS (SELECT DISTINCT file FROM symbols WHERE id % 30 = 0)
       SELECT b AS path, 'imported' AS reason FROM i WHERE a IN (SELECT file FROM seed) UNION SELECT a, 'imports' FROM i WHERE b IN (SELECT file FROM seed)""",
     "symbols edges",
 )
 def import_adjacent(spark, d):
+    return _import_adjacent(spark, d, "id % 30 = 0")
+
+
+@reg(ORACLES["import_adjacent"].replace(" WHERE id % 30 = 0", ""))
+def import_adjacent_all(spark, d):
+    return _import_adjacent(spark, d, "true")
+
+
+def _import_adjacent(spark, d, of):
     s = R.symbols(spark, d)
     e = R.edges(spark, d).where("kind = 'import'").join(s.select(F.col("id").alias("src"), F.col("file").alias("a")), "src").join(s.select(F.col("id").alias("dst"), F.col("file").alias("b")), "dst").select("a", "b").distinct()
-    seed = s.where("id % 30 = 0").select("file").distinct()
+    seed = s.where(of).select("file").distinct()
     out = e.join(seed.withColumnRenamed("file", "a"), "a", "left_semi").select(F.col("b").alias("path"), F.lit("imported").alias("reason"))
     return out.unionByName(e.join(seed.withColumnRenamed("file", "b"), "b", "left_semi").select(F.col("a").alias("path"), F.lit("imports").alias("reason"))).distinct()
 
@@ -211,7 +226,7 @@ def cluster_co_files(spark, d):
     e = cut(_calls(spark, d))
     s = R.symbols(spark, d)
     named = G.label_propagation(e).withColumnRenamed("label", "cluster")
-    return G.co_members(named, s.where("id % 100 = 0"), s)
+    return G.co_members(named, s, s)
 
 
 @reg(
@@ -230,10 +245,19 @@ def layers_longest_path(spark, d):
     "symbols edges",
 )
 def changed_consumers(spark, d):
+    return _consumers(spark, d, "id % 50 = 0")
+
+
+@reg(ORACLES["changed_consumers"].replace(" WHERE id % 50 = 0", ""))
+def changed_consumers_all(spark, d):
+    return _consumers(spark, d, "true")
+
+
+def _consumers(spark, d, of):
     from tracewell.operators.joins import overlapping
 
     s = R.symbols(spark, d).select("id", "file", "line", "end_line")
-    h = s.where("id % 50 = 0").select("file", (F.col("line") - 3).alias("lo"), (F.col("line") + 12).alias("hi"))
+    h = s.where(of).select("file", (F.col("line") - 3).alias("lo"), (F.col("line") + 12).alias("hi"))
     c = overlapping(h, s, ["file"], ("lo", "hi"), ("line", "end_line")).select(F.col("id").alias("dst")).distinct()
     return _calls(spark, d).join(c, "dst", "left_semi").select(F.col("dst").alias("changed"), F.col("src").alias("consumer")).distinct()
 

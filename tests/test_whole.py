@@ -1,5 +1,7 @@
 """Queries over their whole tables, against plain Python on the smallest tables."""
 
+from collections import defaultdict
+from functools import cache
 from pathlib import Path
 
 import pytest
@@ -26,3 +28,31 @@ def test_every_repository_fans_out(spark):
     paths = [r["file"] for r in R.symbols(spark, DATA).collect()]
     assert all("/" in p for p in paths)
     assert {r["repo"] for r in query(spark, "workspace_fan_out_all").collect()} == {p.split("/")[0] for p in paths}
+
+
+def test_layers_of_all_calls(spark, monkeypatch):
+    base = [(r["src"], r["dst"]) for r in graphs._calls(spark, DATA).collect()]
+    top = max(x for p in base for x in p)
+    pairs = [*base, *((b, a) for a, b in base[::7]), (top, top + 1), (top + 1, top + 2), (top + 2, top + 1), (top + 2, top + 2)]  # cycles, whatever the tables hold
+    monkeypatch.setattr(graphs, "_calls", lambda *_: spark.createDataFrame(pairs, "src long, dst long"))
+    out = defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+
+    @cache
+    def far(v):
+        seen, todo = {v}, [v]
+        while todo:
+            new = out[todo.pop()] - seen
+            seen |= new
+            todo += new
+        return frozenset(seen)
+
+    nodes = {x for p in pairs for x in p}
+
+    @cache
+    def layer(v):
+        return max((1 + layer(w) for u in far(v) if v in far(u) for w in out[u] if v not in far(w)), default=0)
+
+    assert any(v in far(u) for v in nodes for u in far(v) - {v})
+    assert {r["id"]: r["layer"] for r in query(spark, "layers_longest_path_all").collect()} == {v: layer(v) for v in nodes}

@@ -239,6 +239,12 @@ def layers_longest_path(spark, d):
     return G.layers(_calls(spark, d).where("src < dst AND src % 2 = 0"))
 
 
+@reg()
+def layers_longest_path_all(spark, d):
+    """All call edges, cycles condensed (brute force in the tests)."""
+    return G.layers(_calls(spark, d))
+
+
 @reg(
     """WITH h AS (SELECT id AS hunk, file, line - 3 AS lo, line + 12 AS hi FROM symbols WHERE id % 50 = 0), c AS (SELECT DISTINCT s.id FROM h JOIN symbols s ON s.file = h.file AND h.lo <= s.end_line AND s.line <= h.hi)
       SELECT DISTINCT e.dst AS changed, e.src AS consumer FROM edges e WHERE e.kind = 'call' AND e.dst IN (SELECT id FROM c)""",

@@ -59,6 +59,21 @@ def test_components_and_walks_at_random(spark):
     assert G.components(edges(spark, [])).collect() == []
 
 
+def test_every_component_has_a_shortest_walk(spark):
+    rng = random.Random(11)
+    ring = [(i, i % 30 + 1) for i in range(1, 31)]  # 30 steps around
+    pairs = [*ring, (40, 41), (41, 40), (50, 50), (50, 51), (51, 50), *((rng.randrange(60, 90), rng.randrange(60, 90)) for _ in range(80))]
+    e = edges(spark, pairs)
+    comps = G.components(e)
+    want = {r["component"]: len(r["walk"]) for r in G.witness(e, comps).collect()}
+    have = set(pairs)
+    for bound in (0, 3, 30):
+        got = {r["component"]: r["walk"] for r in G.witness(e, comps, bound).collect()}
+        assert {c: len(w) for c, w in got.items()} == want
+        assert all(w[0] == w[-1] == c and all(p in have for p in zip(w, w[1:])) for c, w in got.items())
+    assert want[1] == 31 and want[40] == 3 and want[50] == 2
+
+
 def test_hops_keep_least_depth_and_best_tier(spark):
     rows = [(1, 2, "call", "probable"), (1, 2, "call", "exact"), (2, 3, "call", "exact"), (1, 3, "call", "probable"), (3, 4, "call", "exact"), (4, 1, "call", "exact")]
     e = spark.createDataFrame(rows, "src long, dst long, kind string, tier string")

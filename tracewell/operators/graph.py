@@ -132,14 +132,18 @@ def components(edges: DataFrame) -> DataFrame:
     return big.unionByName(alone)
 
 
-def witness(edges: DataFrame, comps: DataFrame) -> DataFrame:
-    """``component, walk``: a shortest closed walk through the least id of each component
-    of at most ``10,000`` edges; larger ones get a null walk."""
+def witness(edges: DataFrame, comps: DataFrame, most_edges: int = 10_000) -> DataFrame:
+    """``component, walk``: a shortest closed walk through the least id of each component.
+
+    Components of at most ``most_edges`` inner edges are walked in a task each, larger
+    ones level by level in joins.
+    """
     import pandas as pd
 
-    inside = edges.select("src", "dst").distinct().join(comps.withColumnsRenamed({"id": "src", "component": "c"}), "src").join(comps.withColumnsRenamed({"id": "dst", "component": "c2"}), "dst").where("c = c2").select(F.col("c").alias("component"), "src", "dst")
-    sizes = inside.groupBy("component").count()
-    small = inside.join(sizes.where("count <= 10000"), "component", "left_semi")
+    inside = cut(edges.select("src", "dst").distinct().join(comps.withColumnsRenamed({"id": "src", "component": "c"}), "src").join(comps.withColumnsRenamed({"id": "dst", "component": "c2"}), "dst").where("c = c2").select(F.col("c").alias("component"), "src", "dst"))
+    sizes = cut(inside.groupBy("component").count())
+    small = inside.join(sizes.where(F.col("count") <= most_edges), "component", "left_semi")
+    large = sizes.where(F.col("count") > most_edges)
 
     def walk(p: pd.DataFrame) -> pd.DataFrame:
         from collections import deque
@@ -164,7 +168,32 @@ def witness(edges: DataFrame, comps: DataFrame) -> DataFrame:
         return pd.DataFrame({"component": [int(p["component"].iloc[0])], "walk": [None]})
 
     short = small.groupBy("component").applyInPandas(walk, "component long, walk array<long>")
-    return sizes.select("component").join(short, "component", "left")
+    if large.isEmpty():
+        return short
+    return short.unionByName(_closed_walks(cut(inside.join(large, "component", "left_semi")), large.select("component")))
+
+
+def _closed_walks(inside: DataFrame, comps: DataFrame) -> DataFrame:
+    """``component, walk`` by breadth-first levels of all components at once; each node
+    keeps its least predecessor, so going back takes a row per component and level."""
+    at = seen = cut(comps.select("component", F.col("component").alias("id")))
+    levels, ended = [], []
+    while not at.isEmpty():
+        near = at.join(inside.withColumnRenamed("src", "id"), ["component", "id"]).groupBy("component", F.col("dst").alias("_n")).agg(F.min("id").alias("by"))
+        near = cut(near.withColumnRenamed("_n", "id"))
+        back = near.where("id = component").select("component", F.col("by").alias("at"), F.array("by", "component").alias("walk"))
+        ended.append(back)
+        on = near.join(seen, ["component", "id"], "left_anti").join(back.select("component"), "component", "left_anti")
+        found = cut(on.select("component", "id", "by"))
+        levels.append(found)
+        at = found.select("component", "id")
+        seen = cut(seen.join(back.select("component"), "component", "left_anti").unionByName(at))
+    ways = ended.pop()
+    for k in range(len(ended) - 1, -1, -1):
+        up = levels[k].select("component", F.col("id").alias("at"), "by")
+        ways = ways.join(up, ["component", "at"]).select("component", F.col("by").alias("at"), F.concat(F.array("by"), "walk").alias("walk"))
+        ways = cut(ways.unionByName(ended[k]))
+    return ways.select("component", "walk")
 
 
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:

@@ -121,6 +121,37 @@ def test_flows_dedup_equal_sets(spark):
     assert sorted(tuple(r["members"]) for r in G.flows(e, entries, 3, 2).collect()) == [(1, 2, 3), (2, 3, 4)]
 
 
+def test_flows_offer_what_a_full_node_leaves(spark):
+    e = edges(spark, [(0, 1), (0, 2), (1, 10), (1, 11), (1, 12), (1, 13), (2, 13), (13, 14)])
+    s = spark.createDataFrame([(i, f"n{i}", "src/a.rb") for i in range(20)], "id long, name string, file string")
+    got = [tuple(r["members"]) for r in G.flows(e, G.entry_points(e, s), 4, 3).collect()]
+    assert got == [(0, 1, 2, 10, 11, 12, 13, 14)]
+
+
+@pytest.mark.parametrize("branching", [1, 2, 3])
+def test_flows_against_a_queue(spark, branching):
+    rng = random.Random(branching)
+    rows = [(a, rng.randrange(10, 60), "call", rng.choice(["exact", "probable"])) for a in range(50) for _ in range(rng.randrange(7))]
+    e = spark.createDataFrame(rows, "src long, dst long, kind string, tier string")
+    best = defaultdict(dict)
+    for a, b, _, t in rows:
+        best[a][b] = min(best[a].get(b, 1), t != "exact")
+    want = {}
+    for entry in range(10):
+        seen, queue = {entry}, [(entry, 0)]
+        for at, d in queue:
+            room = branching if d < 4 else 0
+            for b in sorted(best[at], key=lambda b: (best[at][b], b)):
+                if room and b not in seen:
+                    seen.add(b)
+                    queue.append((b, d + 1))
+                    room -= 1
+        if len(seen) >= 3:
+            want.setdefault(tuple(sorted(seen)), entry)
+    got = {tuple(r["members"]): r["entry"] for r in G.flows(e, spark.range(10), 4, branching).collect()}
+    assert got == want
+
+
 def test_signature_ignores_order(spark):
     a = spark.createDataFrame([("x", "1"), ("y", None), ("z", "3")], "p string, h string")
     assert G.signature(a, "p", "h") == G.signature(a.orderBy("p", ascending=False), "p", "h") != G.signature(a.where("p <> 'z'"), "p", "h")

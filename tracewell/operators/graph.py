@@ -276,20 +276,33 @@ def flows(edges: DataFrame, entries: DataFrame, depth: int, branching: int, leas
     new nodes per node (exact edges first, then id); equal member sets once (least
     entry), sets under ``least`` dropped.
 
-    Levels are breadth-first; inside a level a node already claimed by an earlier
-    parent is not claimed again.
+    Levels are breadth-first, and the nodes of a level take theirs in the order they
+    were taken in: what one has no room for stays free for the next.  A level has at
+    most ``branching ** depth`` nodes an entry, and a node is asked for no more than its
+    first that the others of its level cannot all have taken, so a task's rows for an
+    entry are bounded by the two parameters.
     """
+    import pandas as pd
     from pyspark.sql import Window
 
     steps = cut(_turned(edges, False))
-    at = entries.select(F.col("id").alias("entry"), "id")
-    seen = cut(at)
-    at = seen
-    for _ in range(depth):
-        nxt = at.join(steps, F.col("id") == F.col("at")).select("entry", F.col("id").alias("by"), F.col("next").alias("id"), "t").join(seen, ["entry", "id"], "left_anti")
-        w = Window.partitionBy("entry", "by").orderBy("t", "id")
-        once = nxt.groupBy("entry", "id").agg(F.min(F.struct("by", "t")).alias("m")).select("entry", "id", "m.by", "m.t")
-        at = cut(once.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= branching).select("entry", "id"))
+    at = seen = cut(entries.select(F.col("id").alias("entry"), "id", F.lit(0).cast("long").alias("n")))
+
+    def take(p: pd.DataFrame) -> pd.DataFrame:
+        taken: dict[int, int] = {}
+        used: dict[int, int] = {}
+        for n, _, i in sorted(zip(p["n"].tolist(), p["t"].tolist(), p["id"].tolist())):
+            if i not in taken and used.get(n, 0) < branching:
+                taken[i] = len(taken)
+                used[n] = used.get(n, 0) + 1
+        return pd.DataFrame({"entry": int(p["entry"].iloc[0]), "id": list(taken), "n": list(taken.values())})
+
+    for k in range(depth):
+        free = at.join(steps, F.col("id") == F.col("at")).select("entry", "n", F.col("next").alias("id"), "t").join(seen, ["entry", "id"], "left_anti")
+        w = Window.partitionBy("entry", "n").orderBy("t", "id")
+        # those ahead in a level take fewer than branching ** (k + 1) nodes
+        asked = free.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= branching ** (k + 1)).select("entry", "n", "id", "t")
+        at = cut(asked.groupBy("entry").applyInPandas(take, "entry long, id long, n long"))
         seen = seen.unionByName(at)
     sets = seen.groupBy("entry").agg(F.array_sort(F.collect_set("id")).alias("members")).where(F.size("members") >= least)
     return sets.groupBy("members").agg(F.min("entry").alias("entry")).select("entry", "members")

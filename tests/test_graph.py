@@ -152,6 +152,15 @@ def test_flows_against_a_queue(spark, branching):
     assert got == want
 
 
+def test_clusters_have_folders_and_words(spark):
+    e = edges(spark, [(1, 2), (2, 3), (3, 1), (4, 5)])
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)], "id long, label long")
+    names = [(1, "load_user_file", "b/x/a.rb"), (2, "load_user_q", "b/x/b.rb"), (3, "save_user", "a/c.rb"), (4, "z_main", "m.rb"), (5, "main", "a/m.rb")]
+    s = spark.createDataFrame(names, "id long, name string, file string")
+    got = {r["cluster"]: (r["size"], r["cohesion"], r["dir"], r["words"]) for r in G.clusters(e, labels, s).collect()}
+    assert got == {1: (3, 1.0, "b/x", "user,load,file,save"), -1: (2, 1.0, "a", "main")}
+
+
 def test_signature_ignores_order(spark):
     a = spark.createDataFrame([("x", "1"), ("y", None), ("z", "3")], "p string, h string")
     assert G.signature(a, "p", "h") == G.signature(a.orderBy("p", ascending=False), "p", "h") != G.signature(a.where("p <> 'z'"), "p", "h")

@@ -243,15 +243,30 @@ def label_propagation_in_place(edges: DataFrame, rounds: int = 10, most_edges: i
 
 
 def clusters(edges: DataFrame, labels: DataFrame, symbols: DataFrame, least: int = 3) -> DataFrame:
-    """``cluster, size, cohesion``: groups under ``least`` nodes become ``misc`` (-1);
-    cohesion halves the internal edges (each is seen from both ends) and no others."""
+    """``cluster, size, cohesion, dir, words``: groups under ``least`` nodes become ``misc``
+    (-1); cohesion halves the internal edges (each is seen from both ends) and no others.
+
+    ``dir`` is the commonest folder of the members' files (``root`` for none), ``words``
+    the five commonest words of at least two bytes in their names; equals by name.
+    """
+    from pyspark.sql import Window
+
+    from tracewell.functions.text import split_ident_words
+
     sizes = labels.groupBy("label").count()
     named = labels.join(sizes, "label").select("id", F.when(F.col("count") >= least, F.col("label")).otherwise(-1).alias("cluster"))
     adj = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b")))
     both = adj.join(named.withColumnsRenamed({"id": "a", "cluster": "ca"}), "a").join(named.withColumnsRenamed({"id": "b", "cluster": "cb"}), "b")
     links = both.groupBy(F.col("ca").alias("cluster")).agg(F.floor(F.count_if(F.col("ca") == F.col("cb")) / 2).alias("i"), F.count_if(F.col("ca") != F.col("cb")).alias("x"))
     size = named.groupBy("cluster").agg(F.count("*").alias("size"))
-    return size.join(links, "cluster").select("cluster", "size", F.round(F.col("i") / F.greatest(F.col("i") + F.col("x"), F.lit(1)), 6).alias("cohesion"))
+    members = named.join(symbols.select("id", "file", "name"), "id")
+    folder = F.when(F.col("file").contains("/"), F.regexp_replace("file", "/[^/]*$", "")).otherwise("root")
+    dirs = members.groupBy("cluster", folder.alias("dir")).agg(F.count("*").alias("n")).groupBy("cluster").agg(F.min(F.struct((-F.col("n")).alias("n"), "dir")).alias("d"))
+    words = members.select("cluster", F.explode(split_ident_words(F.col("name"))).alias("word")).where(F.octet_length("word") >= 2).groupBy("cluster", "word").agg(F.count("*").alias("n"))
+    best = words.withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "word"))).where("r <= 5")
+    top = best.groupBy("cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]), ",").alias("words"))
+    cohesion = F.round(F.col("i") / F.greatest(F.col("i") + F.col("x"), F.lit(1)), 6).alias("cohesion")
+    return size.join(links, "cluster").join(dirs, "cluster", "left").join(top, "cluster", "left").select("cluster", "size", cohesion, F.coalesce("d.dir", F.lit("root")).alias("dir"), F.coalesce("words", F.lit("")).alias("words"))
 
 
 #: SQL LIKE patterns (ASCII case-insensitive, _ a wildcard) of names and

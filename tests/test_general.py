@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tracewell.operators import activity, changes, hierarchy, orphans, rank
 from tracewell.operators.ordering import numbered
 from tracewell.session import standing
-from tracewell.streaming.feed import ChangeFeed, upsert
+from tracewell.streaming.feed import ChangeFeed, DeltaSink, Store
 
 
 def plain_tree(parents):
@@ -81,7 +81,7 @@ def test_standing_takes_the_greatest(spark):
     assert sorted((r["k"], r["t"], r["v"]) for r in standing(df, "k", ["t"]).collect()) == [("a", 3, None), ("b", None, "y")]
 
 
-def test_changes_against_simulation(spark):
+def test_changes_against_simulation(spark, tmp_path):
     rng = random.Random(5)
     paths = [f"p{i}" for i in range(12)]
     log = [(i, rng.choice(paths), rng.choice([None, "A", "a", "b", "c"]), rng.randrange(100), rng.randrange(100)) for i in range(300)]
@@ -90,13 +90,27 @@ def test_changes_against_simulation(spark):
     runs = [(r, r * 12, r % 3 != 0) for r in range(1, 9)]
     df = spark.createDataFrame(log, "scan_id long, path string, hash string, seen long, landed long")
     part = df.select(
-        changes.log_partition(["path", "scan_id"], 4).alias("part"), "landed", F.struct("landed", "scan_id").alias("offset"), "path",
+        changes.log_partition(["path", "scan_id"], 4).alias("part"), "landed", "scan_id", F.struct("landed", "scan_id").alias("offset"), "path",
         F.struct("seen", "scan_id").alias("version"), F.lower("hash").alias("value"),
     )
-    r = spark.createDataFrame(runs, "run_id int, started long, ok boolean")
-    plan = changes.batch_plan(part, r, "part", "offset", "landed", 4)
+    plan = changes.batch_plan(part, runs, "part", "offset", "landed", 4)
     b = spark.createDataFrame(base, "path string, value string, seen long").select("path", F.struct("seen", F.lit(-1).cast("long").alias("scan_id")).alias("version"), "value")
-    got = {(x["run_id"], x["path"]) for x in changes.changed(changes.committed_batches(part, plan, "part", "offset"), b, "path", "version", "value").collect()}
+    feed, sink = ChangeFeed(spark, f"file://{tmp_path}/feed", "part", ("landed", "scan_id")), DeltaSink(spark, f"file://{tmp_path}/sink", "path", ["version"])
+    for run, started, ok in runs:
+
+        def apply(batch, n):
+            sink.append(batch.select("path", "version", "value"), n)
+            if not ok:
+                raise RuntimeError("lost")
+
+        try:
+            feed.run(part.where(F.col("landed") <= started), apply, str(run))
+        except RuntimeError:
+            assert not ok
+    done = feed.commits()
+    of = spark.createDataFrame([(c["batch"], int(c["label"]), int(c["label"])) for c in done], "batch int, run_id int, seq int")
+    batches = sink.deltas([c["batch"] for c in done]).join(of, "batch").drop("batch")
+    got = {(x["run_id"], x["path"]) for x in changes.changed(batches, b, "path", "version", "value").collect()}
     want, last = set(), {p: v for p, v, _ in base}
     for run, started, ok in runs:
         if not ok:
@@ -117,36 +131,88 @@ def test_changes_against_simulation(spark):
     assert sum(n for (_, ok), n in per.items() if ok) == sum(1 for *_, l in log if l <= 96)
 
 
-def test_feed_survives_failures(spark, tmp_path):
+class Crash(Exception):
+    pass
+
+
+def test_feed_ends_alike_wherever_it_crashes(spark, tmp_path, monkeypatch):
+    """One crash before or after every step of every run: each small file (written, renamed),
+    each delta and each compaction."""
     log = [(i % 3, i, f"k{i % 7}", f"v{i}") for i in range(40)]
-    state, sink = f"file://{tmp_path}/state", f"file://{tmp_path}/sink"
-    seen = []
-
-    def apply(batch, run):
-        rows = batch.select("key", "part", "offset", "value")
-        seen.append((run, rows.count()))
-        upsert(spark, sink, rows, "key", "part", "offset", run)
-        if run == 2 and len([s for s in seen if s[0] == 2]) < 3:
-            raise RuntimeError("lost after the sink was written, before the commit")
-
-    feed = ChangeFeed(spark, state)
-    for upto in (10, 25, 30, 40):
-        df = spark.createDataFrame(log[:upto], "part int, offset long, key string, value string")
-        for _ in range(5):
-            try:
-                feed.run(df, apply)
-                break
-            except RuntimeError:
-                feed = ChangeFeed(spark, state)  # a new process
-    assert [n for r, n in seen if r == 2] == [15, 15, 15]  # the same plan each time
-    assert sum(dict(seen).values()) == 40
-    from tracewell.streaming.feed import Store
-
-    rows = spark.read.parquet(Store(spark, sink).read("current")["data"]).collect()
-    want = {}
-    for _, o, k, v in log:
-        want[k] = v
-    assert {r["key"]: r["value"] for r in rows} == want
+    want = {k: v for _, _, k, v in log}
+    steps = {"at": 0, "crash": None}
+
+    def step(name):
+        steps["at"] += 1
+        if steps["at"] == steps["crash"]:
+            raise Crash(name)
+
+    write, folded = Store.write, DeltaSink._folded
+
+    def stepping(self, name, value):
+        step(f"before {name}")
+        write(self, name, value)
+        step(f"after {name}")
+
+    def half(self, rows, *also):
+        step("before data")
+        return folded(self, rows, *also)
+
+    monkeypatch.setattr(Store, "write", stepping)
+    monkeypatch.setattr(DeltaSink, "_folded", half)
+
+    def history(root):
+        for upto in (10, 25, 40):
+            df = spark.createDataFrame(log[:upto], "part int, offset long, key string, value string")
+            for _ in range(3):
+                try:  # a new process each time
+                    feed, sink = ChangeFeed(spark, f"{root}/feed"), DeltaSink(spark, f"{root}/sink", "key", ["offset"], 4)
+                    feed.run(df, lambda b, n: sink.append(b.select("key", "offset", "value"), n))
+                    if upto == 25:
+                        sink.compact([c["batch"] for c in feed.commits()])
+                    break
+                except Crash:
+                    continue
+        done = [c["batch"] for c in feed.commits()]
+        assert done == [1, 2, 3]
+        assert sum(r["n"] for r in sink.deltas(done).groupBy("batch").agg(F.count("*").alias("n")).collect()) == 21  # seven keys each, no record twice
+        monkeypatch.setattr(DeltaSink, "_folded", folded)
+        got = {r["key"]: r["value"] for r in sink.table(done).collect()}
+        monkeypatch.setattr(DeltaSink, "_folded", half)
+        assert got == want
+
+    history(f"file://{tmp_path}/whole")
+    total = steps["at"]
+    assert total >= 20
+    for k in range(1, total + 1):
+        steps.update(at=0, crash=k)
+        history(f"file://{tmp_path}/{k}")
+
+
+def test_store_replaces_in_one_step(spark, tmp_path, monkeypatch):
+    store = Store(spark, f"file://{tmp_path}/s")
+    store.write("x", {"n": 1})
+
+    class Broken:
+        def rename(self, *_):
+            raise Crash
+
+    monkeypatch.setattr(store, "context", Broken())
+    with pytest.raises(Crash):
+        store.write("x", {"n": 2})
+    assert store.read("x") == {"n": 1} and store.read("y") is None
+
+
+def test_feed_of_nothing(spark, tmp_path):
+    feed = ChangeFeed(spark, f"file://{tmp_path}/f")
+    empty = spark.createDataFrame([], "part int, offset long, key string")
+    assert feed.run(empty, lambda b, n: 1 / 0) == 0 and feed.commits() == []
+    sink = DeltaSink(spark, f"file://{tmp_path}/s", "key", ["offset"])
+    assert sink.table([]) is None and sink.deltas([3]) is None
+    nulls = spark.createDataFrame([(0, 1, None), (0, 2, None), (0, 2, None)], "part int, offset long, key string")
+    assert feed.run(nulls, lambda b, n: sink.append(b.select("key", "offset"), n)) == 1
+    assert feed.run(nulls, lambda b, n: 1 / 0) == 0  # nothing new
+    assert [tuple(r) for r in sink.table([1]).collect()] == [(None, 2)]
 
 
 def test_orphans_in_steps_match_one_batch(spark):

@@ -1,13 +1,11 @@
-"""Change capture over an append log: per-partition offsets, a write-ahead batch
-plan that is replayed after a failure, and a sink that keeps one row per key and run."""
+"""Change capture over an append log: log partitions, what each run has to read, and the
+keys that changed between runs (the feed itself: :mod:`tracewell.streaming.feed`)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.session import cut
-
 
 def epoch_us(ntz: Column) -> Column:
     """Epoch microseconds of a zone-less UTC time, whatever the session's zone."""
@@ -22,45 +20,36 @@ def log_partition(key: list[str], n: int) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(n)).cast("int")
 
 
-def batch_plan(log: DataFrame, runs: DataFrame, partition: str, offset: str, landed: str, partitions: int) -> DataFrame:
-    """The write-ahead plan: ``run_id, seq, committed, part, from_offset, to_offset, records``.
+def batch_plan(log: DataFrame, runs: list[tuple], partition: str, offset: str, landed: str, partitions: int) -> DataFrame:
+    """What each run has to read: ``run_id, seq, committed, part, from_offset, to_offset, records``.
 
-    ``runs`` has ``run_id, started, ok``.  A run covers each partition from what
+    ``runs`` lists ``(run_id, started, ok)``.  A run covers each partition from what
     the last ok run committed (exclusive) to the greatest offset landed by its
-    start (inclusive); the plan of a run that failed is replayed by the next one,
+    start (inclusive); what a failed run had planned falls to the next one,
     whose range starts at the same offset.  ``offset`` is unique in a partition and
-    grows with ``landed``.  The plan has runs x partitions rows at most.
+    grows with ``landed``.  Records fold to one row per partition and run before
+    anything is ordered, so the windows hold runs x partitions rows at most.
     """
-    starts = runs.select("run_id", "started", "ok")
-    seen = log.groupBy(partition, landed).agg(F.max(offset).alias("o"), F.count("*").alias("c"))
-    # as-of by union: runs go to every partition, records meet the next run's start
-    marks = starts.withColumn(partition, F.explode(F.sequence(F.lit(0), F.lit(partitions - 1))))
-    every = seen.select(F.col(partition).alias("part"), F.col(landed).alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("int").alias("run_id"), F.lit(None).cast("boolean").alias("ok"), "o", "c").unionByName(
-        marks.select(F.col(partition).alias("part"), F.col("started").alias("at"), F.lit(1).alias("kind"), "run_id", "ok", F.lit(None).cast(seen.schema["o"].dataType).alias("o"), F.lit(0).cast("long").alias("c"))
-    )
-    w = Window.partitionBy("part").orderBy("at", "kind", "run_id").rowsBetween(Window.unboundedPreceding, 0)
-    ends = every.withColumn("to_offset", F.max("o").over(w)).withColumn("total", F.sum("c").over(w)).where("kind = 1")
-    before = Window.partitionBy("part").orderBy("at", "run_id").rowsBetween(Window.unboundedPreceding, -1)
+    runs = sorted(runs, key=lambda r: (r[1], r[0]))
+    spark, kind = log.sparkSession, log.schema[landed].dataType
+    due = F.size(F.filter(F.array(*[F.lit(r[1]).cast(kind) for r in runs]), lambda s: s < F.col(landed))) if runs else F.lit(0)
+    seen = log.groupBy(F.col(partition).alias("part"), due.alias("n")).agg(F.max(offset).alias("o"), F.count("*").alias("c"))
+    marks = spark.createDataFrame([(k, r[0], bool(r[2])) for k, r in enumerate(runs)], "n int, run_id int, committed boolean")
+    every = marks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(partitions - 1)))).join(seen, ["part", "n"], "left")
+    w = Window.partitionBy("part").orderBy("n")
+    sofar, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    ends = every.withColumn("to_offset", F.max("o").over(sofar)).withColumn("total", F.coalesce(F.sum("c").over(sofar), F.lit(0)))
     return ends.select(
         "run_id",
-        F.dense_rank().over(Window.partitionBy("part").orderBy("at", "run_id")).alias("seq"),
-        F.col("ok").alias("committed"),
+        (F.col("n") + 1).alias("seq"),
+        "committed",
         "part",
-        F.max(F.when(F.col("ok"), F.col("to_offset"))).over(before).alias("from_offset"),
+        F.max(F.when(F.col("committed"), F.col("to_offset"))).over(before).alias("from_offset"),
         "to_offset",
-        (F.col("total") - F.coalesce(F.max(F.when(F.col("ok"), F.col("total"))).over(before), F.lit(0))).alias("records"),
+        (F.col("total") - F.coalesce(F.max(F.when(F.col("committed"), F.col("total"))).over(before), F.lit(0))).alias("records"),
     )
 
 
-def committed_batches(log: DataFrame, plan: DataFrame, partition: str, offset: str) -> DataFrame:
-    """Every log record with the ok run (``run_id, seq``) whose plan covers it;
-    records no ok run covers yet are left out."""
-    p = plan.where("committed").select("run_id", "seq", F.col("part").alias("_part"), "from_offset", "to_offset")
-    covered = (F.col(partition) == F.col("_part")) & (F.col(offset) <= F.col("to_offset")) & (F.col("from_offset").isNull() | (F.col(offset) > F.col("from_offset")))
-    # bound: runs x partitions rows, both fixed by the job's configuration
-    return log.join(F.broadcast(p), covered).drop("_part", "from_offset", "to_offset")
-
-
 def changed(batches: DataFrame, base: DataFrame, key: str, version: str, value: str) -> DataFrame:
     """``run_id, key`` of every key whose value is set and differs from the last ok run's.
 
@@ -78,8 +67,3 @@ def changed(batches: DataFrame, base: DataFrame, key: str, version: str, value:
         .withColumn("was", F.lag("now").over(by))
     )
     return states.where("seq > 0 AND now IS NOT NULL AND NOT (now <=> was)").select("run_id", key)
-
-
-def write_ahead(plan: DataFrame) -> DataFrame:
-    """The plan as written before any of its batches is read."""
-    return cut(plan)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import changes, hierarchy, orphans, timeline
-from tracewell.session import blank_to_null, cut, standing, table
+from tracewell.session import blank_to_null, cut, scratch_folder, standing, table
+from tracewell.streaming.feed import ChangeFeed, DeltaSink
 
 
 def hit_times(spark: SparkSession, d: str, costs: timeline.Costs = timeline.Costs()) -> DataFrame:
@@ -88,40 +89,80 @@ LOG_PARTITIONS = 32
 
 
 def scan_log(spark: SparkSession, d: str) -> DataFrame:
-    """file_scan as an append log: part, offset (landing time, scan id, hash), path, version."""
+    """file_scan as an append log: part, offset (landing time, scan id), path, version, value."""
     rows = table(spark, d, "file_scan").select("scan_id", "path", "hash", "seen_at", "landed_at").where("path IS NOT NULL AND landed_at IS NOT NULL")
-    value = F.lower("hash")
     return rows.select(
         changes.log_partition(["path", "scan_id"], LOG_PARTITIONS).alias("part"),
-        changes.epoch_us(F.col("landed_at")).alias("landed"),
-        F.struct(changes.epoch_us(F.col("landed_at")).alias("landed"), F.col("scan_id")).alias("offset"),
+        "landed_at",
+        "scan_id",
+        F.struct("landed_at", "scan_id").alias("offset"),
         "path",
         F.struct(changes.epoch_us(F.col("seen_at")).alias("seen"), F.lit(1).alias("scan"), F.col("scan_id")).alias("version"),
-        value.alias("value"),
+        F.lower("hash").alias("value"),
     )
 
 
+def scan_runs(spark: SparkSession, d: str) -> list[tuple]:
+    """``(run_id, started_at, status)`` in order of their start; the runs are configuration."""
+    runs = table(spark, d, "index_runs").where("started_at IS NOT NULL").select("run_id", "started_at", "status").dropDuplicates(["run_id"]).collect()
+    return sorted((tuple(r) for r in runs), key=lambda r: (r[1], r[0]))
+
+
 def run_plan(spark: SparkSession, d: str, log: DataFrame) -> DataFrame:
-    runs = table(spark, d, "index_runs").where("started_at IS NOT NULL").dropDuplicates(["run_id"])
-    runs = runs.select("run_id", changes.epoch_us(F.col("started_at")).alias("started"), F.coalesce(F.col("status") == "ok", F.lit(False)).alias("ok"))
-    return changes.write_ahead(changes.batch_plan(log, runs, "part", "offset", "landed", LOG_PARTITIONS))
+    return changes.batch_plan(log, [(i, at, status == "ok") for i, at, status in scan_runs(spark, d)], "part", "offset", "landed_at", LOG_PARTITIONS)
 
 
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
+class RunLost(Exception):
+    """A run of the tables' past that did not reach its commit."""
+
+
+def replay_runs(spark: SparkSession, d: str, root: str) -> tuple[ChangeFeed, DeltaSink]:
+    """The runs of index_runs, one after the other, through the feed into the sink at ``root``.
+
+    A failed run is lost after the sink took its batch, any other that is not ok
+    before; either way its plan stays open and the next run replays it.
+    """
     log = scan_log(spark, d)
-    plan = run_plan(spark, d, log)
+    feed = ChangeFeed(spark, f"{root}/feed", "part", ("landed_at", "scan_id"))
+    sink = DeltaSink(spark, f"{root}/sink", "path", ["version"])
+    ends: dict[int, dict] = {}
+    for r in run_plan(spark, d, log).where("to_offset IS NOT NULL").select("run_id", "part", "to_offset").collect():  # runs x partitions
+        ends.setdefault(r["run_id"], {})[str(r["part"])] = [str(v) for v in r["to_offset"]]
+    for run_id, _, status in scan_runs(spark, d):
+
+        def apply(batch: DataFrame, number: int) -> None:
+            if status not in ("ok", "failed"):
+                raise RunLost(run_id)
+            sink.append(batch.select("path", "version", "value"), number)
+            if status == "failed":
+                raise RunLost(run_id)
+
+        try:
+            feed.run(log, apply, str(run_id), ends.get(run_id, {}))
+        except RunLost:
+            pass
+    return feed, sink
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    feed, sink = replay_runs(spark, d, scratch_folder(spark))
     files = standing(table(spark, d, "index_files").select("path", "hash", "indexed_at"), "path", ["indexed_at"])
     base = files.select(
         "path",
         F.struct((F.col("indexed_at") * 1_000_000).alias("seen"), F.lit(0).alias("scan"), F.lit(None).cast("long").alias("scan_id")).alias("version"),
         F.lower("hash").alias("value"),
     )
-    batches = changes.committed_batches(log, plan, "part", "offset")
-    return changes.changed(batches, base, "path", "version", "value")
+    order = {str(r[0]): k for k, r in enumerate(scan_runs(spark, d), 1)}
+    done = feed.commits()
+    deltas = sink.deltas([c["batch"] for c in done])
+    if deltas is None:
+        return spark.createDataFrame([], "run_id int, path string")
+    of = spark.createDataFrame([(c["batch"], int(c["label"]), order[c["label"]]) for c in done], "batch int, run_id int, seq int")  # a row per batch
+    return changes.changed(deltas.join(F.broadcast(of), "batch").drop("batch"), base, "path", "version", "value")
 
 
 def p3_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Records per run of the write-ahead plan, replays included."""
+    """Records each run has to read, those of lost runs before it included."""
     plan = run_plan(spark, d, scan_log(spark, d))
     return plan.groupBy("run_id", "committed").agg(F.sum("records").alias("records"))
 
@@ -237,6 +278,9 @@ ORACLES = {
     "p2_descendants": f"""WITH RECURSIVE {_STANDING} SELECT seen[i] AS ancestor, id AS descendant, i - 1 AS distance
       FROM (SELECT id, seen, unnest(range(2, len(seen) + 1)) AS i FROM named WHERE NOT caught)""",
     "p3_found": f"WITH {_STATES} SELECT run_id, path FROM g WHERE run_id > 0 AND hash IS NOT NULL AND hash IS DISTINCT FROM was",
+    "p3_plan": """WITH r AS (SELECT DISTINCT run_id, started_at, coalesce(status = 'ok', false) AS committed FROM index_runs),
+      n AS (SELECT r.*, (SELECT count(*) FROM file_scan f WHERE f.path IS NOT NULL AND f.landed_at <= r.started_at) AS total FROM r)
+      SELECT run_id, committed, total - coalesce((SELECT max(b.total) FROM n b WHERE b.committed AND b.started_at < n.started_at), 0) AS records FROM n""",
     "p5_found": f"WITH {_REFS} SELECT table_name, ref_id, period FROM p",
     "p5_orphans_per_period": f"WITH {_REFS} SELECT table_name, period, count(*) AS orphans FROM p GROUP BY ALL",
 }

@@ -34,10 +34,16 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names.
+
+    Only a local master may go without: there a temporary folder is shared by all.
+    On a cluster a machine-local folder would lose tables, so none is made up.
+    """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder every executor shares")
         root = "file://" + tempfile.mkdtemp(prefix="tracewell-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -62,6 +68,13 @@ def _sweep() -> None:
 atexit.register(_sweep)
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder of its own under the shared scratch folder; it goes when the process ends."""
+    path = f"{scratch_dir(spark)}/tracewell-{uuid.uuid4().hex}"
+    _MADE.setdefault("paths", set()).add(path)
+    return path
+
+
 def cut(df: DataFrame, partitioned: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
@@ -70,8 +83,7 @@ def cut(df: DataFrame, partitioned: list[str] | None = None) -> DataFrame:
     earlier through :func:`drop`.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/tracewell-{uuid.uuid4().hex}"
-    _MADE.setdefault("paths", set()).add(path)
+    path = scratch_folder(spark)
     writer = df.write.mode("overwrite")
     if partitioned:
         writer = writer.partitionBy(*partitioned)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.session import cut
+from tracewell.session import cut, scratch_folder
 
 HEAVY = 64  # a key with more than 1/HEAVY of all references is heavy; there are fewer than HEAVY
 
@@ -85,6 +85,78 @@ class OrphanState:
         return self.pending.groupBy(*by).agg(F.count("*").alias("orphans"))
 
 
+class OrphanReplay:
+    """The pending state kept as a log of transitions, one batch per period.
+
+    ``refs`` (any columns with ``key`` and ``step``) and ``events`` (``key, step,
+    delta``: +1 where a parent row arrives, -1 where one goes) are written once, a
+    folder a step and by key within it.  A batch looks up only the keys it touches: its own references
+    probe the parents' counts, parents that arrive resolve the references waiting for
+    them, parents that go reopen theirs.  What changes is appended to the log; nothing
+    older is rewritten.  A null key is no reference; a null step belongs to the first.
+
+    Skew: batches meet their keys as joins AQE may broadcast or split (references are
+    on the split side), counts and keys are combined before they are shuffled.
+    """
+
+    def __init__(self, refs: DataFrame, events: DataFrame, ident: list[str], key: str = "key"):
+        self.key, self.ident = key, ident
+        n = max(1, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        first = F.coalesce("step", F.lit(0)).alias("step")
+        own = [c for c in refs.columns if c not in (key, "step")]
+        laid = lambda df: cut(df.repartitionByRange(n, "step", key).sortWithinPartitions("step", key), ["step"])
+        self.refs = laid(refs.where(F.col(key).isNotNull()).select(key, first, *own))
+        counts = events.where(F.col(key).isNotNull()).groupBy(key, first).agg(F.sum("delta").alias("delta")).where("delta <> 0")
+        self.events = laid(counts)
+        self.root = scratch_folder(refs.sparkSession)
+        self.done: list[int] = []
+
+    def transitions(self, step: int) -> DataFrame:
+        """What the batch of ``step`` changes: the reference, its key and ``now`` (-1 it
+        waits, 1 it is resolved) and ``was`` (0 for a new one)."""
+        k = self.key
+        # steps are folders: a batch's number prunes files and is in no expression, so
+        # every batch runs what was compiled for the first
+        new, old = self.refs.where(F.col("step") == step), self.refs.where(F.col("step") < step)
+        came = self.events.where(F.col("step") == step).select(k, "delta", F.lit(0).alias("past"))
+        past = self.events.where(F.col("step") < step).select(k, "delta", F.col("delta").alias("past"))
+        touched = new.select(k).unionByName(came.select(k)).distinct()
+        sofar = past.unionByName(came).join(touched, k, "left_semi")
+        sign = lambda there: F.when(there, 1).otherwise(-1)
+        stand = sofar.groupBy(k).agg(sign(F.sum("delta") > 0).alias("now"), sign(F.sum("past") > 0).alias("was"))
+        cols = [k, *self.ident]
+        fresh = new.join(stand.select(k, "now"), k, "left").select(*cols, F.coalesce("now", F.lit(-1)).alias("now"), F.lit(0).alias("was"))
+        flipped = old.join(stand.where("now <> was"), k).select(*cols, "now", "was")
+        return fresh.unionByName(flipped)
+
+    def run(self, steps: list[int]) -> OrphanReplay:
+        for step in sorted(steps):
+            self.transitions(step).write.mode("overwrite").parquet(f"{self.root}/step={step}")
+            self.done.append(step)
+        return self
+
+    def log(self) -> DataFrame:
+        """All transitions so far with their ``step``."""
+        if not self.done:
+            return self.transitions(0).withColumn("step", F.lit(0)).limit(0)
+        spark = self.refs.sparkSession
+        return spark.read.option("basePath", self.root).parquet(*[f"{self.root}/step={s}" for s in self.done])
+
+    def pending(self) -> DataFrame:
+        """The references that wait after the last batch."""
+        last = self.log().groupBy(*self.ident).agg(F.max(F.struct("step", "now")).alias("l"))
+        return last.where("l.now < 0").select(*self.ident)
+
+    def snapshots(self, *by: str) -> DataFrame:
+        """``step, by, orphans`` after every batch, where any wait."""
+        change = F.when(F.col("now") < 0, 1).otherwise(0) - F.when(F.col("was") < 0, 1).otherwise(0)
+        moves = self.log().groupBy("step", *by).agg(F.sum(change).alias("c"))
+        known = moves.select(*by).distinct().withColumn("step", F.explode(F.array(*[F.lit(s) for s in self.done]) if self.done else F.array().cast("array<int>")))
+        w = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+        total = known.join(moves, ["step", *by], "left").withColumn("orphans", F.coalesce(F.sum("c").over(w), F.lit(0)))
+        return total.where("orphans > 0").select("step", *by, "orphans")
+
+
 def leaf(name: Column) -> Column:
     """What follows the last ``::``, ``#`` or ``.`` of a name."""
     return F.regexp_replace(name, r"(?s)^.*(?:::|#|\.)", "")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.operators import changes, hierarchy, orphans, timeline
@@ -167,6 +167,11 @@ def p3_plan(spark: SparkSession, d: str) -> DataFrame:
     return plan.groupBy("run_id", "committed").agg(F.sum("records").alias("records"))
 
 
+def _month(at: str) -> Column:
+    """The UTC month of epoch seconds, whatever the session's zone."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(at) / 86_400).cast("int")), "yyyy-MM")
+
+
 def symbol_refs(spark: SparkSession, d: str) -> DataFrame:
     """Every reference with the key it needs: ``u:`` a uid, ``l:`` a leaf."""
     edges = table(spark, d, "index_edges").select("id", "dst", "resolved", "target", "indexed_at")
@@ -175,7 +180,7 @@ def symbol_refs(spark: SparkSession, d: str) -> DataFrame:
         F.col("resolved") == 1, F.concat(F.lit("l:"), orphans.leaf(F.regexp_replace("target", r"^\s+|\s+$", "")))
     )
     names = table(spark, d, "ruby_hybrid_unresolved").where("op = 'added'")
-    period = F.date_format(F.timestamp_seconds("indexed_at"), "yyyy-MM").alias("period")
+    period = _month("indexed_at").alias("period")
     return (
         edges.select(F.lit("index_edges").alias("table_name"), F.col("id").alias("ref_id"), period, edge_key.alias("key"))
         .unionByName(
@@ -191,25 +196,42 @@ def symbol_refs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def symbol_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Keys of every symbol that exists: live rows of index_symbols and core_symbols."""
-    live = table(spark, d, "index_symbols").where("dropped_at IS NULL").select("uid", "name")
-    every = live.unionByName(table(spark, d, "core_symbols").select("uid", "name"))
-    both = F.array(F.concat(F.lit("u:"), "uid"), F.concat(F.lit("l:"), orphans.leaf(F.col("name"))))
-    return every.select(F.explode(both).alias("key")).where("key IS NOT NULL").distinct()
+def symbol_events(spark: SparkSession, d: str) -> DataFrame:
+    """``key, period, delta`` of every parent row: +1 in the month it is indexed, -1 in
+    the month it is dropped if that is a later one (else it never was there); symbols
+    of the standard libraries are there from the start (null period)."""
+    rows = table(spark, d, "index_symbols").select("uid", "name", "id", _month("indexed_at").alias("came"), _month("dropped_at").alias("went")).distinct()
+    core = table(spark, d, "core_symbols").select("uid", "name", F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("came"), F.lit(None).cast("string").alias("went")).distinct()
+    there = rows.unionByName(core).where("went IS NULL OR came < went")
+    keys = F.array(F.concat(F.lit("u:"), "uid"), F.concat(F.lit("l:"), orphans.leaf(F.col("name"))))
+    moves = F.array(F.struct(F.col("came").alias("period"), F.lit(1).alias("delta")), F.struct(F.col("went").alias("period"), F.lit(-1).alias("delta")))
+    moves = F.filter(moves, lambda m: (m["delta"] > 0) | m["period"].isNotNull())
+    return there.select(F.explode(keys).alias("key"), moves.alias("moves")).where("key IS NOT NULL").select("key", F.inline("moves"))
 
 
-def pending_references(spark: SparkSession, d: str) -> orphans.OrphanState:
-    refs = symbol_refs(spark, d)
-    return orphans.OrphanState.empty(refs, "key").apply(refs=refs, arrived=symbol_keys(spark, d), keep_resolved=False)
+def orphan_replay(spark: SparkSession, d: str) -> tuple[orphans.OrphanReplay, list[str]]:
+    """References, arrivals and drops replayed month by month, and the months."""
+    refs, events = cut(symbol_refs(spark, d)), symbol_events(spark, d)
+    months = refs.select("period").unionByName(events.select("period")).where("period IS NOT NULL").distinct()
+    months = sorted(r[0] for r in months.collect())  # a row per month
+    step = F.array_position(F.array(*[F.lit(m) for m in months]), F.col("period")).cast("int") if months else F.lit(0)
+    replay = orphans.OrphanReplay(refs.withColumn("step", F.coalesce(step, F.lit(1))), events.withColumn("step", step), ["table_name", "ref_id", "period"])
+    return replay.run(list(range(1, len(months) + 1))), months
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return pending_references(spark, d).pending.select("table_name", "ref_id", "period")
+    return orphan_replay(spark, d)[0].pending()
 
 
 def p5_orphans_per_period(spark: SparkSession, d: str) -> DataFrame:
-    return pending_references(spark, d).snapshot("table_name", "period")
+    return p5_found(spark, d).groupBy("table_name", "period").agg(F.count("*").alias("orphans"))
+
+
+def p5_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Waiting references per table and month of the reference, as of the end of each month."""
+    replay, months = orphan_replay(spark, d)
+    names = F.array(*[F.lit(m) for m in months]) if months else F.array().cast("array<string>")
+    return replay.snapshots("table_name", "period").select(F.get(names, F.col("step") - 1).alias("as_of"), "table_name", "period", "orphans")
 
 
 QUERIES = {
@@ -223,6 +245,7 @@ QUERIES = {
     "p3_plan": p3_plan,
     "p5_found": p5_found,
     "p5_orphans_per_period": p5_orphans_per_period,
+    "p5_snapshots": p5_snapshots,
 }
 
 _STANDING = """

@@ -108,22 +108,27 @@ class OrphanReplay:
         self.refs = laid(refs.where(F.col(key).isNotNull()).select(key, first, *own))
         counts = events.where(F.col(key).isNotNull()).groupBy(key, first).agg(F.sum("delta").alias("delta")).where("delta <> 0")
         self.events = laid(counts)
+        self.touched = laid(self.refs.select("step", key).unionByName(self.events.select("step", key)).distinct())
         self.root = scratch_folder(refs.sparkSession)
         self.done: list[int] = []
 
-    def transitions(self, step: int) -> DataFrame:
-        """What the batch of ``step`` changes: the reference, its key and ``now`` (-1 it
-        waits, 1 it is resolved) and ``was`` (0 for a new one)."""
-        k = self.key
+    def _standing(self, step: int) -> DataFrame:
+        """``key, now, was`` (1 its parent is there, -1 not) of the keys a batch touches."""
         # steps are folders: a batch's number prunes files and is in no expression, so
         # every batch runs what was compiled for the first
-        new, old = self.refs.where(F.col("step") == step), self.refs.where(F.col("step") < step)
+        k = self.key
         came = self.events.where(F.col("step") == step).select(k, "delta", F.lit(0).alias("past"))
         past = self.events.where(F.col("step") < step).select(k, "delta", F.col("delta").alias("past"))
-        touched = new.select(k).unionByName(came.select(k)).distinct()
-        sofar = past.unionByName(came).join(touched, k, "left_semi")
+        sofar = past.unionByName(came).join(self.touched.where(F.col("step") == step).select(k), k, "left_semi")
         sign = lambda there: F.when(there, 1).otherwise(-1)
-        stand = sofar.groupBy(k).agg(sign(F.sum("delta") > 0).alias("now"), sign(F.sum("past") > 0).alias("was"))
+        return sofar.groupBy(k).agg(sign(F.sum("delta") > 0).alias("now"), sign(F.sum("past") > 0).alias("was"))
+
+    def transitions(self, step: int) -> DataFrame:
+        """What the batch of ``step`` changes: the reference, its key and ``now`` (-1 it
+        waits, 1 it is resolved) and ``was`` (0 for a new one)."""
+        k = self.key
+        stand = cut(self._standing(step))  # written, so its size is known before the joins are planned
+        new, old = self.refs.where(F.col("step") == step), self.refs.where(F.col("step") < step)
         cols = [k, *self.ident]
         fresh = new.join(stand.select(k, "now"), k, "left").select(*cols, F.coalesce("now", F.lit(-1)).alias("now"), F.lit(0).alias("was"))
         flipped = old.join(stand.where("now <> was"), k).select(*cols, "now", "was")

@@ -215,22 +215,40 @@ def test_feed_of_nothing(spark, tmp_path):
     assert [tuple(r) for r in sink.table([1]).collect()] == [(None, 2)]
 
 
-def test_orphans_in_steps_match_one_batch(spark):
-    rng = random.Random(1)
-    refs = [(i, "hot" if i % 3 == 0 else rng.choice("abcdefgh"), i * 10) for i in range(120)]  # one key holds a third
-    mk = lambda rows: spark.createDataFrame(rows, "id long, key string, n int")
-    keys = lambda ks: spark.createDataFrame([(k,) for k in ks], "key string")
-    s = orphans.OrphanState.empty(mk(refs[:1]), "key")
-    s = s.apply(refs=mk(refs[:50]), arrived=keys(["a", "hot"]))
-    s = s.apply(refs=mk(refs[50:]), arrived=keys(["b", "c"]))
-    s = s.apply(gone=keys(["hot"]))
-    s = s.apply(gone=keys(["c"]), arrived=keys(["c", "d"]))
-    live = {"a", "b", "c", "d"}
-    assert {r["id"] for r in s.pending.collect()} == {i for i, k, _ in refs if k not in live}
-    assert {r["id"] for r in s.resolved.collect()} == {i for i, k, _ in refs if k in live}
-    assert {r["key"]: r["orphans"] for r in s.snapshot("key").collect()}["hot"] == 40
-    none = orphans.OrphanState.empty(mk(refs[:1]), "key").apply(refs=spark.createDataFrame([(1, None, 1)], "id long, key string, n int"))
-    assert none.pending.count() == 0 and none.resolved.count() == 0
+@pytest.mark.parametrize("seed,size", [(1, 1), (2, 3), (3, 99)])
+def test_orphan_replay_against_simulation(spark, seed, size):
+    """References, arrivals and drops month by month: every snapshot and the last state."""
+    rng = random.Random(seed)
+    months = [f"2025-{m:02d}" for m in range(1, 8)]
+    refs = [(f"r{i}", "t" if i % 2 else None, rng.choice([*months, None]), "hot" if i % 3 == 0 else rng.choice([*"abcdef", None])) for i in range(150)]
+    rows = []
+    for k in ["hot", *"abcde"]:
+        for _ in range(rng.randrange(1, 4)):
+            came = rng.choice([None, *months])
+            went = rng.choice([None, *[m for m in months if m > (came or "")]])
+            rows.append((k, came, went))
+    r = spark.createDataFrame([(i, t, s, k) for i, t, s, k in refs], "id string, kind string, step string, key string")
+    e = spark.createDataFrame([x for k, a, b in rows for x in ([(k, a, 1)] + ([(k, b, -1)] if b else []))], "key string, step string, delta int")
+    replay = orphans.OrphanReplay(r, e, ["id", "kind"])
+    steps = replay.steps()
+    replay.run([steps[i : i + size] for i in range(0, len(steps), size)])
+    alive = lambda k, m: any((a or "") <= m and (b is None or b > m) for q, a, b in rows if q == k)
+    known = [x for x in refs if x[3] is not None]
+    assert {(x["id"], x["kind"]) for x in replay.pending().collect()} == {(i, t) for i, t, s, k in known if not alive(k, "9")}
+    got = {(x["step"], x["kind"]): x["orphans"] for x in replay.snapshots("kind").collect()}
+    want = defaultdict(int)
+    for m in steps:
+        for i, t, s, k in known:
+            if (s or orphans.FIRST) <= m and not alive(k, "" if m == orphans.FIRST else m):
+                want[m, t] += 1
+    assert got == dict(want)
+    assert replay.log().groupBy("id", "step").count().where("count > 1").isEmpty()
+
+
+def test_orphan_replay_of_nothing(spark):
+    r, e = spark.createDataFrame([], "id string, step string, key string"), spark.createDataFrame([], "key string, step string, delta int")
+    replay = orphans.OrphanReplay(r, e, ["id"]).run([])
+    assert replay.steps() == [] and replay.pending().collect() == [] and replay.snapshots("id").collect() == []
 
 
 def test_leaf(spark):

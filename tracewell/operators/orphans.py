@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,133 +17,74 @@ def heavy_keys(refs: DataFrame, key: str) -> list:
     return [r[0] for r in counts.where(F.col("count") > F.lit(total) / HEAVY).select(key).collect()]
 
 
-def unresolved(refs: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    """Rows of ``refs`` whose ``key`` is not in ``index`` (column ``key``).
-
-    Heavy keys (a bounded list) are looked up once and filtered in place, so their
-    rows are never shuffled; the rest meets the index in a shuffled anti join.
-    """
-    heavy = heavy_keys(refs, key)
-    index = index.select(key).where(F.col(key).isNotNull()).distinct()
-    if not heavy:
-        return refs.join(index, key, "left_anti")
-    there = [r[0] for r in index.where(F.col(key).isin(heavy)).collect()]
-    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    light = refs.where(~is_heavy).join(index, key, "left_anti")
-    gone = [k for k in heavy if k not in set(there)]
-    return light.unionByName(refs.where(F.col(key).isin(gone)).select(*light.columns)) if gone else light
-
-
-@dataclass
-class OrphanState:
-    """Pending and resolved references and the live parent keys.
-
-    ``pending`` and ``resolved`` hold references (any columns with ``key``),
-    ``alive`` the distinct keys that exist.  Each step is written to the shared
-    folder, so a step reads the last one's tables and nothing older.
-    """
-
-    pending: DataFrame
-    resolved: DataFrame
-    alive: DataFrame
-    key: str
-
-    @staticmethod
-    def empty(refs_like: DataFrame, key: str) -> OrphanState:
-        none = refs_like.limit(0)
-        return OrphanState(none, none, none.select(key), key)
-
-    def apply(self, refs: DataFrame | None = None, arrived: DataFrame | None = None, gone: DataFrame | None = None, keep_resolved: bool = True) -> OrphanState:
-        """One batch: ``gone`` parents reopen their references, ``arrived`` parents
-        resolve waiting ones, new ``refs`` probe the index.  A key in both
-        ``gone`` and ``arrived`` is there afterwards.  Null keys never wait: a
-        reference without a key is no reference.
-        """
-        k = self.key
-        alive = self.alive
-        if gone is not None:
-            alive = alive.join(gone.select(k), k, "left_anti")
-        if arrived is not None:
-            alive = alive.unionByName(arrived.select(k).where(F.col(k).isNotNull())).distinct()
-        alive = cut(alive)
-        asked = self.pending if refs is None else self.pending.unionByName(refs.where(F.col(k).isNotNull()))
-        if gone is not None:
-            back = self.resolved.join(gone.select(k).distinct(), k, "left_semi")
-            asked = asked.unionByName(back.select(*asked.columns))
-        asked = cut(asked)
-        pending = cut(unresolved(asked, alive, k).select(*asked.columns))
-        resolved = self.resolved
-        if keep_resolved:
-            kept = self.resolved if gone is None else self.resolved.join(gone.select(k).distinct(), k, "left_anti").select(*asked.columns)
-            resolved = cut(kept.unionByName(asked.join(alive, k, "left_semi").select(*asked.columns)))
-        return OrphanState(pending, resolved, alive, k)
-
-    def snapshot(self, *by: str | Column) -> DataFrame:
-        """Counts of pending references by the given columns."""
-        return self.pending.groupBy(*by).agg(F.count("*").alias("orphans"))
+FIRST = "!"  # the step before all others, as text
 
 
 class OrphanReplay:
-    """The pending state kept as a log of transitions, one batch per period.
+    """The pending state kept as a log of transitions.
 
     ``refs`` (any columns with ``key`` and ``step``) and ``events`` (``key, step,
     delta``: +1 where a parent row arrives, -1 where one goes) are written once, a
-    folder a step and by key within it.  A batch looks up only the keys it touches: its own references
-    probe the parents' counts, parents that arrive resolve the references waiting for
-    them, parents that go reopen theirs.  What changes is appended to the log; nothing
-    older is rewritten.  A null key is no reference; a null step belongs to the first.
-
-    Skew: batches meet their keys as joins AQE may broadcast or split (references are
-    on the split side), counts and keys are combined before they are shuffled.
+    folder a step.  A batch is a run of steps and looks up only the keys it touches:
+    its own references probe the parents' counts as of their step, parents that arrive
+    resolve the references waiting for them, parents that go reopen theirs.  What
+    changes is appended to the log; nothing older is rewritten.  A null key is no
+    reference; a null step comes before all others.
+
+    Skew: counts are combined per key and step before anything is ordered, and
+    references meet them in joins that AQE may broadcast or split on the references' side.
     """
 
     def __init__(self, refs: DataFrame, events: DataFrame, ident: list[str], key: str = "key"):
         self.key, self.ident = key, ident
         n = max(1, int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        first = F.coalesce("step", F.lit(0)).alias("step")
+        first = F.coalesce("step", F.lit(FIRST)).alias("step")
         own = [c for c in refs.columns if c not in (key, "step")]
-        laid = lambda df: cut(df.repartitionByRange(n, "step", key).sortWithinPartitions("step", key), ["step"])
-        self.refs = laid(refs.where(F.col(key).isNotNull()).select(key, first, *own))
+        laid = lambda df, by: cut(df.repartition(n, "step", F.pmod(F.xxhash64(*by), F.lit(max(1, n // 4)))), ["step"])
+        self.refs = laid(refs.where(F.col(key).isNotNull()).select(key, *own, first), ident)
         counts = events.where(F.col(key).isNotNull()).groupBy(key, first).agg(F.sum("delta").alias("delta")).where("delta <> 0")
-        self.events = laid(counts)
-        self.touched = laid(self.refs.select("step", key).unionByName(self.events.select("step", key)).distinct())
+        self.events = laid(counts.select(key, "delta", "step"), [key])
         self.root = scratch_folder(refs.sparkSession)
-        self.done: list[int] = []
+        self.done: list[list[str]] = []
 
-    def _standing(self, step: int) -> DataFrame:
-        """``key, now, was`` (1 its parent is there, -1 not) of the keys a batch touches."""
-        # steps are folders: a batch's number prunes files and is in no expression, so
-        # every batch runs what was compiled for the first
-        k = self.key
-        came = self.events.where(F.col("step") == step).select(k, "delta", F.lit(0).alias("past"))
-        past = self.events.where(F.col("step") < step).select(k, "delta", F.col("delta").alias("past"))
-        sofar = past.unionByName(came).join(self.touched.where(F.col("step") == step).select(k), k, "left_semi")
-        sign = lambda there: F.when(there, 1).otherwise(-1)
-        return sofar.groupBy(k).agg(sign(F.sum("delta") > 0).alias("now"), sign(F.sum("past") > 0).alias("was"))
-
-    def transitions(self, step: int) -> DataFrame:
-        """What the batch of ``step`` changes: the reference, its key and ``now`` (-1 it
-        waits, 1 it is resolved) and ``was`` (0 for a new one)."""
+    def steps(self) -> list[str]:
+        """The steps there are, in order: one small row each."""
+        return sorted(r[0] for r in self.refs.select("step").unionByName(self.events.select("step")).distinct().collect())
+
+    def transitions(self, steps: list[str]) -> DataFrame:
+        """What a batch changes: the reference, its key, ``step``, ``now`` (-1 it waits,
+        1 it is resolved) and ``was`` (0 for a new one)."""
         k = self.key
-        stand = cut(self._standing(step))  # written, so its size is known before the joins are planned
-        new, old = self.refs.where(F.col("step") == step), self.refs.where(F.col("step") < step)
+        # steps are folders: a batch's bounds prune files and are in no compiled expression
+        within = F.col("step").between(min(steps), max(steps))
+        new, moved = self.refs.where(within), self.events.where(within)
+        marks = new.select(k, "step", F.lit(0).cast("long").alias("delta")).distinct().unionByName(moved.select(k, "step", "delta"))
+        marks = marks.groupBy(k, "step").agg(F.sum("delta").alias("delta"))
+        before = self.events.where(F.col("step") < min(steps)).groupBy(k).agg(F.sum("delta").alias("held"))
+        by = Window.partitionBy(k).orderBy("step")  # as many rows as a batch has steps
+        sign = lambda n: F.when(n > 0, 1).otherwise(-1)
+        held = F.coalesce("held", F.lit(0))
+        stand = marks.join(before, k, "left").withColumn("now", sign(held + F.sum("delta").over(by)))
+        stand = cut(stand.select(k, "step", "now", F.coalesce(F.lag("now").over(by), sign(held)).alias("was")))
         cols = [k, *self.ident]
-        fresh = new.join(stand.select(k, "now"), k, "left").select(*cols, F.coalesce("now", F.lit(-1)).alias("now"), F.lit(0).alias("was"))
-        flipped = old.join(stand.where("now <> was"), k).select(*cols, "now", "was")
+        fresh = new.join(stand.select(k, "step", "now"), [k, "step"]).select(*cols, "step", "now", F.lit(0).alias("was"))
+        flips = stand.where("now <> was").withColumnRenamed("step", "at")
+        flipped = self.refs.where(F.col("step") <= max(steps)).join(flips, k).where("step < at").select(*cols, F.col("at").alias("step"), "now", "was")
         return fresh.unionByName(flipped)
 
-    def run(self, steps: list[int]) -> OrphanReplay:
-        for step in sorted(steps):
-            self.transitions(step).write.mode("overwrite").parquet(f"{self.root}/step={step}")
-            self.done.append(step)
+    def run(self, batches: list[list[str]]) -> OrphanReplay:
+        """Apply batches of steps, oldest first."""
+        for steps in batches:
+            self.transitions(steps).write.mode("overwrite").parquet(f"{self.root}/batch={len(self.done)}")
+            self.done.append(steps)
         return self
 
     def log(self) -> DataFrame:
-        """All transitions so far with their ``step``."""
-        if not self.done:
-            return self.transitions(0).withColumn("step", F.lit(0)).limit(0)
+        """All transitions so far."""
         spark = self.refs.sparkSession
-        return spark.read.option("basePath", self.root).parquet(*[f"{self.root}/step={s}" for s in self.done])
+        if not self.done:
+            return spark.createDataFrame([], self.transitions([FIRST]).schema)
+        return spark.read.parquet(*[f"{self.root}/batch={b}" for b in range(len(self.done))])
 
     def pending(self) -> DataFrame:
         """The references that wait after the last batch."""
@@ -153,12 +92,16 @@ class OrphanReplay:
         return last.where("l.now < 0").select(*self.ident)
 
     def snapshots(self, *by: str) -> DataFrame:
-        """``step, by, orphans`` after every batch, where any wait."""
+        """``step, by, orphans`` after every step, where any wait."""
         change = F.when(F.col("now") < 0, 1).otherwise(0) - F.when(F.col("was") < 0, 1).otherwise(0)
         moves = self.log().groupBy("step", *by).agg(F.sum(change).alias("c"))
-        known = moves.select(*by).distinct().withColumn("step", F.explode(F.array(*[F.lit(s) for s in self.done]) if self.done else F.array().cast("array<int>")))
+        every = [s for steps in self.done for s in steps]
+        known = moves.select(*by).distinct().withColumn("step", F.explode(F.array(*[F.lit(s) for s in every]) if every else F.array().cast("array<string>")))
+        same = moves["step"].eqNullSafe(known["step"])
+        for c in by:
+            same = same & moves[c].eqNullSafe(known[c])
         w = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-        total = known.join(moves, ["step", *by], "left").withColumn("orphans", F.coalesce(F.sum("c").over(w), F.lit(0)))
+        total = known.join(moves, same, "left").select(known["step"], *[known[c] for c in by], "c").withColumn("orphans", F.coalesce(F.sum("c").over(w), F.lit(0)))
         return total.where("orphans > 0").select("step", *by, "orphans")
 
 
@@ -168,7 +111,7 @@ def leaf(name: Column) -> Column:
 
 
 def matched(refs: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    """Rows of ``refs`` whose ``key`` is in ``index``; the counterpart of :func:`unresolved`."""
+    """Rows of ``refs`` whose ``key`` is in ``index``; null keys match nothing."""
     heavy = heavy_keys(refs, key)
     index = index.select(key).where(F.col(key).isNotNull()).distinct()
     if not heavy:

@@ -51,19 +51,6 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return tree.join(linked, "id", "left_semi").select("id", "root_id", "depth")
 
 
-def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
-    """Each session with its path, depth, root and number of descendants."""
-    tree = cut(session_tree(spark, d))
-    below = hierarchy.descendants(tree).groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n_descendants"))
-    return tree.join(below, "id", "left").select(
-        "id", "root_id", "depth", F.concat_ws("/", "path").alias("path"), F.coalesce("n_descendants", F.lit(0)).alias("n_descendants")
-    )
-
-
-def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    return hierarchy.descendants(session_tree(spark, d))
-
-
 def _whole_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The session tree and all its ancestor pairs, those through circles included."""
     nodes = cut(standing(table(spark, d, "oc_session").select("id", "parent_id", "time_updated"), "id", ["time_updated"]))
@@ -71,8 +58,8 @@ def _whole_tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return tree, hierarchy.descendants(tree).unionByName(hierarchy.caught_descendants(tree, nodes, "id", "parent_id"))
 
 
-def p2_hierarchy_all(spark: SparkSession, d: str) -> DataFrame:
-    """As p2_hierarchy, with the descendants of sessions caught in circles counted too."""
+def p2_hierarchy(spark: SparkSession, d: str) -> DataFrame:
+    """Each session with its path, depth, root and number of descendants, those through circles included."""
     tree, pairs = _whole_tree(spark, d)
     below = pairs.groupBy(F.col("ancestor").alias("id")).agg(F.count("*").alias("n_descendants"))
     return tree.join(below, "id", "left").select(
@@ -80,8 +67,8 @@ def p2_hierarchy_all(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def p2_descendants_all(spark: SparkSession, d: str) -> DataFrame:
-    """As p2_descendants, with the pairs of sessions caught in circles."""
+def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every ancestor pair, those of sessions caught in circles included."""
     return _whole_tree(spark, d)[1]
 
 
@@ -209,18 +196,19 @@ def symbol_events(spark: SparkSession, d: str) -> DataFrame:
     return there.select(F.explode(keys).alias("key"), moves.alias("moves")).where("key IS NOT NULL").select("key", F.inline("moves"))
 
 
-def orphan_replay(spark: SparkSession, d: str) -> tuple[orphans.OrphanReplay, list[str]]:
-    """References, arrivals and drops replayed month by month, and the months."""
-    refs, events = cut(symbol_refs(spark, d)), symbol_events(spark, d)
-    months = refs.select("period").unionByName(events.select("period")).where("period IS NOT NULL").distinct()
-    months = sorted(r[0] for r in months.collect())  # a row per month
-    step = F.array_position(F.array(*[F.lit(m) for m in months]), F.col("period")).cast("int") if months else F.lit(0)
-    replay = orphans.OrphanReplay(refs.withColumn("step", F.coalesce(step, F.lit(1))), events.withColumn("step", step), ["table_name", "ref_id", "period"])
-    return replay.run(list(range(1, len(months) + 1))), months
+BATCH_MONTHS = 12  # months a batch of the orphan replay brings; every month is a step of its own
+
+
+def orphan_replay(spark: SparkSession, d: str) -> orphans.OrphanReplay:
+    """References, arrivals and drops replayed month by month, a year a batch."""
+    refs, events = symbol_refs(spark, d), symbol_events(spark, d).withColumnRenamed("period", "step")
+    replay = orphans.OrphanReplay(refs.withColumn("step", F.col("period")), events, ["table_name", "ref_id", "period"])
+    months = replay.steps()
+    return replay.run([months[i : i + BATCH_MONTHS] for i in range(0, len(months), BATCH_MONTHS)])
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphan_replay(spark, d)[0].pending()
+    return orphan_replay(spark, d).pending()
 
 
 def p5_orphans_per_period(spark: SparkSession, d: str) -> DataFrame:
@@ -229,9 +217,7 @@ def p5_orphans_per_period(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_snapshots(spark: SparkSession, d: str) -> DataFrame:
     """Waiting references per table and month of the reference, as of the end of each month."""
-    replay, months = orphan_replay(spark, d)
-    names = F.array(*[F.lit(m) for m in months]) if months else F.array().cast("array<string>")
-    return replay.snapshots("table_name", "period").select(F.get(names, F.col("step") - 1).alias("as_of"), "table_name", "period", "orphans")
+    return orphan_replay(spark, d).snapshots("table_name", "period").where(F.col("step") != orphans.FIRST).withColumnRenamed("step", "as_of")
 
 
 QUERIES = {
@@ -239,8 +225,6 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_hierarchy": p2_hierarchy,
     "p2_descendants": p2_descendants,
-    "p2_hierarchy_all": p2_hierarchy_all,
-    "p2_descendants_all": p2_descendants_all,
     "p3_found": p3_found,
     "p3_plan": p3_plan,
     "p5_found": p5_found,
@@ -293,19 +277,31 @@ _REFS = """
     WHERE op = 'added' AND regexp_replace(trim(name, ' ' || chr(9) || chr(10) || chr(13)), '^.*(::|#|[.])', '') NOT IN (SELECT leaf FROM l)),
   p AS (SELECT table_name, ref_id, strftime(make_timestamp(indexed_at * 1000000), '%Y-%m') AS period FROM o)
 """
+_HISTORY = """
+  s AS (SELECT DISTINCT uid, name, id, strftime(make_timestamp(indexed_at * 1000000), '%Y-%m') AS came, strftime(make_timestamp(dropped_at * 1000000), '%Y-%m') AS went FROM index_symbols
+    UNION ALL SELECT DISTINCT uid, name, NULL, '', NULL FROM core_symbols),
+  k AS (SELECT DISTINCT unnest(['u:' || uid, 'l:' || regexp_replace(name, '^.*(::|#|[.])', '')]) AS key, came, went FROM s WHERE went IS NULL OR came < went),
+  e AS (SELECT DISTINCT id, nullif(regexp_replace(trim(coalesce(dst, ''), ' ' || chr(9) || chr(10) || chr(13)), '^[.]/', ''), '') AS dst, resolved, target, indexed_at FROM index_edges),
+  r AS (
+    SELECT 'index_edges' AS table_name, id, indexed_at, CASE WHEN dst IS NOT NULL THEN 'u:' || dst WHEN resolved = 1 THEN 'l:' || regexp_replace(trim(target), '^.*(::|#|[.])', '') END AS key FROM e
+    UNION ALL
+    SELECT DISTINCT 'ruby_hybrid_unresolved', id, indexed_at, 'l:' || regexp_replace(nullif(trim(name, ' ' || chr(9) || chr(10) || chr(13)), ''), '^.*(::|#|[.])', '') FROM ruby_hybrid_unresolved WHERE op = 'added'),
+  q AS (SELECT DISTINCT table_name, id, strftime(make_timestamp(indexed_at * 1000000), '%Y-%m') AS period, key FROM r WHERE key IS NOT NULL),
+  months AS (SELECT DISTINCT m FROM (SELECT period AS m FROM q UNION SELECT came FROM k UNION SELECT went FROM k) WHERE m > ''),
+  alive AS (SELECT DISTINCT m, key FROM months JOIN k ON came <= m AND (went IS NULL OR went > m))
+"""
 ORACLES = {
     "p2_found": f"WITH RECURSIVE {_STANDING} SELECT n.id, n.root_id, n.depth FROM named n JOIN st USING (id) WHERE st.parent_id IS NOT NULL",
     "p2_hierarchy": f"""WITH RECURSIVE {_STANDING}, below AS (
-      SELECT a AS id, count(*) AS n FROM (SELECT unnest(seen[2:]) AS a FROM named WHERE NOT caught) GROUP BY a)
+      SELECT a AS id, count(*) AS n FROM (SELECT unnest(seen[2:]) AS a FROM named) GROUP BY a)
       SELECT n.id, n.root_id, n.depth, n.path, coalesce(b.n, 0) AS n_descendants FROM named n LEFT JOIN below b USING (id)""",
     "p2_descendants": f"""WITH RECURSIVE {_STANDING} SELECT seen[i] AS ancestor, id AS descendant, i - 1 AS distance
-      FROM (SELECT id, seen, unnest(range(2, len(seen) + 1)) AS i FROM named WHERE NOT caught)""",
+      FROM (SELECT id, seen, unnest(range(2, len(seen) + 1)) AS i FROM named)""",
     "p3_found": f"WITH {_STATES} SELECT run_id, path FROM g WHERE run_id > 0 AND hash IS NOT NULL AND hash IS DISTINCT FROM was",
     "p3_plan": """WITH r AS (SELECT DISTINCT run_id, started_at, coalesce(status = 'ok', false) AS committed FROM index_runs),
       n AS (SELECT r.*, (SELECT count(*) FROM file_scan f WHERE f.path IS NOT NULL AND f.landed_at <= r.started_at) AS total FROM r)
       SELECT run_id, committed, total - coalesce((SELECT max(b.total) FROM n b WHERE b.committed AND b.started_at < n.started_at), 0) AS records FROM n""",
     "p5_found": f"WITH {_REFS} SELECT table_name, ref_id, period FROM p",
     "p5_orphans_per_period": f"WITH {_REFS} SELECT table_name, period, count(*) AS orphans FROM p GROUP BY ALL",
+    "p5_snapshots": f"WITH {_HISTORY} SELECT m AS as_of, table_name, period, count(*) AS orphans FROM months JOIN q ON period <= m ANTI JOIN alive USING (m, key) GROUP BY ALL",
 }
-# the same definitions without the condition that leaves caught sessions out
-ORACLES |= {f"{name}_all": ORACLES[name].replace(" WHERE NOT caught", "") for name in ("p2_hierarchy", "p2_descendants")}

@@ -53,9 +53,10 @@ def brute(rows, costs):
     return best
 
 
-@pytest.mark.parametrize("bits", [1, 2, 12])
-def test_path_is_least_whatever_the_chunks(spark, monkeypatch, bits):
+@pytest.mark.parametrize("bits,fan", [(1, 1), (1, 10), (2, 1), (12, 10)])
+def test_path_is_least_whatever_the_chunks(spark, monkeypatch, bits, fan):
     monkeypatch.setattr(timeline, "CHUNK_BITS", bits)
+    monkeypatch.setattr(timeline, "FAN_BITS", fan)  # chunks are joined as a tree of pairs, or at once
     rng, costs = random.Random(bits), timeline.Costs(off_rule=1.0)
     rows, plain = [], {}
     for s in ["a", "b", None, "c"]:
@@ -82,6 +83,12 @@ def test_path_is_least_whatever_the_chunks(spark, monkeypatch, bits):
         assert total == pytest.approx(brute(seq, costs))
 
 
+def test_too_many_readings_are_an_error(spark):
+    df = spark.createDataFrame([("a", 1, [("x", i, 0.0) for i in range(timeline.K + 1)])], "src string, n int, readings array<struct<fmt string, ms long, cost double>>")
+    with pytest.raises(Exception, match="readings"):
+        timeline.resolve(df, "src", ["n"]).collect()
+
+
 def test_order_without_a_clock(spark):
     """With no trusted clock the record order tells the date order."""
     texts = ["01/02/2026 10:00:00", "02/02/2026 10:00:00", "03/02/2026 10:00:00", "25/02/2026 10:00:00"]

@@ -30,7 +30,22 @@ FORMS = (
 
 def trimmed(c: Column) -> Column:
     """Without surrounding white space, inner runs and odd blanks as one blank."""
-    return F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"^ | $", "")
+    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+
+
+def form_of(t: Column) -> Column:
+    """The one form of ``FORMS`` a trimmed text can have, by where its separators stand;
+    whether it does is for that form's pattern to say."""
+    letter = lambda i: F.upper(F.substring(t, i, 1)) != F.lower(F.substring(t, i, 1))
+    early = lambda mark: F.instr(t, mark).isin(2, 3)
+    return (
+        F.when(F.substring(t, 5, 1) == "-", "iso")
+        .when(letter(1), F.when(F.substring(t, 4, 1) == ",", "mail").otherwise("ctime"))
+        .when(early("/"), F.when(letter(3) | letter(4), "clf").otherwise("slash"))
+        .when(early("."), "dotted")
+        .when(early(" "), "mail")
+        .otherwise("compact")
+    )
 
 
 def epoch_ms(ntz: Column) -> Column:
@@ -66,10 +81,15 @@ def with_readings(df: DataFrame, text: str, zone: Column, order: Column, off_rul
     The steps are separate projections on purpose: each is used more than once,
     so the optimizer keeps them apart and every pattern runs once a row.
     """
+    df = df.withColumn("_t", trimmed(F.col(text))).withColumn("_k", form_of(F.col("_t")))
     canonical = F.lit(None).cast("string")
-    for name, pattern, to in reversed(FORMS):
-        canonical = F.when(F.col("_t").rlike(pattern), F.concat(F.lit(f"{name}|"), F.regexp_replace("_t", pattern, to))).otherwise(canonical)
-    df = df.withColumn("_t", trimmed(F.col(text))).withColumn("_p", F.split(canonical, r"\|"))
+    for name, pattern, to in FORMS:
+        canonical = F.when(F.col("_k") == name, F.regexp_replace("_t", pattern, f"{name}|{to}")).otherwise(canonical)
+    df = df.withColumn("_c", canonical)
+    # a text its pattern does not match comes back unchanged
+    df = df.withColumn("_p", F.when(F.col("_c") != F.col("_t"), F.split("_c", r"\|")))
+    number = (F.col("_k") == "compact") & F.col("_p").isNull()
+    df = df.withColumn("_n", F.when(number & F.col("_t").rlike(r"^\d{10,19}$"), F.col("_t").try_cast("long")))
     part = lambda i: F.try_element_at("_p", F.lit(i + 2))
     half, hour = F.lower(part(7)), part(3).try_cast("int")
     fixed = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
@@ -116,9 +136,9 @@ def with_readings(df: DataFrame, text: str, zone: Column, order: Column, off_rul
         return [entry(fmt, first + F.col("_f"), cost), entry(fmt, second + F.col("_f"), cost + F.lit(float(off_rule)))]
 
     t = F.col("_t")
-    value = F.when(t.rlike(r"^\d{10,19}$"), t.try_cast("long"))
+    value = F.col("_n")
     frac = F.when(
-        t.rlike(r"^\d{9,11}\.\d+$"),
+        F.col("_n").isNull() & t.rlike(r"^\d{9,11}\.\d+$"),
         F.substring_index(t, ".", 1).try_cast("long") * 1000 + F.rpad(F.substring(F.substring_index(t, ".", -1), 1, 3), 3, "0").try_cast("long"),
     )
     numeric = [  # one at most is in the range: the units' ranges are disjoint
@@ -135,7 +155,7 @@ def with_readings(df: DataFrame, text: str, zone: Column, order: Column, off_rul
         F.when(F.col("_dmy"), F.array(*two, *one)).otherwise(F.array(*one, *two))
     )
     df = df.withColumn(out, F.filter(every, lambda c: c["ms"].isNotNull()))
-    return df.drop("_t", "_p", "_form", "_y", "_a", "_b", "_h", "_m", "_s", "_f", "_local", "_shift", "_zone_of", "_dmy", "_w1", "_w2", "_u1", "_u2", "_v1", "_v2")
+    return df.drop("_t", "_k", "_c", "_n", "_p", "_form", "_y", "_a", "_b", "_h", "_m", "_s", "_f", "_local", "_shift", "_zone_of", "_dmy", "_w1", "_w2", "_u1", "_u2", "_v1", "_v2")
 
 
 def _div(value: Column, by: int) -> Column:

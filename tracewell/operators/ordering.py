@@ -26,21 +26,21 @@ def numbered(df: DataFrame, group: list[str], order: list[str], tag: str = "posi
         .withColumn("_no", F.monotonically_increasing_id())
         .withColumn("_part", F.shiftright("_no", 33))
     )
-    pieces = placed.groupBy(*group, "_part").agg(F.count("*").alias("_c"), F.sum("_w").alias("_s"))
+    pieces = placed.groupBy(*group, "_part").agg(F.min("_no").alias("_n0"), F.count("*").alias("_c"), F.sum("_w").alias("_s"))
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = pieces.select(
         *group,
         "_part",
-        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c0"),
+        # the rows of a piece are numbered one by one: its place less its first row's
+        (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_n0") + 1).alias("_c0"),
         F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"),
     )
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*group, "_part"]]
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
-    joined = placed.alias("r").join(starts.alias("s"), cond).select("r.*", "s._c0", "s._s0")
-    inside = Window.partitionBy(*group, "_part").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
-    out = joined.withColumn(tag, F.col("_c0") + F.row_number().over(inside))
+    out = placed.alias("r").join(starts.alias("s"), cond).select("r.*", "s._c0", "s._s0").withColumn(tag, F.col("_c0") + F.col("_no"))
     if total:
+        inside = Window.partitionBy(*group, "_part").orderBy("_no").rowsBetween(Window.unboundedPreceding, 0)
         out = out.withColumn(total, F.col("_s0") + F.sum("_w").over(inside))
     return out.drop("_w", "_no", "_part", "_c0", "_s0")

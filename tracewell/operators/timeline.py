@@ -10,8 +10,8 @@ exactly and only runs of ambiguous records reach Python.  A source is range
 partitioned by its record order and cut into chunks of ``CHUNK`` rows, so a
 source that holds a third of all rows is spread over many tasks; a run that
 crosses chunks is solved for every choice at both ends of a chunk, and the
-chunks of a source (one small row per 4,096 records) are joined by a second,
-equally exact pass.
+chunks of a source (one small row per 4,096 records) are joined as a tree by a
+second, equally exact pass.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from tracewell.session import cut
 
 K = 4  # readings of one text: two slash orders, each with two passes of a repeated hour
 CHUNK_BITS = 12
+FAN_BITS = 10  # chunks joined by one task: two to this
 
 
 @dataclass(frozen=True)
@@ -137,34 +138,90 @@ def _decide(costs: Costs):
     return run
 
 
-def _join_chunks(costs: Costs):
+def _enter(e: list[np.ndarray], first: int | None, costs: Costs) -> tuple[np.ndarray, list]:
+    """Least totals at the end of a row of chunks, for each entry of ``first`` (None: any),
+    and the way back: per chunk, by exit, the entry taken and the exit before it."""
+    best, back = None, []
+    for k, x in enumerate(e):
+        n0, n1 = int(x[0]), int(x[1])
+        ms0, f0, total = x[2 : 2 + K], x[2 + 2 * K : 2 + 3 * K], x[2 + 4 * K :].reshape(K, K)
+        if best is None:
+            enter, came = np.full(n0, 0.0 if first is None else np.inf), np.zeros(n0, int)
+            if first is not None:
+                enter[first] = 0.0
+        else:
+            y = e[k - 1]
+            ms1, f1 = y[2 + K : 2 + 2 * K], y[2 + 3 * K : 2 + 4 * K]
+            steps = np.array([[best[i] + costs.switch * (f1[i] != f0[j]) + costs.backward * (ms0[j] < ms1[i]) for i in range(len(best))] for j in range(n0)])
+            enter, came = steps.min(axis=1), steps.argmin(axis=1)
+        through = enter[:, None] + total[:n0, :n1]
+        back.append((through.argmin(axis=0), came))
+        best = through.min(axis=0)
+    return best, back
+
+
+def _pick(e: list[np.ndarray], first: int | None, last: int | None, costs: Costs) -> list[int]:
+    """The entry and exit of each chunk (entry * K + exit) on the least path."""
+    best, back = _enter(e, first, costs)
+    j, out = int(np.argmin(best)) if last is None else last, []
+    for at, came in reversed(back):
+        i = int(at[j])
+        out.append(i * K + j)
+        j = int(came[i])
+    return out[::-1]
+
+
+ENDS = "source string, chunk long, ends array<double>"
+
+
+def _merge_chunks(costs: Costs):
+    """A row of chunks as one: its ends and the least total between each pair of them."""
+
     def run(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("chunk", kind="stable")
         e = [np.array(x) for x in p["ends"]]
-        best, back = None, []
-        for k, x in enumerate(e):
-            n0, n1 = int(x[0]), int(x[1])
-            ms0, f0, total = x[2 : 2 + K], x[2 + 2 * K : 2 + 3 * K], x[2 + 4 * K :].reshape(K, K)
-            if best is None:
-                enter, came = np.zeros(n0), np.zeros(n0, int)
-            else:
-                y = e[k - 1]
-                ms1, f1 = y[2 + K : 2 + 2 * K], y[2 + 3 * K : 2 + 4 * K]
-                steps = np.array([[best[i] + costs.switch * (f1[i] != f0[j]) + costs.backward * (ms0[j] < ms1[i]) for i in range(len(best))] for j in range(n0)])
-                enter, came = steps.min(axis=1), steps.argmin(axis=1)
-            through = enter[:, None] + total[:n0, :n1]
-            back.append((through.argmin(axis=0), came))
-            best = through.min(axis=0)
-        j, out = int(np.argmin(best)), []
-        for at, came in reversed(back):
-            i = int(at[j])
-            out.append(i * K + j)
-            j = int(came[i])
-        return pd.DataFrame({"source": p["source"], "chunk": p["chunk"], "ends_at": out[::-1]})
+        a, z = e[0], e[-1]
+        n0, n1 = int(a[0]), int(z[1])
+        total = np.full((K, K), np.inf)
+        for i in range(n0):
+            total[i, :n1] = _enter(e, i, costs)[0]
+        ends = [a[0], z[1], *a[2 : 2 + K], *z[2 + K : 2 + 2 * K], *a[2 + 2 * K : 2 + 3 * K], *z[2 + 3 * K : 2 + 4 * K], *total.ravel()]
+        return pd.DataFrame({"source": [p["source"].iloc[0]], "chunk": [p["up"].iloc[0]], "ends": [ends]})
+
+    return run
+
+
+def _choose_chunks(costs: Costs):
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("chunk", kind="stable")
+        fixed = p["fixed"].iloc[0]
+        first, last = (None, None) if pd.isna(fixed) else divmod(int(fixed), K)
+        return pd.DataFrame({"source": p["source"], "chunk": p["chunk"], "ends_at": _pick([np.array(x) for x in p["ends"]], first, last, costs)})
 
     return run
 
 
+def join_chunks(ends: DataFrame, costs: Costs) -> DataFrame:
+    """``source, chunk, ends_at``: the ends each chunk takes on its source's least path.
+
+    Min-plus products are associative, so a source of many chunks is joined as a tree:
+    up to ``2 ** FAN_BITS`` neighbours become one, level by level, until every source has
+    no more than that; the ways back run down the same levels.  No task sees more.
+    """
+    levels = [ends.select("source", "chunk", "ends")]
+    while (levels[-1].groupBy("source").count().agg(F.max("count")).first()[0] or 0) > 1 << FAN_BITS:
+        grouped = levels[-1].withColumn("up", F.shiftright("chunk", FAN_BITS))
+        levels.append(cut(grouped.groupBy("source", "up").applyInPandas(_merge_chunks(costs), ENDS)))
+    out = "source string, chunk long, ends_at int"
+    top = levels.pop().withColumn("fixed", F.lit(None).cast("int"))
+    picks = top.groupBy("source").applyInPandas(_choose_chunks(costs), out)
+    for level in reversed(levels):
+        known = picks.select("source", F.col("chunk").alias("up"), F.col("ends_at").alias("fixed"))
+        below = level.withColumn("up", F.shiftright("chunk", FAN_BITS)).join(known, ["source", "up"])
+        picks = below.groupBy("source", "up").applyInPandas(_choose_chunks(costs), out)
+    return picks
+
+
 def placed(rows: DataFrame, source: str, order: list[str]) -> DataFrame:
     """``rows`` range partitioned and sorted by source and record order, numbered in it.
 
@@ -192,7 +249,8 @@ def resolve(rows: DataFrame, source: str, order: list[str], readings: str = "rea
 def decide(rows: DataFrame, readings: str = "readings", costs: Costs = Costs(), tag: str = "utc_ms") -> DataFrame:
     """The second half of :func:`resolve`, over rows from :func:`placed`."""
     several = F.size(readings) > 1
-    at = cut(rows)
+    # a text has K readings at most; one more would be lost without a word
+    at = cut(rows.withColumn(readings, F.when(F.size(readings) <= K, F.col(readings)).otherwise(F.raise_error(F.lit(f"more than {K} readings")))))
     pad = lambda f, z: F.transform(F.sequence(F.lit(1), F.lit(K)), lambda k: F.coalesce(F.get(F.col(readings), k - 1)[f], z))
     flat = at.where(F.size(readings) > 0).select(
         F.col("_no").alias("row_no"),
@@ -205,7 +263,7 @@ def decide(rows: DataFrame, readings: str = "readings", costs: Costs = Costs(),
     )
     decided = cut(flat.repartition("chunk").sortWithinPartitions("chunk", "row_no").mapInPandas(_decide(costs), OUT))
     ends = decided.where("ends IS NOT NULL").select("source", "chunk", "ends")
-    joined = ends.groupBy("source").applyInPandas(_join_chunks(costs), "source string, chunk long, ends_at int")
+    joined = join_chunks(ends, costs)
     inner = decided.where("choice IS NOT NULL AND source IS NULL").select("row_no", F.col("choice")[0].alias("pick"))
     edge = (
         decided.where("choice IS NOT NULL AND source IS NOT NULL")

@@ -27,7 +27,7 @@ def test_cluster_co_files_of_every_symbol(spark):
 def test_every_repository_fans_out(spark):
     paths = [r["file"] for r in R.symbols(spark, DATA).collect()]
     assert all("/" in p for p in paths)
-    assert {r["repo"] for r in query(spark, "workspace_fan_out_all").collect()} == {p.split("/")[0] for p in paths}
+    assert {r["repo"] for r in query(spark, "workspace_fan_out").collect()} == {p.split("/")[0] for p in paths}
 
 
 def test_layers_of_all_calls(spark, monkeypatch):
@@ -55,4 +55,4 @@ def test_layers_of_all_calls(spark, monkeypatch):
         return max((1 + layer(w) for u in far(v) if v in far(u) for w in out[u] if v not in far(w)), default=0)
 
     assert any(v in far(u) for v in nodes for u in far(v) - {v})
-    assert {r["id"]: r["layer"] for r in query(spark, "layers_longest_path_all").collect()} == {v: layer(v) for v in nodes}
+    assert {r["id"]: r["layer"] for r in query(spark, "layers_longest_path").collect()} == {v: layer(v) for v in nodes}

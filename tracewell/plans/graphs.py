@@ -17,11 +17,11 @@ def _calls(spark, d):
     return R.edges(spark, d).where("kind = 'call'")
 
 
-@reg("SELECT e.dst AS id, 'caller' AS side, e.src AS other, e.kind, count(*) AS n FROM edges e WHERE e.dst % 10 = 0 GROUP BY ALL UNION ALL SELECT e.src, 'callee', e.dst, e.kind, count(*) FROM edges e WHERE e.src % 10 = 0 GROUP BY ALL", "symbols edges")
+@reg("SELECT e.dst AS id, 'caller' AS side, e.src AS other, e.kind, count(*) AS n FROM edges e GROUP BY ALL UNION ALL SELECT e.src, 'callee', e.dst, e.kind, count(*) FROM edges e GROUP BY ALL", "symbols edges")
 def direct_neighbours(spark, d):
     e = R.edges(spark, d)
-    up = e.where("dst % 10 = 0").groupBy(F.col("dst").alias("id"), F.lit("caller").alias("side"), F.col("src").alias("other"), "kind").agg(F.count("*").alias("n"))
-    down = e.where("src % 10 = 0").groupBy(F.col("src").alias("id"), F.lit("callee").alias("side"), F.col("dst").alias("other"), "kind").agg(F.count("*").alias("n"))
+    up = e.groupBy(F.col("dst").alias("id"), F.lit("caller").alias("side"), F.col("src").alias("other"), "kind").agg(F.count("*").alias("n"))
+    down = e.groupBy(F.col("src").alias("id"), F.lit("callee").alias("side"), F.col("dst").alias("other"), "kind").agg(F.count("*").alias("n"))
     return up.unionByName(down)
 
 
@@ -183,40 +183,25 @@ def seed_symbols(spark, d):
 
 
 @reg(
-    """WITH c AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'call'), x AS (SELECT s.file, 0 AS k, c.dst AS rank, s.name || ' calls ' || t.name AS reason FROM c JOIN symbols s ON s.id = c.src JOIN symbols t ON t.id = c.dst WHERE t.id % 25 = 0
-      UNION ALL SELECT t.file, 1, c.src, t.name || ' called-by ' || s.name FROM c JOIN symbols s ON s.id = c.src JOIN symbols t ON t.id = c.dst WHERE s.id % 25 = 0)
+    """WITH c AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'call'), x AS (SELECT s.file, 0 AS k, c.dst AS rank, s.name || ' calls ' || t.name AS reason FROM c JOIN symbols s ON s.id = c.src JOIN symbols t ON t.id = c.dst
+      UNION ALL SELECT t.file, 1, c.src, t.name || ' called-by ' || s.name FROM c JOIN symbols s ON s.id = c.src JOIN symbols t ON t.id = c.dst)
       SELECT file AS path, arg_min(reason, (k, rank, reason)) AS reason FROM x GROUP BY file""",
     "symbols edges",
 )
 def neighbour_files(spark, d):
-    s = R.symbols(spark, d)
-    return G.neighbor_files(R.edges(spark, d), s, s.where("id % 25 = 0").select("id", F.col("id").alias("rank")))
-
-
-@reg(ORACLES["neighbour_files"].replace(" WHERE t.id % 25 = 0", "").replace(" WHERE s.id % 25 = 0", ""))
-def neighbour_files_all(spark, d):
     s = R.symbols(spark, d)
     return G.neighbor_files(R.edges(spark, d), s, s.select("id", F.col("id").alias("rank")))
 
 
 @reg(
-    """WITH i AS (SELECT DISTINCT s.file AS a, t.file AS b FROM edges e JOIN symbols s ON s.id = e.src JOIN symbols t ON t.id = e.dst WHERE e.kind = 'import'), seed AS (SELECT DISTINCT file FROM symbols WHERE id % 30 = 0)
+    """WITH i AS (SELECT DISTINCT s.file AS a, t.file AS b FROM edges e JOIN symbols s ON s.id = e.src JOIN symbols t ON t.id = e.dst WHERE e.kind = 'import'), seed AS (SELECT DISTINCT file FROM symbols)
       SELECT b AS path, 'imported' AS reason FROM i WHERE a IN (SELECT file FROM seed) UNION SELECT a, 'imports' FROM i WHERE b IN (SELECT file FROM seed)""",
     "symbols edges",
 )
 def import_adjacent(spark, d):
-    return _import_adjacent(spark, d, "id % 30 = 0")
-
-
-@reg(ORACLES["import_adjacent"].replace(" WHERE id % 30 = 0", ""))
-def import_adjacent_all(spark, d):
-    return _import_adjacent(spark, d, "true")
-
-
-def _import_adjacent(spark, d, of):
     s = R.symbols(spark, d)
     e = R.edges(spark, d).where("kind = 'import'").join(s.select(F.col("id").alias("src"), F.col("file").alias("a")), "src").join(s.select(F.col("id").alias("dst"), F.col("file").alias("b")), "dst").select("a", "b").distinct()
-    seed = s.where(of).select("file").distinct()
+    seed = s.select("file").distinct()
     out = e.join(seed.withColumnRenamed("file", "a"), "a", "left_semi").select(F.col("b").alias("path"), F.lit("imported").alias("reason"))
     return out.unionByName(e.join(seed.withColumnRenamed("file", "b"), "b", "left_semi").select(F.col("a").alias("path"), F.lit("imports").alias("reason"))).distinct()
 
@@ -229,41 +214,22 @@ def cluster_co_files(spark, d):
     return G.co_members(named, s, s)
 
 
-@reg(
-    """WITH RECURSIVE dag AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'call' AND src < dst AND src % 2 = 0), up(id, depth) AS (SELECT DISTINCT id, 0 FROM (SELECT src AS id FROM dag UNION SELECT dst FROM dag) UNION SELECT d.src, u.depth + 1 FROM up u JOIN dag d ON d.dst = u.id)
-      SELECT id, max(depth) AS layer FROM up GROUP BY id""",
-    "symbols edges",
-    recursive=True,
-)
-def layers_longest_path(spark, d):
-    return G.layers(_calls(spark, d).where("src < dst AND src % 2 = 0"))
-
-
 @reg()
-def layers_longest_path_all(spark, d):
+def layers_longest_path(spark, d):
     """All call edges, cycles condensed (brute force in the tests)."""
     return G.layers(_calls(spark, d))
 
 
 @reg(
-    """WITH h AS (SELECT id AS hunk, file, line - 3 AS lo, line + 12 AS hi FROM symbols WHERE id % 50 = 0), c AS (SELECT DISTINCT s.id FROM h JOIN symbols s ON s.file = h.file AND h.lo <= s.end_line AND s.line <= h.hi)
+    """WITH h AS (SELECT id AS hunk, file, line - 3 AS lo, line + 12 AS hi FROM symbols), c AS (SELECT DISTINCT s.id FROM h JOIN symbols s ON s.file = h.file AND h.lo <= s.end_line AND s.line <= h.hi)
       SELECT DISTINCT e.dst AS changed, e.src AS consumer FROM edges e WHERE e.kind = 'call' AND e.dst IN (SELECT id FROM c)""",
     "symbols edges",
 )
 def changed_consumers(spark, d):
-    return _consumers(spark, d, "id % 50 = 0")
-
-
-@reg(ORACLES["changed_consumers"].replace(" WHERE id % 50 = 0", ""))
-def changed_consumers_all(spark, d):
-    return _consumers(spark, d, "true")
-
-
-def _consumers(spark, d, of):
     from tracewell.operators.joins import overlapping
 
     s = R.symbols(spark, d).select("id", "file", "line", "end_line")
-    h = s.where(of).select("file", (F.col("line") - 3).alias("lo"), (F.col("line") + 12).alias("hi"))
+    h = s.select("file", (F.col("line") - 3).alias("lo"), (F.col("line") + 12).alias("hi"))
     c = overlapping(h, s, ["file"], ("lo", "hi"), ("line", "end_line")).select(F.col("id").alias("dst")).distinct()
     return _calls(spark, d).join(c, "dst", "left_semi").select(F.col("dst").alias("changed"), F.col("src").alias("consumer")).distinct()
 
@@ -306,9 +272,9 @@ def edge_multiset_diff(spark, d):
     return l.where("l_linenumber <= 3").select("l_suppkey", "l_partkey").exceptAll(l.where("l_linenumber IN (2, 4)").select("l_suppkey", "l_partkey"))
 
 
-@reg("SELECT DISTINCT file AS path FROM symbols WHERE file NOT IN (SELECT path FROM files WHERE id % 2 = 0)", "files symbols")
+@reg("SELECT DISTINCT path FROM file_scan WHERE path IS NOT NULL AND path NOT IN (SELECT path FROM files)", "files")
 def paths_out_of_scope(spark, d):
-    return R.symbols(spark, d).select(F.col("file").alias("path")).distinct().join(R.files(spark, d, "id").where("id % 2 = 0").select("path"), "path", "left_anti")
+    return table(spark, d, "file_scan").where("path IS NOT NULL").select("path").distinct().join(R.files(spark, d, "id").select("path"), "path", "left_anti")
 
 
 @reg(

@@ -77,11 +77,11 @@ def correlated_events_30s(spark, d):
     return J.within(a, b, "a_ms", "b_ms", 30_000).select("error_id", "event_id", (F.col("b_ms") - F.col("a_ms")).alias("delta_ms"))
 
 
-HUNKS = "hunks AS (SELECT id AS hunk, file, line - 3 AS lo, line + 12 AS hi FROM symbols WHERE id % 5 = 0)"
+HUNKS = "hunks AS (SELECT id AS hunk, file, line - 3 AS lo, line + 12 AS hi FROM symbols)"
 
 
-def _hunks(spark, d, of="id % 5 = 0"):
-    return R.symbols(spark, d).where(of).select(F.col("id").alias("hunk"), "file", (F.col("line") - 3).alias("lo"), (F.col("line") + 12).alias("hi"))
+def _hunks(spark, d):
+    return R.symbols(spark, d).select(F.col("id").alias("hunk"), "file", (F.col("line") - 3).alias("lo"), (F.col("line") + 12).alias("hi"))
 
 
 @reg(f"WITH {HUNKS} SELECT h.hunk, s.id FROM hunks h JOIN symbols s ON s.file = h.file AND h.lo <= s.end_line AND s.line <= h.hi", "symbols")
@@ -90,12 +90,6 @@ def hunk_symbols(spark, d):
     return J.overlapping(_hunks(spark, d), s, ["file"], ("lo", "hi"), ("line", "end_line")).select("hunk", "id")
 
 
-@reg(ORACLES["hunk_symbols"].replace(" WHERE id % 5 = 0", ""))
-def hunk_symbols_all(spark, d):
-    s = R.symbols(spark, d).select("id", "file", "line", "end_line")
-    return J.overlapping(_hunks(spark, d, "true"), s, ["file"], ("lo", "hi"), ("line", "end_line")).select("hunk", "id")
-
-
 @reg(
     """SELECT p.id AS point, arg_min(s.id, (s.end_line - s.line, -s.line, s.id)) AS id FROM (SELECT id, file, line + 2 AS at FROM symbols) p LEFT JOIN symbols s ON s.file = p.file AND p.at BETWEEN s.line AND s.end_line GROUP BY p.id""",
     "symbols",
@@ -118,12 +112,6 @@ def interval_residues(spark, d):
     return J.residues(spans, R.symbols(spark, d).select("file", "line", "end_line"), ["file"], "line", "end_line")
 
 
-@reg(ORACLES["interval_residues"].replace(" WHERE id % 5 = 0", ""))
-def interval_residues_all(spark, d):
-    spans = _hunks(spark, d, "true").select("file", F.col("lo").alias("line"), F.col("hi").alias("end_line"))
-    return J.residues(spans, R.symbols(spark, d).select("file", "line", "end_line"), ["file"], "line", "end_line")
-
-
 REGIONS = """regions AS (SELECT uid, file, leaf AS name, id FROM symbols WHERE kind IN ('function', 'method')),
   calls AS (SELECT DISTINCT s.uid AS caller, t.uid AS callee FROM edges e JOIN regions s ON s.id = e.src JOIN regions t ON t.id = e.dst WHERE e.kind = 'call'),
   imports AS (SELECT DISTINCT s.file AS importer, t.file AS imported FROM edges e JOIN symbols s ON s.id = e.src JOIN symbols t ON t.id = e.dst WHERE e.kind = 'import')"""
@@ -175,25 +163,16 @@ def parent_sessions(spark, d):
 
 
 @reg(
-    """WITH specs AS (SELECT path AS importer, regexp_extract(path, '([^/]*)/[^/]*$', 1) || '/' || regexp_replace(regexp_extract(path, '[^/]*$'), '[.].*$', '') AS spec FROM files WHERE id % 4 = 0),
+    """WITH specs AS (SELECT path AS importer, regexp_extract(path, '([^/]*)/[^/]*$', 1) || '/' || regexp_replace(regexp_extract(path, '[^/]*$'), '[.].*$', '') AS spec FROM files),
       hit AS (SELECT importer, spec, path, (SELECT coalesce(min(i) - 1, least(len(a), len(b))) FROM (SELECT unnest(range(1, least(len(a), len(b)) + 1)) AS i) WHERE a[i] <> b[i]) AS shared
         FROM (SELECT s.importer, s.spec, f.path, string_split(s.importer, '/') AS a, string_split(f.path, '/') AS b FROM specs s JOIN files f ON regexp_replace(f.path, '[.][^./]*$', '') = regexp_replace(s.spec, '[.][^./]*$', '') OR ends_with(regexp_replace(f.path, '[.][^./]*$', ''), '/' || regexp_replace(s.spec, '[.][^./]*$', ''))))
       SELECT importer, spec, arg_min(path, (-shared, path)) AS target FROM hit GROUP BY importer, spec""",
     "files",
 )
 def resolved_imports(spark, d):
-    return _imports(spark, d, "id % 4 = 0")
-
-
-@reg(ORACLES["resolved_imports"].replace(" WHERE id % 4 = 0", ""))
-def resolved_imports_all(spark, d):
-    return _imports(spark, d, "true")
-
-
-def _imports(spark, d, of):
     f = R.files(spark, d, "id")
     stem = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), "[.].*$", "")
-    specs = f.where(of).select(F.col("path").alias("importer"), F.concat(F.regexp_extract("path", "([^/]*)/[^/]*$", 1), F.lit("/"), stem).alias("spec"))
+    specs = f.select(F.col("path").alias("importer"), F.concat(F.regexp_extract("path", "([^/]*)/[^/]*$", 1), F.lit("/"), stem).alias("spec"))
     return J.resolve_suffix(specs, f, "spec", "importer", "path")
 
 
@@ -216,15 +195,8 @@ def resolved_calls(spark, d):
     return J.resolve_calls(sites, s.select(F.col("id").alias("sid"), "file", F.col("leaf").alias("name")), _regions(spark, d)[2])
 
 
-@reg("SELECT 'a' AS repo, kind, count(*) AS n FROM symbols WHERE starts_with(file, 'amber-switchyard/') GROUP BY ALL UNION ALL SELECT 'b', kind, count(*) FROM symbols WHERE starts_with(file, 'quarry-signal/') GROUP BY ALL", "symbols")
-def workspace_fan_out(spark, d):
-    s = R.symbols(spark, d)
-    members = {"a": s.where(F.col("file").startswith("amber-switchyard/")), "b": s.where(F.col("file").startswith("quarry-signal/"))}
-    return J.fan_out(members, lambda df: df.groupBy("kind").agg(F.count("*").alias("n")))
-
-
 @reg("SELECT split_part(file, '/', 1) AS repo, kind, count(*) AS n FROM symbols WHERE contains(file, '/') GROUP BY ALL", "symbols")
-def workspace_fan_out_all(spark, d):
+def workspace_fan_out(spark, d):
     """Every repository of the tables: the first folder of the paths."""
     s = R.symbols(spark, d).where(F.col("file").contains("/")).withColumn("repo", F.substring_index("file", "/", 1))
     return s.groupBy("repo", "kind").agg(F.count("*").alias("n"))

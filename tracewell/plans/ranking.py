@@ -343,13 +343,13 @@ def name_envelopes(spark, d):
 
 
 @reg(
-    """WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS term FROM documents WHERE text IS NOT NULL), df AS (SELECT term, count(*) AS df FROM t WHERE term <> '' GROUP BY term HAVING count(*) >= 20), n AS (SELECT count(*)::DOUBLE AS n FROM documents), m AS (SELECT max(df) AS m FROM df)
+    """WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z0-9_]+')) AS term FROM documents WHERE text IS NOT NULL), df AS (SELECT term, count(*) AS df FROM t WHERE term <> '' GROUP BY term), n AS (SELECT count(*)::DOUBLE AS n FROM documents), m AS (SELECT max(df) AS m FROM df)
       SELECT term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS lucene, round(1 + ln(m / df), 6) AS pool, round(CASE WHEN df * 4 > n THEN 0 ELSE least(ln((n + 1) / (df + 1)), 4) END, 6) AS keyword FROM df, n, m"""
 )
 def idf_table(spark, d):
     docs = table(spark, d, "documents")
     n = docs.count()
-    df = docs.where("text IS NOT NULL").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df >= 20")
+    df = docs.where("text IS NOT NULL").select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     top = df.agg(F.max("df")).first()[0] or 1
     r = lambda c: F.round(c, 6)
     return df.select("term", "df", r(K.lucene_idf(F.lit(n), F.col("df"))).alias("lucene"), r(K.pool_idf(F.lit(top), F.col("df"))).alias("pool"), r(K.keyword_weight(F.col("df"), F.lit(n))).alias("keyword"))
@@ -387,20 +387,12 @@ def best_chunk_per_document(spark, d):
 
 
 @reg(
-    """SELECT turn_id, n AS line FROM (SELECT turn_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS n FROM (SELECT path AS turn_id, list_transform(string_split(head, chr(10)), lambda x: trim(x)) AS l FROM files WHERE id % 3 = 0))
+    """SELECT turn_id, n AS line FROM (SELECT turn_id, unnest(l) AS s, unnest(range(1, len(l) + 1)) AS n FROM (SELECT path AS turn_id, list_transform(string_split(head, chr(10)), lambda x: trim(x)) AS l FROM files))
       WHERE s <> '' AND NOT regexp_matches(s, '^[{}]+$') AND NOT regexp_matches(s, '^(//|#|")') AND regexp_matches(s, 'if |else if|while |for |match |catch|when |guard|assert|check|ensure|validate')::INT + regexp_matches(s, 'return |break;|continue;|throw |panic!|unwrap|expect|abort|exit\\(|\\?$')::INT + regexp_matches(s, '=|return |push|insert|remove|set|append')::INT >= 2""",
     "files",
 )
 def crux_scores(spark, d):
-    return _crux(R.files(spark, d, "id", "head").where("id % 3 = 0"))
-
-
-@reg(ORACLES["crux_scores"].replace(" WHERE id % 3 = 0", ""))
-def crux_scores_all(spark, d):
-    return _crux(R.files(spark, d, "id", "head"))
-
-
-def _crux(f):
+    f = R.files(spark, d, "id", "head")
     return f.select(F.col("path").alias("turn_id"), F.explode(K.crux_lines(F.col("head"), 6)).alias("c")).select("turn_id", F.col("c.line").alias("line"))
 
 

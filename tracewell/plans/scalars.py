@@ -104,11 +104,11 @@ def token_savings(spark, d):
 
 
 @reg(
-    """SELECT doc_id, substr(text, 1, 64) AS capped, strlen(text) > 64 AS truncated, substr(trim(coalesce(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')[1], '')), 1, 120) AS title
-      FROM documents WHERE text IS NOT NULL AND strlen(text) = length(text)"""
+    """SELECT doc_id, substr(text, 1, len(list_filter(range(1, 65), lambda i: strlen(substr(text, 1, i)) <= 64))) AS capped, strlen(text) > 64 AS truncated, substr(trim(coalesce(list_filter(string_split(text, chr(10)), lambda s: trim(s) <> '')[1], '')), 1, 120) AS title
+      FROM documents WHERE text IS NOT NULL"""
 )
 def capped_texts(spark, d):
-    t = table(spark, d, "documents").where("text IS NOT NULL AND octet_length(text) = length(text)")
+    t = table(spark, d, "documents").where("text IS NOT NULL")
     c = T.cap_text(F.col("text"), 64)
     return t.select("doc_id", c["text"].alias("capped"), c["truncated"].alias("truncated"), T.derive_title(F.col("text")).alias("title"))
 

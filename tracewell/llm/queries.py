@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import conversations, languages, mixing, packing, sources, tokens
+from tracewell.operators.ordering import numbered
 from tracewell.plans import general
 from tracewell.session import cut, standing, table
 
@@ -42,6 +43,31 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
     return conversation_turns(spark, d, texts=True, max_offset_ms=86_400_000)
 
 
+def skewed_turns(spark: SparkSession, d: str) -> DataFrame:
+    """The conversations kept, on clocks set wrong: each session's assistant clock is off
+    by up to ten minutes either way (by hash of the session), and every spoken turn
+    declares the one before it as what it replies to."""
+    spoken = conversation_turns(spark, d, texts=False).where("role <> 'tool'").select("session_id", "turn_no", F.col("message_id").alias("id"), "role", "utc_ms")
+    true = cut(numbered(spoken, ["session_id"], ["turn_no"], "said"))
+    before = true.select("session_id", (F.col("said") + 1).alias("said"), F.col("id").alias("reply_to"))
+    planted = F.when(F.col("role") == "assistant", F.pmod(F.xxhash64("session_id"), F.lit(1_200_001)) - 600_000).otherwise(0)
+    return true.join(before, ["session_id", "said"], "left").withColumn("planted_ms", planted).withColumn("utc_ms", F.col("utc_ms") + planted)
+
+
+def p6_realigned(spark: SparkSession, d: str) -> DataFrame:
+    """Per conversation the planted clock error, whether the order it came with was
+    wrong, and whether the least-squares offsets put every turn back into its place."""
+    skewed = cut(numbered(skewed_turns(spark, d), ["session_id"], ["utc_ms", "id"], "came"))
+    parts = skewed.select(F.col("id").alias("message_id"), F.lit(False).alias("unreadable"), F.lit(True).alias("has_turn"))
+    sessions = skewed.select(F.col("session_id").alias("id")).distinct()
+    back = conversations.rebuild(skewed.drop("turn_no", "planted_ms", "said", "came"), parts, sessions, 3_600_000).select("session_id", F.col("message_id").alias("id"), F.col("turn_no").alias("place"))
+    return (
+        skewed.join(back, ["session_id", "id"], "left")
+        .groupBy("session_id")
+        .agg(F.max(F.when(F.col("role") == "assistant", F.col("planted_ms"))).alias("planted_ms"), F.bool_or(F.col("came") != F.col("said")).alias("came_wrong"), F.bool_and(F.coalesce(F.col("place") == F.col("said"), F.lit(False))).alias("restored"))
+    )
+
+
 def document_sizes(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return docs.select("doc_id", *columns, tokens.token_count(F.col("text")).alias("tokens"))
@@ -96,6 +122,7 @@ QUERIES = {
     "p4_origins_by_language": p4_origins_by_language,
     "p6_found": p6_found,
     "p6_conversations": p6_conversations,
+    "p6_realigned": p6_realigned,
     "p7_pack": p7_pack,
     "p7_fill": p7_fill,
     "p8_mixture": p8_mixture,

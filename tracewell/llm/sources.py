@@ -18,17 +18,19 @@ ALIASES = {
     "ts": "typescript", "tsx": "typescript", "py": "python", "golang": "go",
 }
 LANGUAGES = ["ruby", "rust", "javascript", "typescript", "python", "go"]
-#: Per language: least share of white space and greatest share of digits of
-#: hand-written text.  Go and TypeScript indent less, Python and Rust more.
+#: Per language: least share of white space, greatest share of digits, least and
+#: greatest share of letters and digits, and longest line of hand-written text.  Go and
+#: TypeScript indent less, Python and Rust more; Rust and Python carry more punctuation.
 LIMITS = {
-    "go": (0.09, 0.10), "typescript": (0.10, 0.10), "javascript": (0.10, 0.10),
-    "ruby": (0.11, 0.10), "rust": (0.12, 0.11), "python": (0.12, 0.10),
+    "go": (0.09, 0.10, 0.45, 0.84, 1000), "typescript": (0.10, 0.10, 0.42, 0.84, 1200), "javascript": (0.10, 0.10, 0.42, 0.82, 1200),
+    "ruby": (0.11, 0.10, 0.42, 0.83, 1000), "rust": (0.12, 0.11, 0.38, 0.80, 1000), "python": (0.12, 0.10, 0.40, 0.82, 1000),
 }
-OTHER_LIMITS = (0.09, 0.10)
+OTHER_LIMITS = (0.09, 0.10, 0.38, 0.86, 1200)
 SHORT = 100  # characters below which layout says nothing
-LONG_LINE, LONG_MEAN = 1000, 200  # a line or a mean line beyond this is no hand's
+LONG_MEAN = 200  # a mean line beyond this is no hand's
 ENCODED_SHARE = 0.5  # share of the text in runs of 60 or more encoded characters
-NUMBERED = 5  # names numbered 0, 1, 2, ... up to here at least
+NUMBERED, NUMBERED_SHARE = 5, 0.3  # names numbered 0, 1, 2, ... up to here at least, on this share of the lines
+LEAST_SHARED = 8  # shingles a copy shares with the known file at least
 SIMILAR = 0.8
 SHINGLE = 5
 
@@ -36,12 +38,26 @@ SHINGLE = 5
 VENDOR_DIRS = ["vendor", "vendored", "third_party", "third-party", "thirdparty", "node_modules", "bower_components", "Pods", "Carthage", "external", "deps", "site-packages", "gems"]
 GENERATED_DIRS = ["gen", "generated", "__generated__", "autogen"]
 GENERATED_SUFFIXES = ["pb", "gen", "tab", "generated", "g", "pb2", "pb_gw"]
-#: What tools write on a comment line of their own.
-MARKERS = (
-    r"(?i)^(?:code generated by\b.*(?:do not edit|$)|@generated\b|<auto-?generated|auto-?generated (?:from|by|file)|automatisch erzeugt"
-    r"|generated (?:from|by)\b.*(?:do not (?:modify|edit)|at build time)|this file (?:was|is) (?:automatically |auto-?)?generated"
-    r"|file emitted by\b|this is a machine-written file|do not edit\b.*generated|généré automatiquement|généré par)"
-)
+GENERATED_STEMS = ["_pb2", "_pb2_grpc", "_generated", "_gen"]
+#: What tools write on a comment line of their own, as a small grammar over six languages:
+#: a subject that was made, a making "by itself", a making with a warning, or a tag.
+_SUBJECT = r"(?:this (?:is an? )?|the )?(?:code|file|source|module|document|diese datei|dieser code|ce fichier|ce code|este (?:archivo|fichero|c[oó]digo|arquivo|ficheiro)|dit bestand)"
+_BE = r"(?: (?:was|is|has been|wurde|ist|est|a été|fue|es|foi|é|is|werd))?"
+_SELF = r"(?:auto|automatically|automatisch|automatiquement|automáticamente|automaticamente|machine|mechanically)"
+_MADE = r"(?:generated|emitted|regenerated|erzeugt|generiert|généré|generado|gerado|gegenereerd)"
+_WRITTEN = r"(?:generated|emitted|written|produced|created|built|erzeugt|generiert|erstellt|généré|produit|generado|creado|gerado|criado|gegenereerd|gemaakt)"
+_BY = r"(?:by|from|with|mit|von|aus|par|de|à partir|por|con|a partir|com|door|met|uit)"
+_WARN = r"(?:(?:do not|don't) (?:edit|modify|change|touch)|changes will be lost|at build time|nicht (?:bearbeiten|ändern)|ne pas (?:modifier|éditer)|no (?:editar|modificar)|não (?:editar|modificar)|niet (?:bewerken|wijzigen))"
+MARKERS = "(?i)^(?:" + "|".join(
+    [
+        rf"@generated\b|<auto-?generated",
+        rf"{_SUBJECT}{_BE}(?: {_SELF}[ -]?)? ?{_MADE}(?: {_BY}\b|[.!]? *$)",  # code generated by ..., this file was automatically generated from ...
+        rf"(?:this (?:is|file is) an? )?{_SELF}[ -]?{_WRITTEN}\b",  # automatisch erzeugt, auto-generated, this is a machine-written file
+        rf"{_MADE} (?:{_SELF}\b|{_BY} .*{_WARN})",  # généré automatiquement, generated from ... do not modify
+        r"(?:erzeugt|generiert|généré|generado|gerado|gegenereerd) (?:mit|von|aus|par|por|con|com|door|met)\b",
+        rf"{_WARN}.*{_MADE}",
+    ]
+) + ")"
 _COMMENT = r"^\s*(?://+!?|#+|/\*+!?|\*+|--+|;+|<!--|\"\"\"|''')\s*"
 
 
@@ -56,8 +72,9 @@ def layout(files: DataFrame, text: str = "head") -> DataFrame:
     """Add the layout statistics of ``text`` (null counts as empty).
 
     ``n, max_line, mean_line, space, alnum, digits, encoded`` (share in long
-    encoded runs), ``numbered`` (names numbered 0..k-1) and ``json_lines`` (share
-    of lines that are a JSON token).
+    encoded runs), ``numbered`` (names numbered 0..k-1), ``numbered_lines`` (share of
+    lines that hold a numbered name) and ``json_lines`` (share of lines that are a JSON
+    token).
     """
     df = files.withColumn("_x", F.coalesce(F.col(text), F.lit(""))).withColumn("n", F.length("_x")).withColumn("_lines", F.split("_x", r"\r?\n"))
     n = F.greatest(F.col("n"), F.lit(1))
@@ -72,6 +89,7 @@ def layout(files: DataFrame, text: str = "head") -> DataFrame:
             "digits": share(r"[0-9]"),
             "encoded": F.aggregate(F.regexp_extract_all("_x", F.lit(r"([A-Za-z0-9+/=_-]{60,})"), 1), F.lit(0), lambda a, s: a + F.length(s)) / n,
             "_ids": F.array_distinct(F.transform(F.regexp_extract_all("_x", F.lit(r"[A-Za-z]_?([0-9]{1,4})(?![0-9A-Za-z])"), 1), lambda s: s.cast("int"))),
+            "numbered_lines": F.size(F.filter("_filled", lambda s: s.rlike(r"[A-Za-z]_?[0-9]{1,4}(?![0-9A-Za-z])"))) / F.greatest(F.size("_filled"), F.lit(1)),
             "json_lines": F.size(F.filter("_filled", lambda s: s.rlike(r'^\s*(?:[\[\]{}],?|"(?:[^"\\]|\\.)*"(?:\s*:\s*(?:[\[{]|"(?:[^"\\]|\\.)*"|[-0-9.eE]+|true|false|null|\[\]|\{\}))?,?|[-0-9.]+,?)\s*$')))
             / F.greatest(F.size("_filled"), F.lit(1)),
         }
@@ -96,14 +114,17 @@ def copies(files: DataFrame, upstream: DataFrame, key: str = "path", text: str =
     """``key, similarity``: files that hold, or are held by, a known file to ``SIMILAR``.
 
     Similarity is the greater of the two containments of five-word shingles, so
-    neither a header nor local additions hide a copy.  Both sides are sets of
+    neither a header nor local additions hide a copy; fewer than ``LEAST_SHARED``
+    shingles, such as a licence line, are no copy.  Both sides are sets of
     hashes; counts are combined before any shuffle of them.
     """
+    # an outer explode: from a plain one the optimizer derives a filter on the array, and
+    # would evaluate the words anew for every shingle in it
     known = upstream.select(F.xxhash64("package", "version", "file_name", "hash").alias("up"), F.col(text).alias("_t"))
-    theirs = shingles(known, "up", "_t").select("up", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle")).distinct()
-    mine = shingles(files, key, text).select(key, F.size("shingles").alias("own"), F.explode("shingles").alias("shingle"))
+    theirs = shingles(known, "up", "_t").select("up", F.size("shingles").alias("size"), F.explode_outer("shingles").alias("shingle")).distinct()
+    mine = shingles(files, key, text).select(key, F.size("shingles").alias("own"), F.explode_outer("shingles").alias("shingle"))
     both = mine.join(theirs, "shingle").groupBy(key, "up", "own", "size").agg(F.count("*").alias("both"))
-    sim = F.greatest(F.col("both") / F.col("own"), F.col("both") / F.col("size"))
+    sim = F.when(F.col("both") >= LEAST_SHARED, F.greatest(F.col("both") / F.col("own"), F.col("both") / F.col("size")))
     return both.groupBy(key).agg(F.max(sim).alias("similarity")).where(F.col("similarity") >= SIMILAR)
 
 
@@ -120,9 +141,11 @@ def classify(files: DataFrame, upstream: DataFrame) -> DataFrame:
     tall = F.col("n") >= SHORT
     marked = F.exists("_filled", lambda s: s.rlike(_COMMENT) & F.regexp_replace(s, _COMMENT, "").rlike(MARKERS))
     in_dirs = lambda names: F.col("path").rlike("/(?:" + "|".join(names) + ")/")
-    suffix = F.col("path").rlike(r"\.(?:" + "|".join(GENERATED_SUFFIXES) + r")\.[A-Za-z0-9]+$")
-    tabular = tall & ((F.col("digits") > limit(1)) | (F.col("encoded") > ENCODED_SHARE) | (F.col("json_lines") > 0.9))
-    dense = tall & ((F.col("space") < limit(0)) | (F.col("mean_line") > LONG_MEAN))
+    suffix = F.col("path").rlike(r"(?:\.(?:" + "|".join(GENERATED_SUFFIXES) + ")|" + "|".join(GENERATED_STEMS) + r")\.[A-Za-z0-9]+$")
+    odd = (F.col("alnum") < limit(2)) | (F.col("alnum") > limit(3))
+    counted = (F.col("numbered") >= NUMBERED) & (F.col("numbered_lines") >= NUMBERED_SHARE)
+    tabular = tall & ((F.col("digits") > limit(1)) | (F.col("encoded") > ENCODED_SHARE) | (F.col("json_lines") > 0.9) | (odd & (F.col("space") < limit(0))))
+    dense = tall & ((F.col("space") < limit(0)) | (F.col("mean_line") > LONG_MEAN) | (F.col("max_line") > limit(4)) | odd)
     known = upstream.select(F.lower("hash").alias("_known")).distinct()
     judged = (
         stats.join(copies(files, upstream), "path", "left")
@@ -130,7 +153,7 @@ def classify(files: DataFrame, upstream: DataFrame) -> DataFrame:
         .select(
             "path",
             "language",
-            F.coalesce(marked | in_dirs(GENERATED_DIRS) | suffix | (F.col("numbered") >= NUMBERED), F.lit(False)).alias("generated"),
+            F.coalesce(marked | in_dirs(GENERATED_DIRS) | suffix | counted, F.lit(False)).alias("generated"),
             F.coalesce((dense & ~tabular) | F.col("path").rlike(r"[.-]min\.[A-Za-z]+$"), F.lit(False)).alias("minified"),
             (F.col("similarity").isNotNull() | F.col("_known").isNotNull() | F.coalesce(in_dirs(VENDOR_DIRS), F.lit(False))).alias("vendored"),
             F.coalesce(tabular, F.lit(False)).alias("data"),

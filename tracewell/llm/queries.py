@@ -96,10 +96,21 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(*mixture(spark, d))
 
 
+_NETS: dict[tuple[str, str], languages.Network] = {}
+
+
+def language_net(spark: SparkSession, d: str, docs: DataFrame) -> languages.Network:
+    """The network fit on these documents, once a session; its weights are a few hundred KB."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _NETS:
+        _NETS[at] = languages.fit(docs)
+    return _NETS[at]
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """The languages of each document whose set of them is not the one its label names."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    net = languages.fit(docs)
+    net = language_net(spark, d, docs)
     # the label rides along with the text: no join
     read = languages.document_languages(docs.withColumn("label", languages.label_language(F.col("lang"))), net, "label")
     right = (F.size("found") == 1) & F.coalesce(F.col("found")[0]["lang"] == F.col("label"), F.lit(False))
@@ -109,12 +120,12 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_languages(spark: SparkSession, d: str) -> DataFrame:
     """Every document's languages with confidence and number of full sentences."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    return languages.document_languages(docs, languages.fit(docs)).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
+    return languages.document_languages(docs, language_net(spark, d, docs)).select("doc_id", F.explode("found").alias("f")).select("doc_id", "f.*")
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
-    return languages.segments(docs, languages.fit(docs))
+    return languages.segments(docs, language_net(spark, d, docs))
 
 
 QUERIES = {
@@ -131,4 +142,14 @@ QUERIES = {
     "p9_languages": p9_languages,
     "p9_segments": p9_segments,
 }
-ORACLES: dict[str, str] = {}
+_TURNS = rf"""{general.TIMES},
+  said AS (SELECT DISTINCT session_id, id, ms, CASE WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.role') = 'VARCHAR' THEN lower(regexp_replace(j ->> '$.role', '\s+', '', 'g')) END AS r FROM (SELECT *, CASE WHEN json_valid(data) THEN data END AS j FROM oc_message) LEFT JOIN mm ON key = id WHERE session_id IS NOT NULL),
+  msg AS (SELECT *, CASE WHEN r IN ('user', 'human') THEN 'user' WHEN r IN ('assistant', 'model') THEN 'assistant' WHEN r IS NOT NULL THEN 'tool' END AS role FROM said),
+  part AS (SELECT message_id, bool_or(coalesce(json_type(j), '') <> 'OBJECT') AS bad, bool_or(coalesce((j ->> '$.type') = 'tool' OR ((j ->> '$.type') = 'text' AND json_type(j, '$.text') = 'VARCHAR' AND regexp_matches(j ->> '$.text', '[^\s\x{{A0}}\x{{3000}}]')), false)) AS turn
+    FROM (SELECT message_id, CASE WHEN json_valid(data) THEN data END AS j FROM oc_part) GROUP BY message_id),
+  whole AS (SELECT session_id FROM msg LEFT JOIN part ON message_id = id WHERE session_id IN (SELECT id FROM oc_session) GROUP BY session_id HAVING NOT bool_or(ms IS NULL OR role IS NULL OR coalesce(bad, false))),
+  turn AS (SELECT session_id, id, role, row_number() OVER (PARTITION BY session_id ORDER BY ms, id) AS n FROM msg JOIN part ON message_id = id WHERE turn AND session_id IN (SELECT session_id FROM whole)),
+  spoken AS (SELECT *, lead(role) OVER (PARTITION BY session_id ORDER BY n) AS next, row_number() OVER (PARTITION BY session_id ORDER BY n) AS k FROM turn WHERE role <> 'tool'),
+  kept AS (SELECT session_id FROM spoken GROUP BY session_id HAVING bool_or(k = 1 AND role = 'user') AND NOT bool_or(role = 'user' AND coalesce(next, 'user') = 'user'))
+"""
+ORACLES = {"p6_found": f"WITH {_TURNS} SELECT session_id, n::INT AS turn_no, id AS message_id FROM turn WHERE session_id IN (SELECT session_id FROM kept)"}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import changes, hierarchy, orphans, timeline
 from tracewell.session import blank_to_null, cut, scratch_folder, standing, table
+from tracewell.sources.times_sql import moments
 from tracewell.streaming.feed import ChangeFeed, DeltaSink
 
 
@@ -38,6 +39,17 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return hits.unionByName(messages).dropDuplicates()
 
 
+def p1_undeclared(spark: SparkSession, d: str) -> DataFrame:
+    """Slash dates of search_hits read without the declared date order: the path over each
+    session's records decides.  ``utc_ms`` by the path, ``declared_ms`` by the clock."""
+    hits = table(spark, d, "search_hits").select("turn_id", "session_id", "seq", "agent", "ts").dropDuplicates(["turn_id"])
+    clock_rows = timeline.clocks(table(spark, d, "agent_clocks"))
+    free = timeline.read_times(hits, "ts", "agent", "session_id", ["seq", "turn_id"], clock_rows.withColumn("date_order", F.lit("dmy")), timeline.Costs(off_rule=0.0, strict=False))
+    true = timeline.read_times(hits, "ts", "agent", "session_id", ["seq", "turn_id"], clock_rows).select("turn_id", F.col("utc_ms").alias("declared_ms"))
+    slash = free.where(F.col("utc_ms_format").startswith("slash"))
+    return slash.join(true, "turn_id").select("turn_id", "utc_ms", "declared_ms")
+
+
 def session_tree(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
     nodes = standing(table(spark, d, "oc_session").select("id", "parent_id", "time_updated"), "id", ["time_updated"])
     return hierarchy.hierarchy(nodes, "id", "parent_id", paths)
@@ -222,6 +234,7 @@ def p5_snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_undeclared": p1_undeclared,
     "p2_found": p2_found,
     "p2_hierarchy": p2_hierarchy,
     "p2_descendants": p2_descendants,
@@ -290,7 +303,13 @@ _HISTORY = """
   months AS (SELECT DISTINCT m FROM (SELECT period AS m FROM q UNION SELECT came FROM k UNION SELECT went FROM k) WHERE m > ''),
   alive AS (SELECT DISTINCT m, key FROM months JOIN k ON came <= m AND (went IS NULL OR went > m))
 """
+#: every moment of search_hits (hm) and oc_message (mm)
+TIMES = f"""hr AS (SELECT turn_id AS key, agent, ts AS t FROM search_hits), {moments("hr", "hm")},
+  sa AS (SELECT id, arg_max(agent, (time_updated, parent_id)) AS agent FROM oc_session GROUP BY id),
+  mr AS (SELECT m.id AS key, sa.agent, m.time_created AS t FROM oc_message m LEFT JOIN sa ON sa.id = m.session_id), {moments("mr", "mm")}"""
 ORACLES = {
+    "p1_found": f"""WITH {TIMES} SELECT DISTINCT 'search_hits' AS table_name, turn_id::VARCHAR AS row_key, ms AS utc_ms FROM search_hits JOIN hm ON key = turn_id WHERE NOT regexp_full_match(ts, '[0-9]{{13}}')
+      UNION ALL SELECT DISTINCT 'oc_message', id, ms FROM oc_message JOIN mm ON key = id WHERE NOT regexp_full_match(time_created, '[0-9]{{13}}')""",
     "p2_found": f"WITH RECURSIVE {_STANDING} SELECT n.id, n.root_id, n.depth FROM named n JOIN st USING (id) WHERE st.parent_id IS NOT NULL",
     "p2_hierarchy": f"""WITH RECURSIVE {_STANDING}, below AS (
       SELECT a AS id, count(*) AS n FROM (SELECT unnest(seen[2:]) AS a FROM named) GROUP BY a)

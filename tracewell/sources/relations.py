@@ -13,7 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracewell.operators import timeline
 from tracewell.session import standing, table
+from tracewell.sources.times_sql import moments
 
 
 def files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -40,10 +42,15 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def turns(spark: SparkSession, d: str) -> DataFrame:
-    """``turn_id, session_id, seq, agent, cwd, role, ts, text``; ts only where it is plain milliseconds."""
+def turns(spark: SparkSession, d: str, timed: bool = False) -> DataFrame:
+    """``turn_id, session_id, seq, agent, cwd, role, text`` and, where ``timed``, ``ts``:
+    the moment the hit's time text denotes on its agent's clock, null where none."""
     t = table(spark, d, "search_hits").dropDuplicates(["turn_id"])
-    return t.select("turn_id", "session_id", "seq", "agent", "cwd", "role", F.when(F.col("ts").rlike(r"^[0-9]{13}$"), F.col("ts")).try_cast("long").alias("ts"), F.col("snippet").alias("text"))
+    if not timed:
+        return t.select("turn_id", "session_id", "seq", "agent", "cwd", "role", F.col("snippet").alias("text"))
+    t = t.select("turn_id", "session_id", "seq", "agent", "cwd", "role", F.col("ts").alias("_ts"), F.col("snippet").alias("text"))
+    read = timeline.read_times(t, "_ts", "agent", "session_id", ["seq", "turn_id"], timeline.clocks(table(spark, d, "agent_clocks")), tag="ts")
+    return read.select("turn_id", "session_id", "seq", "agent", "cwd", "role", "ts", "text")
 
 
 def commits(spark: SparkSession, d: str) -> DataFrame:
@@ -64,8 +71,9 @@ CTES = {
       SELECT *, row_number() OVER (PARTITION BY uid ORDER BY indexed_at DESC, id DESC) AS rn FROM index_symbols) WHERE rn = 1 AND dropped_at IS NULL)""",
     "edges": """edges AS (SELECT e.id, e.src, t.id AS dst, e.kind, e.line, CASE WHEN e.resolved = 1 THEN 'exact' ELSE 'probable' END AS tier
       FROM (SELECT DISTINCT id, src, dst, kind, line, resolved FROM index_edges) e JOIN symbols t ON t.uid = e.dst JOIN symbols s ON s.id = e.src)""",
-    "turns": """turns AS (SELECT turn_id, session_id, seq, agent, cwd, role, try_cast(CASE WHEN regexp_matches(ts, '^[0-9]{13}$') THEN ts END AS BIGINT) AS ts, snippet AS text
-      FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY seq) AS rn FROM search_hits) WHERE rn = 1)""",
+    "turns": f"""hr AS (SELECT turn_id AS key, agent, ts AS t FROM search_hits), {moments("hr", "hm")},
+      turns AS (SELECT turn_id, session_id, seq, agent, cwd, role, hm.ms AS ts, snippet AS text
+      FROM (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY seq) AS rn FROM search_hits) LEFT JOIN hm ON key = turn_id WHERE rn = 1)""",
     "commits": "commits AS (SELECT o_orderkey AS commit_id, o_orderdate AS committed_at, o_custkey AS author, o_orderstatus AS state FROM orders)",
     "file_changes": "file_changes AS (SELECT l_orderkey AS commit_id, l_partkey AS path_id, l_returnflag AS status, l_linenumber AS n, l_quantity AS size FROM lineitem)",
 }

@@ -252,3 +252,12 @@ def sanitize_query(raw: str) -> list[str]:
             units.append(phrase)
         rest = rest[:open_] + rest[close + 1 :]
     return units + [t for t in re.split(r"[^A-Za-z0-9_]+", rest) if len(t) > 1]
+
+
+def rubric_fingerprint(context: Column, labels: Column, criteria: Column) -> Column:
+    """The identity of a rubric: sha-256 over context, labels in their order and criteria
+    (a map) by label; null parts count as empty."""
+    pairs = F.array_sort(F.map_entries(F.coalesce(criteria, F.create_map().cast("map<string,string>"))))
+    rows = F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")), F.lit("\n")))
+    names = F.transform(F.coalesce(labels, F.array().cast("array<string>")), lambda x: F.concat(F.coalesce(x, F.lit("")), F.lit("\n")))
+    return F.sha2(F.concat(F.coalesce(context, F.lit("")), F.lit("\n"), F.array_join(names, ""), F.array_join(rows, "")), 256)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -59,8 +60,31 @@ def score(norm: Column, phrase: str, is_test: Column, owned: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), lifted))
 
 
-def resolve(concepts: DataFrame, symbols: DataFrame, phrase: str, limit: int = 20) -> DataFrame:
-    """``tier, id, norm``: the first tier that answers, and nothing of the later ones.
+def weak_filenames(files: DataFrame, phrase: str, current: DataFrame, cap: int = 256) -> DataFrame:
+    """``id, path, norm, score``: files whose name holds words of the phrase, where the
+    concepts found so far (``current``: norm) say little.
+
+    Nothing for a phrase under two words, or where a concept already holds more than
+    half of them.  ``files``: id, path; the score is 0.3 to 0.7 by the share of words,
+    0.12 more for a name, and no more than a substring's 0.8.  The first ``cap`` paths.
+    """
+    words = _words(phrase)
+    want = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
+    empty = files.select("id", "path", F.lit("").alias("norm"), F.lit(0.0).alias("score")).limit(0)
+    if len(words) < 2:
+        return empty
+    held = F.size(F.array_intersect(T.concept_words(F.col("norm")), want))
+    if not current.where(2 * held > len(words)).isEmpty():
+        return empty
+    stem = F.substring_index(F.substring_index("path", "/", -1), ".", 1)
+    shared = F.size(F.array_intersect(T.split_ident_words(stem), want))
+    scored = files.select("id", "path", stem.alias("norm"), shared.alias("_n")).where("_n > 0")
+    return scored.select("id", "path", "norm", F.least(F.lit(0.8), 0.3 + 0.4 * F.col("_n") / len(words) + 0.12).alias("score")).orderBy("path", "id").limit(cap)
+
+
+def resolve(concepts: DataFrame, symbols: DataFrame, phrase: str, limit: int = 20, reranker: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """``tier, id, norm``: the first tier that answers, and nothing of the later ones
+    (``reranker``, a callable over the answer, may reorder it before it is cut).
 
     ``concepts``: id, norm, words; ``symbols``: id, name.  Every tier is planned at once
     and the least answered one kept by one aggregate, so a cascade is two passes, not
@@ -80,4 +104,5 @@ def resolve(concepts: DataFrame, symbols: DataFrame, phrase: str, limit: int = 2
         ],
     )
     first = every.agg(F.min("tier")).first()[0]
-    return every.where(F.col("tier") == (first if first is not None else -1)).orderBy("rank", "norm", "id").limit(limit).select("tier", "id", "norm")
+    answer = every.where(F.col("tier") == (first if first is not None else -1))
+    return (reranker(answer) if reranker else answer).orderBy("rank", "norm", "id").limit(limit).select("tier", "id", "norm")

@@ -19,15 +19,33 @@ def within(left: DataFrame, right: DataFrame, left_at: str, right_at: str, span:
     return joined.where(F.abs(F.col(left_at) - F.col(right_at)) <= span).drop("_b")
 
 
-def overlapping(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[str, str], b_span: tuple[str, str]) -> DataFrame:
-    """Pairs with the same key whose spans share a point, ends included."""
-    return a.join(b, on).where((F.col(a_span[0]) <= F.col(b_span[1])) & (F.col(b_span[0]) <= F.col(a_span[1])))
+WIDTH = 64  # lines a bucket of the interval joins holds
 
 
-def innermost(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, ident: str, keep: list[str]) -> DataFrame:
+def _spread(df: DataFrame, start: str, end: str, width: int) -> DataFrame:
+    """Rows repeated for every bucket of ``width`` their span touches (``_b``)."""
+    ends = [F.floor(f(F.col(start), F.col(end)) / width) for f in (F.least, F.greatest)]
+    return df.withColumn("_b", F.explode(F.sequence(*ends)))
+
+
+def overlapping(a: DataFrame, b: DataFrame, on: list[str], a_span: tuple[str, str], b_span: tuple[str, str], width: int = WIDTH) -> DataFrame:
+    """Pairs with the same key whose spans share a point, ends included.
+
+    Spans meet in the buckets they touch, so a key with many spans is spread and only
+    neighbours are compared; a pair counts in the bucket where the later one starts.
+    Null ends match nothing.
+    """
+    joined = _spread(a, *a_span, width).join(_spread(b, *b_span, width), [*on, "_b"])
+    meet = (F.col(a_span[0]) <= F.col(b_span[1])) & (F.col(b_span[0]) <= F.col(a_span[1]))
+    return joined.where(meet & (F.col("_b") == F.floor(F.greatest(a_span[0], b_span[0]) / width))).drop("_b")
+
+
+def innermost(points: DataFrame, spans: DataFrame, on: list[str], at: str, start: str, end: str, ident: str, keep: list[str], width: int = WIDTH) -> DataFrame:
     """Each point with its smallest enclosing span's ``ident`` (null if none); equal
-    sizes go to the later start, then the least ident."""
-    hit = points.join(spans.select(*on, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(ident).alias("_i")), on, "left")
+    sizes go to the later start, then the least ident.  A point meets the spans of its
+    own bucket only."""
+    s = _spread(spans.select(*on, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(ident).alias("_i")), "_s", "_e", width)
+    hit = points.withColumn("_b", F.floor(F.col(at) / width)).join(s, [*on, "_b"], "left")
     inside = (F.col("_s") <= F.col(at)) & (F.col(at) <= F.col("_e"))
     best = F.min(F.when(inside, F.struct((F.col("_e") - F.col("_s")).alias("w"), (-F.col("_s")).alias("s"), F.col("_i").alias("i"))))
     return hit.groupBy(*keep).agg(best.alias("_b")).select(*keep, F.col("_b.i").alias(ident))
@@ -41,7 +59,7 @@ def residues(spans: DataFrame, covers: DataFrame, on: list[str], start: str, end
     """
     key = [*on, "span_start", "span_end"]
     s = spans.select(*on, F.col(start).alias("span_start"), F.col(end).alias("span_end")).distinct()
-    c = s.join(covers.select(*on, F.col(start).alias("_s"), F.col(end).alias("_e")), on).where("_s <= span_end AND _e >= span_start")
+    c = overlapping(s, covers.select(*on, F.col(start).alias("_s"), F.col(end).alias("_e")), on, ("span_start", "span_end"), ("_s", "_e"))
     marks = c.select(*key, "_s", "_e").unionByName(s.select(*key, (F.col("span_end") + 1).alias("_s"), (F.col("span_end") + 1).alias("_e")))
     w = Window.partitionBy(*key).orderBy("_s", "_e").rowsBetween(Window.unboundedPreceding, -1)
     gaps = marks.withColumn("start", F.greatest(F.coalesce(F.max("_e").over(w) + 1, F.col("span_start")), F.col("span_start"))).withColumn("end", F.least(F.col("_s") - 1, F.col("span_end")))
@@ -53,22 +71,30 @@ REASONS = ["same-file", "call-edge", "import-adjacency", "same-name"]
 
 
 def conflicts(regions: DataFrame, calls: DataFrame, imports: DataFrame) -> DataFrame:
-    """``a, b, reason`` for pairs of regions (uid, file, name) that may not be changed
-    apart: same file, a call between them, an import between their files, same name.
-
-    Each reason is an equi-join of its own, so only pairs that share something meet;
-    the first reason in priority stands.  ``calls``: caller, callee; ``imports``:
-    importer, imported.
+    """``uid, reason, with, others``: what each region (uid, file, name) may not be
+    changed apart from.
+
+    One row per region and class instead of one per pair, so a name or file that a
+    third of all regions share costs a row each: ``same-file`` and ``same-name`` name
+    the file or name and count its other regions, ``import-adjacency`` the file at the
+    other end of an import and its regions, ``call-edge`` the other region itself.  Two
+    regions conflict exactly if a class of one holds the other.  ``calls``: caller,
+    callee; ``imports``: importer, imported.  Null names and files join nothing.
     """
-    r = lambda x: regions.select(*[F.col(c).alias(f"{x}_{c}") for c in ("uid", "file", "name")])
-    a, b = r("a"), r("b")
-    same = lambda col, rank: a.join(b, F.col(f"a_{col}") == F.col(f"b_{col}")).select("a_uid", "b_uid", F.lit(rank).alias("r"))
-    called = calls.join(a, F.col("caller") == F.col("a_uid")).join(b, F.col("callee") == F.col("b_uid")).select("a_uid", "b_uid", F.lit(1).alias("r"))
-    imported = imports.join(a, F.col("importer") == F.col("a_file")).join(b, F.col("imported") == F.col("b_file")).select("a_uid", "b_uid", F.lit(2).alias("r"))
-    every = same("file", 0).unionByName(called).unionByName(imported).unionByName(same("name", 3)).where("a_uid <> b_uid")
-    pairs = every.select(F.least("a_uid", "b_uid").alias("a"), F.greatest("a_uid", "b_uid").alias("b"), "r")
-    names = F.array(*[F.lit(x) for x in REASONS])
-    return pairs.groupBy("a", "b").agg(F.min("r").alias("r")).select("a", "b", F.get(names, F.col("r")).alias("reason"))
+    r = regions.select("uid", "file", "name").distinct()
+
+    def shared(col: str, reason: str) -> DataFrame:
+        size = r.groupBy(col).agg((F.count("*") - 1).alias("others")).where("others > 0")
+        return r.join(size, col).select("uid", F.lit(reason).alias("reason"), F.col(col).alias("with"), "others")
+
+    both = lambda df, x, y: df.select(x, y).unionByName(df.select(F.col(y).alias(x), F.col(x).alias(y))).where(F.col(x) != F.col(y)).distinct()
+    known = r.select("uid")
+    call = both(calls, "caller", "callee").join(known.withColumnRenamed("uid", "caller"), "caller", "left_semi").join(known.withColumnRenamed("uid", "callee"), "callee", "left_semi")
+    called = call.select(F.col("caller").alias("uid"), F.lit("call-edge").alias("reason"), F.col("callee").alias("with"), F.lit(1).cast("long").alias("others"))
+    sizes = r.groupBy("file").agg(F.count("*").alias("others"))
+    near = both(imports, "importer", "imported").join(sizes.withColumnRenamed("file", "imported"), "imported")
+    imported = r.join(near.withColumnRenamed("importer", "file"), "file").select("uid", F.lit("import-adjacency").alias("reason"), F.col("imported").alias("with"), "others")
+    return shared("file", "same-file").unionByName(called).unionByName(imported).unionByName(shared("name", "same-name"))
 
 
 def sink_matches(errors: DataFrame, concepts: list[str], text: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions import text as T
+from tracewell.operators.ordering import numbered
 
 PROBE_BYTES = 4096
 #: Credential-shaped substrings by class, and names a credential is assigned to.
@@ -99,10 +100,11 @@ def label_scores(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 def error_curve(df: DataFrame, confidence: str, correct: str, key: str, buckets: int = 100) -> DataFrame:
     """Coverage against error as the confidence threshold falls, with Wilson bounds:
     one point per distinct confidence.  Rows are folded per confidence first, so the
-    running sums run over distinct values only."""
+    running sums run over distinct values, range partitioned."""
     per = df.groupBy(F.col(confidence).alias("threshold")).agg(F.count("*").alias("n"), F.sum((~F.col(correct)).cast("int")).alias("wrong"))
-    w = Window.orderBy(F.col("threshold").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select("threshold", F.sum("n").over(w).alias("accepted"), F.sum("wrong").over(w).alias("wrong"))
+    down = [F.col("threshold").desc_nulls_last()]
+    run = numbered(per, [], down, "_p", F.col("n"), "accepted").drop("_p", "n").withColumnRenamed("wrong", "_wrong")
+    run = numbered(run, [], down, "_p", F.coalesce("_wrong", F.lit(0)), "wrong")
     all_ = per.agg(F.sum("n")).first()[0] or 0
     ci = T.wilson(F.col("wrong"), F.col("accepted"))
     return run.select(
@@ -130,3 +132,54 @@ def ndcg(ranked: DataFrame, query: str, rank: str, relevant: str, k: int = 10) -
     g = ranked.groupBy(F.col(query).alias("query")).agg(F.sum(gain).alias("dcg"), F.least(F.count_if(F.col(relevant)), F.lit(k)).alias("m"))
     ideal = F.aggregate(F.when(F.col("m") > 0, F.sequence(F.lit(1), F.col("m").cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1))
     return g.select("query", F.round(F.when(ideal > 0, F.col("dcg") / ideal).otherwise(0.0), 6).alias("ndcg"))
+
+
+class Baseline:
+    """A classifier to measure others against: ``predict`` adds ``predicted`` (null: it
+    abstains) to rows with a text column."""
+
+    name = "none"
+
+    def predict(self, df: DataFrame, text: str) -> DataFrame:
+        return df.withColumn("predicted", F.lit(None).cast("string"))
+
+
+class KeywordBaseline(Baseline):
+    """The first label, in the given order, one of whose keywords the text holds."""
+
+    name = "keyword"
+
+    def __init__(self, keywords: dict[str, list[str]]):
+        self.keywords = keywords
+
+    def predict(self, df: DataFrame, text: str) -> DataFrame:
+        low, label = F.lower(text), F.lit(None).cast("string")
+        for name, words in reversed(self.keywords.items()):
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | low.contains(w.lower())
+            label = F.when(hit, name).otherwise(label)
+        return df.withColumn("predicted", label)
+
+
+class ExactLookupBaseline(Baseline):
+    """The label of a stored example with the very same text (the least of several)."""
+
+    name = "exact_lookup"
+
+    def __init__(self, examples: DataFrame, text: str, label: str):
+        self.known = examples.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("_h"), F.col(text).alias("_t")).agg(F.min(label).alias("predicted"))
+
+    def predict(self, df: DataFrame, text: str) -> DataFrame:
+        j = df.withColumn("_q", F.xxhash64(text)).join(self.known, (F.col("_q") == F.col("_h")) & (F.col(text) == F.col("_t")), "left")
+        return j.drop("_q", "_h", "_t")
+
+
+def baseline_scores(df: DataFrame, text: str, actual: str, baselines: list[Baseline]) -> DataFrame:
+    """``baseline, rows, answered, right`` of each baseline over the same rows."""
+    out = None
+    for b in baselines:
+        p = b.predict(df, text)
+        one = p.agg(F.count("*").alias("rows"), F.count("predicted").alias("answered"), F.count_if(F.col("predicted") == F.col(actual)).alias("right")).select(F.lit(b.name).alias("baseline"), "rows", "answered", "right")
+        out = one if out is None else out.unionByName(one)
+    return out

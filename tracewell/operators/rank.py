@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import paths as P
 from tracewell.functions import text as T
+from tracewell.operators.ordering import numbered
 from tracewell.session import cut
 
 K1, B, RRF_K = 1.2, 0.75, 60.0
@@ -87,13 +88,17 @@ def rrf(lists: list[tuple[DataFrame, float]], key: str, rank: str = "rank", k: f
 def competition_ranks(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
     """Add ``rank``: 1 + the number of rows with a strictly greater value.
 
-    Counts are folded per distinct value, so the window runs over values, and comes
-    back by a join on the value.
+    Counts are folded per distinct value and summed over range partitions of the
+    values, so no task sees them all; the rank comes back by a join on the value.
+    A null value ranks after all others, a null group is a group.
     """
     per = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(F.col(value).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = per.select(*by, value, (F.coalesce(F.sum("_c").over(w), F.lit(0)) + 1).alias("rank"))
-    return df.join(ranks, [*by, value])
+    run = numbered(per, by, [F.col(value).desc_nulls_last()], "_p", F.col("_c"), "_t")
+    ranks = run.select(*by, value, (F.col("_t") - F.col("_c") + 1).alias("rank"))
+    same = F.lit(True)
+    for c in (*by, value):
+        same = same & F.col(f"d.{c}").eqNullSafe(F.col(f"r.{c}"))
+    return df.alias("d").join(ranks.alias("r"), same).select("d.*", "rank")
 
 
 def filename_scores(paths_: DataFrame, path: str, keywords: list[str]) -> DataFrame:
@@ -200,32 +205,42 @@ def knn_vote(neighbours: DataFrame, query: str, label: str, sim: str, least: flo
     )
 
 
+def by_meaning(best: DataFrame, lexical: DataFrame, path: str, terms: list[str], k: int, semantic: float = 2.0, words: float = 1.0) -> DataFrame:
+    """``path, score``: the ``k`` best files by rank of meaning and of words.
+
+    ``best``: path, cosine of its best chunk; ``lexical``: path, score of its words.  The
+    place by cosine (ties by path) counts ``semantic / (60 + place)``, the competition
+    rank of a positive word score ``words / (60 + rank)``, and kinds of file the terms do
+    not name are demoted.  Places come from range partitions, so no task sees every file.
+    """
+    placed = numbered(best.where(F.col(path).isNotNull()).select(path, "cosine"), [], [F.desc("cosine"), F.col(path)], "_s")
+    held = lexical.where(F.col(path).isNotNull()).groupBy(path).agg(fixed(F.max("score")).alias("_lex")).where("_lex > 0")
+    ranks = competition_ranks(held, "_lex").select(path, F.col("rank").alias("_l"))
+    fused = F.lit(semantic) / (RRF_K + F.col("_s")) + F.coalesce(F.lit(words) / (RRF_K + F.col("_l")), F.lit(0.0))
+    scored = placed.join(ranks, path, "left").select(path, (fused * P.demotion(F.col(path), terms)).alias("score"))
+    return scored.orderBy(F.desc("score"), path).limit(k)
+
+
 def fit_budget(items: DataFrame, group: str, order: str, budget: int, levels: list[str]) -> DataFrame:
-    """``group, order, level``: how far each item of a bounded list can be shown.
+    """``group, order, level``: how far each item of a list can be shown (-1: not at all).
 
     All items in order at the first level, then each in order at the next, and so on,
     stopping at the first step that would exceed the budget (bytes / 4).  ``levels``
-    name columns of sizes, ascending.  A list belongs to one answer, so it is small.
+    name columns of sizes; a null size is 0.  The steps are rows of a running sum per
+    list, so lists of any number are fitted at once.
     """
-    import pandas as pd
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(order).reset_index(drop=True)
-        level, used = [-1] * len(p), 0
-        for k, col in enumerate(levels):
-            for i in range(len(p)):
-                grow = int(p[col][i]) - (int(p[levels[k - 1]][i]) if k else 0)
-                if -(-(used + grow) // 4) > budget:
-                    return pd.DataFrame({group: p[group], order: p[order], "level": level})
-                used, level[i] = used + grow, k
-        return pd.DataFrame({group: p[group], order: p[order], "level": level})
-
-    kinds = dict(items.dtypes)
-    return items.select(group, order, *levels).groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, {order} {kinds[order]}, level int")
+    size = [F.coalesce(F.col(c).cast("long"), F.lit(0)) for c in levels]
+    steps = F.array(*[F.struct(F.lit(i).alias("k"), (x - (size[i - 1] if i else F.lit(0))).alias("grow")) for i, x in enumerate(size)])
+    every = items.select(group, order, F.explode(steps).alias("s")).select(group, order, "s.*")
+    w = Window.partitionBy(group).orderBy("k", order).rowsBetween(Window.unboundedPreceding, 0)
+    used = every.withColumn("_u", F.ceil(F.sum("grow").over(w) / 4)).withColumn("_most", F.max("_u").over(w))
+    shown = used.groupBy(group, order).agg(F.max(F.when(F.col("_most") <= budget, F.col("k"))).alias("k"))
+    return shown.select(group, order, F.coalesce("k", F.lit(-1)).alias("level"))
 
 
 def crux_lines(body: Column, threshold: int = 3) -> Column:
     """``array<struct<line, text>>`` of a body's guards, bails and mutations (3 each)."""
+    # Words that mark a guard, a way out and a change
     guard = r"if |else if|while |for |match |catch|when |guard|assert|check|ensure|validate"
     bail = r"return |break;|continue;|throw |panic!|unwrap|expect|abort|exit\(|\?$"
     change = r"=|return |push|insert|remove|set|append"

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.operators.ordering import numbered
+from tracewell.session import cut
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -34,45 +37,53 @@ def nearest_codes(codes: DataFrame, key: str, scale: str, code: str, query: list
     return codes.select(key, F.round(dot(F.col(code), q) * F.col(scale), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+PASS_BYTES = 16 << 20  # query vectors held by a task at a time
+
+
 def neighbours(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int, block: int = 1024) -> DataFrame:
     """``query, key, score``: the ``k`` nearest rows of every query, all rows searched.
 
-    Queries go in blocks of ``block``: each task multiplies its vectors with a block as
-    matrices and hands on its own best ``k`` per query, so what is shuffled is k rows
-    per query and task, and no pair of rows is ever written out.
+    Queries are numbered once and go to the tasks ``PASS_BYTES`` at a time, so a scan of
+    the vectors serves some tens of thousands of them; within it each task multiplies
+    its vectors with blocks of ``block`` queries as matrices and hands on its own best
+    ``k`` per query.  What is shuffled is k rows per query and batch, and no pair of
+    rows is ever written out.  Null vectors, and those of another length than the
+    queries', are nobody's neighbours.
     """
     spark = vectors.sparkSession
-    total = queries.count()
+    keyed = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("q"), F.col(vector).alias("v"))
+    placed = cut(numbered(keyed, [], ["q"], "_n"))
+    stat = placed.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
+    total, dim = stat["n"], stat["d"] or 0
+    step = max(block, PASS_BYTES // (8 * max(1, dim)))
     parts = []
-    keyed = queries.select(F.col(key).alias("q"), F.col(vector).alias("v")).orderBy("q")
-    for start in range(0, total, block):
-        rows = keyed.offset(start).limit(block).collect()  # at most ``block`` vectors
-        ids = np.array([r["q"] for r in rows])
-        m = np.array([r["v"] for r in rows], dtype=np.float64)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
-        held = spark.sparkContext.broadcast((ids, m))
+    for start in range(0, total, step):
+        rows = placed.where((F.col("_n") > start) & (F.col("_n") <= start + step) & (F.size("v") == dim)).select("q", "v").toPandas()  # PASS_BYTES at most
+        ids, m = rows["q"].to_numpy(), np.array(rows["v"].tolist(), dtype=np.float64).reshape(len(rows), dim)
+        held = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)))
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            ids, m = held.value
+            all_ids, all_m = held.value
             for p in batches:
                 x = np.array(p[vector].tolist(), dtype=np.float64)
                 x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
                 keys = p[key].to_numpy()
-                sims = np.round(m @ x.T, 6)
-                sims[ids[:, None] == keys[None, :]] = -np.inf
-                n = min(k, sims.shape[1])
-                at = np.lexsort((np.broadcast_to(keys, sims.shape), -sims), axis=1)[:, :n]
-                best = np.take_along_axis(sims, at, 1)
-                out = pd.DataFrame({"query": np.repeat(ids, n), key: keys[at].ravel(), "score": best.ravel()})
-                yield out[np.isfinite(out["score"])]
-
-        parts.append(vectors.select(key, vector).mapInPandas(run, f"query long, {key} long, score double"))
+                for at in range(0, len(all_ids), block):
+                    ids, m = all_ids[at : at + block], all_m[at : at + block]
+                    sims = np.round(m @ x.T, 6)
+                    sims[ids[:, None] == keys[None, :]] = -np.inf
+                    n = min(k, sims.shape[1])
+                    first = np.lexsort((np.broadcast_to(keys, sims.shape), -sims), axis=1)[:, :n]
+                    out = pd.DataFrame({"query": np.repeat(ids, n), key: keys[first].ravel(), "score": np.take_along_axis(sims, first, 1).ravel()})
+                    yield out[np.isfinite(out["score"])]
+
+        parts.append(vectors.where(F.size(vector) == dim).select(key, vector).mapInPandas(run, f"query long, {key} long, score double"))
     if not parts:
         return vectors.limit(0).selectExpr("0L query", key, "0D score")
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    w = Window.partitionBy("query").orderBy(F.desc("score"), key)  # over k rows per task
+    w = Window.partitionBy("query").orderBy(F.desc("score"), key)  # over k rows per batch of vectors
     return every.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 

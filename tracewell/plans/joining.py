@@ -128,11 +128,11 @@ def _regions(spark, d):
 
 
 @reg(
-    f"""WITH {REGIONS}, p AS (SELECT a.uid AS x, b.uid AS y, 0 AS r FROM regions a JOIN regions b ON a.file = b.file
-      UNION ALL SELECT a.uid, b.uid, 1 FROM calls c JOIN regions a ON a.uid = c.caller JOIN regions b ON b.uid = c.callee
-      UNION ALL SELECT a.uid, b.uid, 2 FROM imports i JOIN regions a ON a.file = i.importer JOIN regions b ON b.file = i.imported
-      UNION ALL SELECT a.uid, b.uid, 3 FROM regions a JOIN regions b ON a.name = b.name)
-      SELECT least(x, y) AS a, greatest(x, y) AS b, ['same-file', 'call-edge', 'import-adjacency', 'same-name'][min(r) + 1] AS reason FROM p WHERE x <> y GROUP BY 1, 2""",
+    f"""WITH {REGIONS}, pair AS (SELECT caller AS x, callee AS y FROM calls UNION SELECT callee, caller FROM calls), near AS (SELECT importer AS x, imported AS y FROM imports UNION SELECT imported, importer FROM imports)
+      SELECT uid, 'same-file' AS reason, file AS "with", n - 1 AS others FROM (SELECT *, count(*) OVER (PARTITION BY file) AS n FROM regions) WHERE n > 1
+      UNION ALL SELECT uid, 'same-name', name, n - 1 FROM (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM regions) WHERE n > 1
+      UNION ALL SELECT x, 'call-edge', y, 1 FROM pair WHERE x <> y
+      UNION ALL SELECT r.uid, 'import-adjacency', y, (SELECT count(*) FROM regions o WHERE o.file = y) FROM near JOIN regions r ON r.file = x WHERE x <> y AND y IN (SELECT file FROM regions)""",
     "symbols edges",
 )
 def region_conflicts(spark, d):

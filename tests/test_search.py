@@ -118,3 +118,10 @@ def test_tasks():
     assert T.window_ms("24h") == 86_400_000 and T.window_ms("all") is None
     out = tasks.bundle({"a": lambda: 1, "b": lambda: 1 / 0})
     assert out["a"] == 1 and isinstance(out["b"], ZeroDivisionError)
+
+
+def test_anchors_of_the_text_hold_per_line(spark):
+    docs = spark.createDataFrame([(1, "x\nfoo bar"), (2, "foo\nx"), (3, "no")], "id long, body string")
+    for pattern in (r"\Afoo", r"^foo", r"foo(?=\z| bar)", r"(?<!x)foo"):
+        got = {(r["id"], r["line"]) for r in S.lines_matching(docs, "id", "body", pattern).collect()}
+        assert got == {(1, 2), (2, 1)}, pattern

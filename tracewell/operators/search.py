@@ -8,6 +8,7 @@ the query's grams (a bounded list), and the survivors are verified line by line.
 from __future__ import annotations
 
 import binascii
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from re import _constants as K
@@ -94,17 +95,24 @@ def postings(docs: DataFrame, key: str, text: str, extract=grams) -> DataFrame:
     return pairs.groupBy("gram", F.floor(F.col("doc") / BLOCK).alias("block")).agg(F.array_sort(F.collect_set("doc")).alias("docs"))
 
 
-def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = 64) -> None:
-    """Postings as Parquet, partitioned by gram hash and sorted by gram, so a lookup
-    reads one directory and few row groups."""
-    p = postings(docs, key, text).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
+BUCKETS = 64
+
+
+def bucket_of(gram: str, buckets: int = BUCKETS) -> int:
+    """The folder a gram's postings are in; the driver's side of ``crc32 % buckets``."""
+    return binascii.crc32(gram.encode()) % buckets
+
+
+def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = BUCKETS) -> None:
+    """Postings as Parquet, a folder per gram hash and sorted by gram in it, so a lookup
+    reads a few folders and in them few row groups."""
+    p = postings(docs, key, text).withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % buckets).cast("int"))
     p.repartition("bucket").sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def read_postings(spark, path: str, wanted: list[str], buckets: int = 64) -> DataFrame:
+def read_postings(spark, path: str, wanted: list[str], buckets: int = BUCKETS) -> DataFrame:
     """The postings of the given grams; partition and row-group pruning do the rest."""
-    of = spark.range(1).select(F.transform(F.array(*[F.lit(g) for g in wanted]), lambda g: F.pmod(F.xxhash64(g), F.lit(buckets))).alias("b")).first()["b"]
-    return spark.read.parquet(path).where(F.col("bucket").isin(sorted(set(of))) & F.col("gram").isin(wanted))
+    return spark.read.parquet(path).where(F.col("bucket").isin(sorted({bucket_of(g, buckets) for g in wanted})) & F.col("gram").isin(wanted))
 
 
 def candidate_count(post: DataFrame, wanted: list[str]) -> int | None:
@@ -259,17 +267,24 @@ def lines_matching(docs: DataFrame, key: str, text: str, pattern: str) -> DataFr
     """``key, line, content`` of every line that matches; a text stops at its first NUL.
     Java's dialect: keep to the subset the planner's parser shares."""
     body = F.substring_index(F.col(text), "\0", 1)
-    # the anchors of a line hold inside the text only with (?m)
-    lines = docs.where(F.col(text).rlike(f"(?m){pattern}")).select(key, F.posexplode(F.split(body, "\n")).alias("_i", "content"))
+    # the anchors of a line hold inside the text only with (?m); those of the text, and
+    # what looks around, mean another place in a line than in the whole
+    whole = not re.search(r"\\[AZzGbB]|\(\?<?[=!]|\(\?[a-z]*-", pattern)
+    some = docs.where(F.col(text).rlike(f"(?m){pattern}")) if whole else docs
+    lines = some.select(key, F.posexplode(F.split(body, "\n")).alias("_i", "content"))
     return lines.where(F.col("content").rlike(pattern)).select(key, (F.col("_i") + 1).alias("line"), "content")
 
 
-def search(docs: DataFrame, key: str, text: str, pattern: str, post: DataFrame | None = None, where: Column | None = None) -> DataFrame:
-    """Verified matches; ``post`` narrows the documents first, ``where`` is applied
-    before anything is read of the text."""
+def search(docs: DataFrame, key: str, text: str, pattern: str, post: DataFrame | str | None = None, where: Column | None = None) -> DataFrame:
+    """Verified matches; ``post`` (postings, or the folder :func:`write_index` wrote)
+    narrows the documents first, ``where`` is applied before anything is read of the
+    text."""
     if where is not None:
         docs = docs.where(where)
-    found = candidates(post, plan_pattern(pattern)) if post is not None else None
+    plan = plan_pattern(pattern) if post is not None else ALL
+    if isinstance(post, str):
+        post = read_postings(docs.sparkSession, post, plan.grams())
+    found = candidates(post, plan) if post is not None else None
     if found is not None:
         docs = docs.join(found.select(F.col("doc").alias(key)), key, "left_semi")
     return lines_matching(docs, key, text, pattern)

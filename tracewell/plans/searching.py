@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import search as S
 from tracewell.plans.registry import Registry
-from tracewell.session import table
+from tracewell.session import scratch_folder, table
 from tracewell.sources import relations as R
 
 reg = Registry(R.CTES)
@@ -15,6 +15,18 @@ LINES = "lines AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS line, unnest(l
 PATTERN = r"(?:cursor|budget) (?:moves|is spent)\. [A-Z]"
 
 
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def text_index(spark, d):
+    """The folder of the documents' index, written by the first query that needs it."""
+    at = (spark.sparkContext.applicationId, d)
+    if at not in _WRITTEN:
+        _WRITTEN[at] = scratch_folder(spark)
+        S.write_index(_docs(spark, d), "doc_id", "text", _WRITTEN[at])
+    return _WRITTEN[at]
+
+
 def _docs(spark, d):
     return table(spark, d, "documents").select("doc_id", "text")
 
@@ -26,9 +38,15 @@ def content_search_lines(spark, d):
 
 @reg(f"WITH {LINES} SELECT doc_id, line, content FROM lines WHERE regexp_matches(content, '{PATTERN}')")
 def indexed_search_lines(spark, d):
-    """The same through postings and plan; must equal the plain scan."""
-    docs = _docs(spark, d)
-    return S.search(docs, "doc_id", "text", PATTERN, S.postings(docs, "doc_id", "text"))
+    """The same through the written index; must equal the plain scan."""
+    return S.search(_docs(spark, d), "doc_id", "text", PATTERN, text_index(spark, d))
+
+
+@reg("SELECT count(DISTINCT gram) AS grams, CAST(sum(n) AS BIGINT) AS postings FROM (SELECT gram, count(DISTINCT doc_id) AS n FROM (SELECT doc_id, unnest(list_transform(range(1, length(text) - 1), lambda i: substr(lower(text), i, 3))) AS gram FROM documents WHERE length(text) >= 3) GROUP BY gram)")
+def written_index(spark, d):
+    """What the written index of the documents holds."""
+    p = spark.read.parquet(text_index(spark, d))
+    return p.agg(F.count_distinct("gram").alias("grams"), F.sum(F.size("docs")).cast("long").alias("postings"))
 
 
 @reg(
@@ -91,7 +109,7 @@ def layered_index(spark, d):
 @reg("SELECT doc_id FROM documents WHERE contains(lower(text), 'stale postings') OR contains(lower(text), 'einträge')")
 def unit_match(spark, d):
     docs = _docs(spark, d)
-    return S.containing_units(docs, "doc_id", "text", ["stale postings", "Einträge", "ab"], S.postings(docs, "doc_id", "text")).select("doc_id")
+    return S.containing_units(docs, "doc_id", "text", ["stale postings", "Einträge", "ab"], spark.read.parquet(text_index(spark, d))).select("doc_id")
 
 
 @reg("SELECT doc_id, created_at FROM (SELECT doc_id, created_at FROM documents WHERE contains(lower(text), 'daemon') AND created_at IS NOT NULL ORDER BY created_at DESC, doc_id DESC LIMIT 50)")
@@ -102,8 +120,7 @@ def newest_candidates(spark, d):
 
 @reg("SELECT min(n) AS candidates FROM (SELECT count(*) FILTER (contains(lower(text), 'cur')) AS n FROM documents UNION ALL SELECT count(*) FILTER (contains(lower(text), 'urs')) FROM documents UNION ALL SELECT count(*) FILTER (contains(lower(text), 'rso')) FROM documents UNION ALL SELECT count(*) FILTER (contains(lower(text), 'sor')) FROM documents)")
 def candidate_estimate(spark, d):
-    docs = _docs(spark, d)
-    n = S.candidate_count(S.postings(docs, "doc_id", "text"), S.plan_pattern("cursor").grams())
+    n = S.candidate_count(S.read_postings(spark, text_index(spark, d), S.plan_pattern("cursor").grams()), S.plan_pattern("cursor").grams())
     return spark.createDataFrame([(n,)], "candidates long")
 
 

@@ -112,3 +112,63 @@ def test_debounce_and_late_first_sightings(spark, tmp_path):
     s = V.first_seen(V.source(spark, src, ev.schema), ["key"], "ts")
     V.run_available(s, f"file://{tmp_path}/cp", lambda b, n: b.write.mode("append").parquet(f"file://{tmp_path}/out"))
     assert sorted(r["key"] for r in spark.read.parquet(f"file://{tmp_path}/out").collect()) == ["j", "k"]
+
+
+def test_relations_of_source_text():
+    from tracewell.sources import extract as E
+
+    py = "import os\nfrom a.b import c\n\nclass Store(Base, Mixin):\n    def load(self, key):\n        x = Config.default  # not Here\n        return fetch(key)\n\ndef main():\n    run(Store, \"Quoted name()\")\n"
+    assert E.relations_of("m.py", py) == [
+        ("import", None, "os", 1), ("import", None, "a.b", 2), ("mixin", "Store", "Base", 4), ("mixin", "Store", "Mixin", 4), ("reference", "load", "Config", 6), ("reference", "load", "Here", 6),
+        ("call", "load", "fetch", 7), ("call", "main", "run", 10), ("reference", "main", "Store", 10),
+    ]
+    tsx = "import X from './x'\nconst y = require('./y')\nexport class App extends Page {\n  view() {\n    return <Panel title=\"a\"><X/></Panel>\n  }\n}\n"
+    got = E.relations_of("a.tsx", tsx)
+    assert {r[:3:2] for r in got} >= {("import", "./x"), ("import", "./y"), ("mixin", "Page"), ("component", "Panel"), ("component", "X")}
+    assert ("import", None, "stdio.h", 1) in E.relations_of("a.c", "#include <stdio.h>\nint main(void) {\n  return add(1);\n}\n")
+    assert ("import", None, "fmt", 2) in E.relations_of("a.go", 'import (\n  "fmt"\n)\n')
+    assert E.relations_of("a.txt", py) == [] and E.relations_of("a.py", "") == []
+
+
+def test_symbols_of_more_languages():
+    from tracewell.sources import extract as E
+
+    cases = {
+        "A.java": ("public class A {\n  private int count(List<String> x) {\n    return 1;\n  }\n}\n", [("class", "A"), ("function", "count")]),
+        "a.kt": ("data class A(val x: Int)\nfun go(x: Int) {\n}\n", [("class", "A"), ("function", "go")]),
+        "a.c": ("struct node {\n  int x;\n};\nstatic int add(int a) {\n  if (a) {\n  }\n}\n", [("struct", "node"), ("function", "add")]),
+        "a.php": ("class A {\n  public static function go() {\n  }\n}\n", [("class", "A"), ("function", "go")]),
+        "a.swift": ("struct S {\n  func go() {\n  }\n}\n", [("struct", "S"), ("function", "go")]),
+        "a.sh": ("build() {\n  make\n}\nfunction test {\n  x\n}\n", [("function", "build"), ("function", "test")]),
+        "a.ex": ("defmodule My.App do\n  def run(x), do: x\nend\n", [("module", "My.App"), ("function", "run")]),
+        "a.lua": ("local function f(x)\nend\n", [("function", "f")]),
+        "a.scala": ("object O {\n  def go(x: Int) = x\n}\n", [("class", "O"), ("function", "go")]),
+        "a.cs": ("public sealed class A\n{\n}\n", [("class", "A")]),
+    }
+    for path, (text, want) in cases.items():
+        assert [s[:2] for s in E.symbols_of(path, text)] == want, path
+
+
+def test_yaml_leaves():
+    from tracewell.sources import extract as E
+
+    assert E.yaml_leaves("a:\n  b: 1\n  c:\n    - x\n    - y: 'two'\n# n\nd: \"e f\" # why\n---\nurl: http://x:1/y\n") == [("a.b", "1"), ("a.c", "x"), ("a.c.y", "two"), ("d", "e f"), ("url", "http://x:1/y")]
+    assert E.yaml_leaves("") == []
+    assert ("config_key", "a.b", 0, 0) in E.concepts_of("x.yml", "a:\n  b: some words here to index\n")
+
+
+def test_concepts_have_owners(spark):
+    from tracewell.sources import extract as E
+
+    text = "TOP = 'three words up here'\ndef a():\n    x = 'three words in a'\n    def b():\n        return 'three words in b'\n"
+    f = spark.createDataFrame([("m.py", text), ("n.py", None)], "path string, text string")
+    got = {r["raw"]: (r["line"], r["owner"]) for r in E.own_concepts(E.extract_concepts(f), E.extract_symbols(f), f).collect()}
+    assert got == {"three words up here": (1, None), "three words in a": (3, "a"), "three words in b": (5, "b")}
+
+
+def test_binary_files_are_no_texts(spark):
+    from tracewell.sources import files as S
+
+    rows = [("a", b"x \ny\x00z"), ("b", b"x \ny"), ("c", b""), ("d", b"\x00"), ("e", "é\u0100".encode())]
+    df = spark.createDataFrame([(p, len(c), None, bytearray(c)) for p, c in rows], "path string, size long, modified timestamp, content binary")
+    assert {r["path"] for r in S.texts(df).collect()} == {"b", "c", "e"}

@@ -33,11 +33,21 @@ def _any(words: list[str]) -> str:
     return "|".join(re.escape(w) for w in words)
 
 
+#: Names, beginnings, ends and parts of names that credentials go by, and
+#: folders that hold them.
+CREDENTIAL_NAMES = [".netrc", "_netrc", ".git-credentials", "credentials", "serviceaccountkey.json"]
+CREDENTIAL_BEGINNINGS = [".env", "credentials."]
+CREDENTIAL_ENDS = [".env", "-credentials.json", ".pem", ".key", ".p12", ".pfx", ".jks", ".keystore", ".truststore", "_rsa", "_dsa", "_ecdsa", "_ed25519"]
+CREDENTIAL_PARTS = ["secret"]
+CREDENTIAL_DIRS = ["secrets"]
+
+
 def credential_path(path: Column) -> Column:
     """Whether a path looks like it holds secrets."""
     p = F.lower(path)
-    name = r"(?:\.env[^/]*|[^/]*\.env|credentials(?:\.[^/]*)?|\.netrc|_netrc|\.git-credentials|[^/]*secret[^/]*|serviceaccountkey\.json|[^/]*-credentials\.json|[^/]*(?:\.pem|\.key|\.p12|\.pfx|\.jks|\.keystore|\.truststore|_rsa|_dsa|_ecdsa|_ed25519))"
-    return p.rlike(r"(?:^|/)secrets(?:/|$)") | p.rlike(rf"(?:^|/){name}$")
+    rest = "[^/]*"
+    name = "|".join([_any(CREDENTIAL_NAMES), f"(?:{_any(CREDENTIAL_BEGINNINGS)}){rest}", f"{rest}(?:{_any(CREDENTIAL_ENDS)})", f"{rest}(?:{_any(CREDENTIAL_PARTS)}){rest}"])
+    return p.rlike(rf"(?:^|/)(?:{_any(CREDENTIAL_DIRS)})(?:/|$)") | p.rlike(rf"(?:^|/)(?:{name})$")
 
 
 def glob_regex(glob: str) -> str:

@@ -18,8 +18,9 @@ FIXED_IGNORES = [".git/", ".hg/", ".svn/", "node_modules/", "target/", "dist/",
 def walk(spark: SparkSession, root: str, ignore: list[str] = [], max_bytes: int = MAX_BYTES) -> DataFrame:  # noqa: B006
     """``path, size, modified, content`` of the files under ``root``.
 
-    Ignored directories, files whose name looks like a credential's and files above
-    ``max_bytes`` are left out by metadata, before any content is read.
+    Files above ``max_bytes`` are left out by metadata, before their content is read;
+    ignored directories and files whose name looks like a credential's are dropped after,
+    as the reader takes no rules on paths.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = re.sub("^file:/*", "/", root).rstrip("/")
@@ -37,7 +38,8 @@ def walk(spark: SparkSession, root: str, ignore: list[str] = [], max_bytes: int
 
 def texts(files: DataFrame) -> DataFrame:
     """Files that are text (no NUL byte), decoded."""
-    return files.where(F.instr(F.hex("content"), "00") % 2 != 1).select("path", "size", "modified", F.decode("content", "UTF-8").alias("text"))
+    # latin-1 keeps every byte one character, so a NUL byte is a NUL character
+    return files.where(~F.decode("content", "ISO-8859-1").contains("\0")).select("path", "size", "modified", F.decode("content", "UTF-8").alias("text"))
 
 
 ACTION = T.StructType(

@@ -195,7 +195,7 @@ def touched_sessions(spark, d):
 def agent_stats(spark, d):
     from tracewell.operators.corpus import agent_stats as stats
 
-    return stats(R.turns(spark, d))
+    return stats(R.turns(spark, d, timed=True))
 
 
 @reg(
@@ -396,9 +396,15 @@ def crux_scores(spark, d):
     return f.select(F.col("path").alias("turn_id"), F.explode(K.crux_lines(F.col("head"), 6)).alias("c")).select("turn_id", F.col("c.line").alias("line"))
 
 
-@reg()
+@reg(
+    """WITH item AS (SELECT file, id, length(name) AS l0, length(name) + length(signature) AS l1, length(name) + length(signature) + (end_line - line + 1) * 30 AS l2 FROM symbols),
+      step AS (SELECT file, id, 0 AS k, l0 AS grow FROM item UNION ALL SELECT file, id, 1, l1 - l0 FROM item UNION ALL SELECT file, id, 2, l2 - l1 FROM item),
+      used AS (SELECT *, ceil(sum(coalesce(grow, 0)) OVER (PARTITION BY file ORDER BY k, id) / 4.0) AS u FROM step), ok AS (SELECT *, max(u) OVER (PARTITION BY file ORDER BY k, id) <= 120 AS fits FROM used)
+      SELECT file, id, coalesce(max(k) FILTER (fits), -1)::INT AS level FROM ok GROUP BY file, id""",
+    "symbols",
+)
 def budget_fit(spark, d):
-    """Symbols of each file fitted into a token budget (brute force in the tests)."""
+    """Symbols of each file fitted into a token budget."""
     s = R.symbols(spark, d).select("file", "id", F.length("name").alias("l0"), (F.length("name") + F.length("signature")).alias("l1"), (F.col("end_line") - F.col("line") + 1) .alias("_n"))
     return K.fit_budget(s.withColumn("l2", F.col("l1") + F.col("_n") * 30), "file", "id", 120, ["l0", "l1", "l2"])
 
@@ -409,3 +415,18 @@ def ndcg_at_10(spark, d):
     r = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("q"), F.row_number().over(w).alias("r"), (F.col("l_returnflag") == "R").alias("rel"))
     n = Q.ndcg(r, "q", "r", "rel").withColumnRenamed("query", "q")
     return n.join(r.where("rel").select("q").distinct(), "q", "left_semi")
+
+
+_PREDICT = " ".join("WHEN " + " OR ".join(f"contains(lower(o_orderpriority || ' ' || o_custkey), '{w}')" for w in ws) + f" THEN '{k}'" for k, ws in {"F": ["7", "3 f"], "O": ["5"], "P": [" p"]}.items())
+
+
+@reg(
+    f"""WITH o AS (SELECT o_orderpriority || ' ' || o_custkey AS t, o_orderstatus AS s FROM orders), known AS (SELECT o_orderpriority || ' ' || o_custkey AS t, min(o_orderstatus) AS p FROM orders WHERE o_orderkey % 20 = 0 GROUP BY 1),
+      k AS (SELECT o_orderstatus AS s, CASE {_PREDICT} END AS p FROM orders), x AS (SELECT o.s, known.p FROM o LEFT JOIN known USING (t))
+      SELECT 'keyword' AS baseline, count(*) AS rows, count(p) AS answered, count_if(p = s) AS "right" FROM k UNION ALL SELECT 'exact_lookup', count(*), count(p), count_if(p = s) FROM x"""
+)
+def baseline_comparison(spark, d):
+    """Two stand-in classifiers over the same rows: by keywords and by stored examples."""
+    o = table(spark, d, "orders").select(F.concat_ws(" ", "o_orderpriority", "o_custkey").alias("text"), F.col("o_orderstatus").alias("actual"), "o_orderkey")
+    known = o.where("o_orderkey % 20 = 0")
+    return Q.baseline_scores(o, "text", "actual", [Q.KeywordBaseline({"F": ["7", "3 f"], "O": ["5"], "P": [" p"]}), Q.ExactLookupBaseline(known, "text", "actual")])

@@ -12,6 +12,7 @@ from tracewell.operators import history as H
 from tracewell.operators import rank as K
 from tracewell.operators import vectors as V
 from tracewell.operators.changes import epoch_us
+from tracewell.plans.ranking import BM25, TERMS
 from tracewell.plans.registry import Registry
 from tracewell.session import table
 from tracewell.sources import relations as R
@@ -150,24 +151,12 @@ def chunk_windows(spark, d):
     "turns",
 )
 def ask_sessions(spark, d):
-    return X.ask(R.turns(spark, d), "stale daemon loads indexer", 10)
-
-
-@reg(
-    """WITH a AS (SELECT turn_id, row_number() OVER (ORDER BY length(text) DESC, turn_id) AS rank FROM turns QUALIFY rank <= 60), b AS (SELECT turn_id, row_number() OVER (ORDER BY ts DESC NULLS LAST, turn_id) AS rank FROM turns WHERE ts IS NOT NULL QUALIFY rank <= 60)
-      SELECT turn_id, round(sum(s), 9) AS score FROM (SELECT turn_id, 2.0 / (60 + rank) AS s FROM a UNION ALL SELECT turn_id, 1.0 / (60 + rank) FROM b) GROUP BY turn_id""",
-    "turns",
-)
-def hybrid_turns(spark, d):
-    t = R.turns(spark, d)
-    a = K.top(t.select("turn_id", F.length("text").cast("double").alias("score")), "score", "turn_id", 60)
-    b = K.top(t.where("ts IS NOT NULL").select("turn_id", F.col("ts").cast("double").alias("score")).withColumn("score", F.col("score") / 1e6), "score", "turn_id", 60)
-    return K.rrf([(a, 2.0), (b, 1.0)], "turn_id").select("turn_id", F.round("score", 9).alias("score"))
+    return X.ask(R.turns(spark, d, timed=True), "stale daemon loads indexer", 10)
 
 
 @reg("SELECT session_id, max(agent) AS agent, count(*) AS turns, min(ts) AS first_ts, max(ts) AS last_ts FROM turns GROUP BY session_id HAVING max(ts) >= 1750000000000 AND min(ts) <= 1770000000000", "turns")
 def session_listing(spark, d):
-    return X.session_list(R.turns(spark, d), 1_750_000_000_000, 1_770_000_000_000)
+    return X.session_list(R.turns(spark, d, timed=True), 1_750_000_000_000, 1_770_000_000_000)
 
 
 @reg("SELECT turn_id, CASE WHEN length(text) >= 1 AND (role = 'assistant' OR role = 'user') THEN 0 ELSE 2 END AS embedded FROM turns WHERE NOT regexp_matches(ltrim(coalesce(text, '')), '^(<|\\[)') AND NOT starts_with(ltrim(coalesce(text, '')), 'Caveat')", "turns")
@@ -192,15 +181,68 @@ def vector_topk_cosine(spark, d):
     return V.nearest(e, "vec_id", "embedding", e.orderBy("vec_id").first()["embedding"], 10)
 
 
-@reg()
+@reg(
+    """WITH q AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1), s AS (SELECT vec_id, embedding, list_max(list_transform(embedding, lambda x: abs(x::DOUBLE))) / 127 AS scale FROM embeddings)
+      SELECT vec_id, round(list_dot_product(list_transform(q.e, lambda x: x::DOUBLE), list_transform(embedding, lambda x: CASE WHEN scale > 0 THEN round(x::DOUBLE / scale) ELSE 0 END::DOUBLE)) * scale, 6) AS score FROM s, q ORDER BY score DESC, vec_id LIMIT 10"""
+)
 def knn_quantized(spark, d):
-    """Top 10 over int8 codes (against the float order in the tests)."""
+    """Top 10 over int8 codes."""
     e = table(spark, d, "embeddings")
     q = T.quantize(F.col("embedding"))
     codes = e.select("vec_id", q.alias("q")).select("vec_id", F.col("q.scale").alias("scale"), F.col("q.codes").alias("codes"))
     return V.nearest_codes(codes, "vec_id", "scale", "codes", e.orderBy("vec_id").first()["embedding"], 10)
 
 
+_TURN_BM25 = BM25.replace("doc_id", "turn_id").replace("FROM documents", "FROM turns")
+_NEAREST = f"SELECT v.vec_id, {COS} AS score FROM embeddings v, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q"
+
+
+@reg(
+    f"""WITH {_TURN_BM25}, a AS (SELECT turn_id, row_number() OVER (ORDER BY trunc(score * 1000000) DESC, turn_id) AS rank FROM bm25 WHERE score > 0 QUALIFY rank <= 60),
+      b AS (SELECT vec_id AS turn_id, row_number() OVER (ORDER BY trunc(score * 1000000) DESC, vec_id) AS rank FROM ({_NEAREST}) WHERE vec_id IN (SELECT turn_id FROM turns) QUALIFY rank <= 60)
+      SELECT turn_id, round(sum(s), 9) AS score FROM (SELECT turn_id, 2.0 / (60 + rank) AS s FROM a UNION ALL SELECT turn_id, 1.0 / (60 + rank) FROM b) GROUP BY turn_id""",
+    "turns",
+)
+def hybrid_turns(spark, d):
+    """Turns by words (twice the weight) and by meaning; a turn's vector is the one of its number."""
+    t, e = R.turns(spark, d), table(spark, d, "embeddings")
+    words = K.top(K.bm25(t, "turn_id", "text", TERMS), "score", "turn_id", 60)
+    vectors = e.join(t.select(F.col("turn_id").alias("vec_id")), "vec_id", "left_semi")
+    near = V.nearest(vectors, "vec_id", "embedding", e.orderBy("vec_id").first()["embedding"], 61)
+    meaning = K.top(near.select(F.col("vec_id").alias("turn_id"), "score"), "score", "turn_id", 60)
+    return K.rrf([(words, 2.0), (meaning, 1.0)], "turn_id").select("turn_id", F.round("score", 9).alias("score"))
+
+
+@reg(
+    f"""WITH {BM25}, c AS (SELECT path, doc_id, n.score FROM documents d JOIN ({_NEAREST}) n ON n.vec_id = d.doc_id WHERE path IS NOT NULL),
+      best AS (SELECT path, max(score) AS cosine FROM c GROUP BY path), lex AS (SELECT path, max(CAST(trunc(score * 1000000) AS BIGINT)) AS w FROM bm25 JOIN documents USING (doc_id) WHERE path IS NOT NULL GROUP BY path HAVING w > 0),
+      s AS (SELECT path, row_number() OVER (ORDER BY cosine DESC, path) AS s FROM best), l AS (SELECT path, rank() OVER (ORDER BY w DESC) AS l FROM lex),
+      k AS (SELECT *, lower(path) AS p, CASE WHEN contains(regexp_extract(lower(path), '[^/]*$'), '.') THEN regexp_extract(lower(path), '[^.]*$') ELSE '' END AS ext FROM s LEFT JOIN l USING (path))
+      SELECT path, round((2.0 / (60 + s) + coalesce(1.0 / (60 + l), 0)) * CASE WHEN regexp_matches(p, '(^|/)(test|__tests__|spec|specs)/') OR regexp_matches(p, '(_test\\.|\\.test\\.|\\.spec\\.|_spec\\.)[^/]*$') OR ext IN ('json', 'yaml', 'yml', 'toml', 'md') OR regexp_matches(p, '(^|/)(locales|locale|i18n)/') THEN 0.8 ELSE 1 END, 9) AS score
+      FROM k ORDER BY (2.0 / (60 + s) + coalesce(1.0 / (60 + l), 0)) * CASE WHEN regexp_matches(p, '(^|/)(test|__tests__|spec|specs)/') OR regexp_matches(p, '(_test\\.|\\.test\\.|\\.spec\\.|_spec\\.)[^/]*$') OR ext IN ('json', 'yaml', 'yml', 'toml', 'md') OR regexp_matches(p, '(^|/)(locales|locale|i18n)/') THEN 0.8 ELSE 1 END DESC, path LIMIT 50"""
+)
+def resident_search(spark, d):
+    """Files by meaning: the best chunk of each by cosine and its words by BM25.  A
+    document is a chunk of the file at its path, its vector the one of its number."""
+    docs, e = table(spark, d, "documents"), table(spark, d, "embeddings")
+    q = F.array(*[F.lit(float(x)) for x in e.orderBy("vec_id").first()["embedding"]])
+    chunks = e.select(F.col("vec_id").alias("doc_id"), F.round(V.cosine(F.col("embedding"), q), 6).alias("score")).join(docs.where("path IS NOT NULL").select("doc_id", "path"), "doc_id")
+    best = K.best_chunks(chunks, "path", "score", "doc_id").select("path", F.col("score").alias("cosine"))
+    return K.by_meaning(best, K.bm25(docs, "doc_id", "text", TERMS, keep=["path"]), "path", TERMS, 50).select("path", F.round("score", 9).alias("score"))
+
+
+@reg(
+    """WITH q AS (SELECT ['stale', 'snapshot', 'mirror'] AS w), f AS (SELECT id, path, string_split(regexp_extract(path, '[^/]*$'), '.')[1] AS norm FROM files),
+      x AS (SELECT id, path, norm, len(list_intersect(list_distinct(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(norm, '(\\p{Ll})(\\p{Lu})', '\\1_\\2', 'g'), '([^_\\-.:#])(\\p{Lu}\\p{Ll})', '\\1_\\2', 'g'), '[_\\-.:#]+'), lambda x: lower(x))), w)) AS n FROM f, q)
+      SELECT id, path, norm, round(least(0.8, 0.3 + 0.4 * n / 3 + 0.12), 6) AS score FROM x WHERE n > 0 ORDER BY path, id LIMIT 256""",
+    "files",
+)
+def weak_filenames(spark, d):
+    """File names that hold words of a phrase no concept answers well."""
+    found = C.weak_filenames(R.files(spark, d, "id"), "stale snapshot mirror", C.by_any_word(_concepts(spark, d), ["stale", "snapshot", "mirror"]))
+    return found.select("id", "path", "norm", F.round("score", 6).alias("score"))
+
+
 NEAR = f"near AS (SELECT * FROM (SELECT q.vec_id AS query, v.vec_id, {COS} AS score, v.label FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) <= 8)"
 
 

@@ -98,7 +98,7 @@ def first_sightings(spark, d):
 
 @reg("SELECT agent, max(ts) AS last_ingest_at FROM turns GROUP BY agent", "turns")
 def resume_points(spark, d):
-    return S.resume_point(R.turns(spark, d), "agent", "ts")
+    return S.resume_point(R.turns(spark, d, timed=True), "agent", "ts")
 
 
 @reg(
@@ -139,6 +139,21 @@ def extracted_concepts(spark, d):
     return c.groupBy("kind").agg(F.count("*").alias("concepts"), F.count_distinct("norm").alias("distinct"))
 
 
+@reg()
+def extracted_relations(spark, d):
+    """Calls, imports, mixins, references and components of the file heads (golden cases in the tests)."""
+    r = E.extract_relations(R.files(spark, d, "id", "head"), "path", "head")
+    return r.groupBy("kind").agg(F.count("*").alias("relations"), F.count_distinct("target").alias("targets"), F.count("owner").alias("owned"))
+
+
+@reg()
+def concept_owners(spark, d):
+    """Concepts of the file heads with the symbol around them (golden cases in the tests)."""
+    f = R.files(spark, d, "id", "head").select("path", F.col("head").alias("text"))
+    owned = E.own_concepts(E.extract_concepts(f), E.extract_symbols(f), f)
+    return owned.groupBy("kind").agg(F.count("*").alias("concepts"), F.count("owner").alias("owned"))
+
+
 @reg()
 def code_chunk_sizes(spark, d):
     """Symbol-aligned chunks of the file heads (coverage checked in the tests)."""
@@ -172,15 +187,38 @@ def task_relevance(spark, d):
     return strong.unionByName(rest)
 
 
-@reg()
+BUDGET = 1200
+
+
+@reg(
+    f"""WITH c AS (SELECT * FROM edges WHERE kind = 'call'), t AS (SELECT dst FROM c GROUP BY dst ORDER BY count(*) DESC, dst LIMIT 1),
+      near AS (SELECT dst AS id, 0 AS side FROM t UNION SELECT c.src, 1 FROM c JOIN t USING (dst) UNION SELECT c.dst, 2 FROM c JOIN t ON c.src = t.dst),
+      one AS (SELECT id, min(side) AS side FROM near GROUP BY id),
+      item AS (SELECT o.id, o.side, strlen(s.name) AS l0, strlen(s.name) + strlen(coalesce(s.signature, '')) AS l1, strlen(array_to_string(string_split(f.head, chr(10))[s.line:s.end_line], chr(10))) AS body
+        FROM one o JOIN symbols s USING (id) LEFT JOIN files f ON f.path = s.file),
+      step AS (SELECT id, side, 0 AS k, l0 AS grow FROM item UNION ALL SELECT id, side, 1, l1 - l0 FROM item UNION ALL SELECT id, side, 2, coalesce(body, 0) FROM item),
+      used AS (SELECT *, ceil(sum(grow) OVER (ORDER BY k, side, id) / 4.0) AS u FROM step), ok AS (SELECT *, max(u) OVER (ORDER BY k, side, id) <= {tasks.split_budget(BUDGET, 1)[0]} AS fits FROM used)
+      SELECT id, coalesce(max(k) FILTER (fits), -1)::INT AS level FROM ok GROUP BY id HAVING level >= 0""",
+    "files symbols edges",
+)
 def packed_context(spark, d):
-    """The most called symbol with callers and callees fitted into a budget."""
+    """The most called symbol, its callers and its callees as names, signatures and
+    bodies, as far as a token budget goes; symbols it has no room for are left out."""
     from tracewell.operators import rank as K
 
     e = cut(R.edges(spark, d).where("kind = 'call'"))
-    s = R.symbols(spark, d).select("id", "name", "signature", "line", "end_line")
     target = e.groupBy("dst").count().orderBy(F.desc("count"), "dst").first()["dst"]
     near = e.where(F.col("dst") == target).select(F.col("src").alias("id"), F.lit(1).alias("side")).union(e.where(F.col("src") == target).select("dst", F.lit(2))).distinct()
-    items = spark.range(target, target + 1).select("id", F.lit(0).alias("side")).union(near).groupBy("id").agg(F.min("side").alias("side")).orderBy("side", "id").limit(40).join(s, "id")
-    sized = items.select(F.lit(0).alias("g"), (F.col("side").cast("long") * 10_000_000 + F.col("id")).alias("n"), F.length("name").alias("l0"), (F.length("name") + F.length("signature")).alias("l1"))
-    return K.fit_budget(sized.withColumn("l2", F.col("l1") + 200), "g", "n", tasks.split_budget(1000, 1)[0], ["l0", "l1", "l2"])
+    budget = tasks.split_budget(BUDGET, 1)[0]
+    every = spark.range(target, target + 1).select("id", F.lit(0).alias("side")).union(near).groupBy("id").agg(F.min("side").alias("side"))
+    # a name takes a byte at least, so nothing past four times the budget has room
+    items = every.orderBy("side", "id").limit(4 * budget + 1)
+    s = R.symbols(spark, d).select("id", "file", "name", "signature", "line", "end_line")
+    f = R.files(spark, d, "head").select(F.col("path").alias("file"), "head")
+    lines = F.slice(F.split("head", "\n"), F.col("line").cast("int"), F.greatest(F.col("end_line") - F.col("line") + 1, F.lit(0)).cast("int"))
+    sized = items.join(s, "id").join(f, "file", "left").select(
+        F.lit(0).alias("g"), F.struct("side", "id").alias("n"), F.octet_length("name").alias("l0"),
+        (F.octet_length("name") + F.octet_length(F.coalesce("signature", F.lit("")))).alias("l1"), F.coalesce(F.octet_length(F.array_join(lines, "\n")), F.lit(0)).alias("body"),
+    )
+    fitted = K.fit_budget(sized.withColumn("l2", F.col("l1") + F.col("body")), "g", "n", budget, ["l0", "l1", "l2"])
+    return fitted.where("level >= 0").select("n.id", "level")

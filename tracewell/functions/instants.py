@@ -54,10 +54,6 @@ def epoch_ms(ntz: Column) -> Column:
     return ((days * 24 + F.hour(ntz)) * 60 + F.minute(ntz)) * 60_000 + F.floor(F.second(ntz)) * 1000
 
 
-def _in_range(ms: Column) -> Column:
-    return F.when((ms >= FIRST_MS) & (ms < END_MS), ms)
-
-
 def _number(parts: Column) -> Column:
     """Two-digit text or month name as an int; null for anything else."""
     named = F.instr(F.lit(MONTHS), F.lower(parts))
@@ -66,7 +62,22 @@ def _number(parts: Column) -> Column:
     )
 
 
-def with_readings(df: DataFrame, text: str, zone: Column, order: Column, off_rule: float, out: str = "readings") -> DataFrame:
+def _apart(parts: Column) -> Column:
+    """The same list, by a lambda: a projection that holds one is compiled as small
+    methods of its own.  Fused with its neighbours these expressions make one method of
+    more than 8,000 bytecodes, and the JVM leaves methods that long to its interpreter."""
+    return F.transform(parts, lambda x: x)
+
+
+def _by_zone(shift, zone: Column, at: Column, zones: list[str]) -> Column:
+    """``shift(at, zone)``; a zone given as a literal is resolved once, not for every row."""
+    out = shift(at, zone)
+    for z in zones[:64]:
+        out = F.when(zone == z, shift(at, F.lit(z))).otherwise(out)
+    return out
+
+
+def with_readings(df: DataFrame, text: str, zone: Column, order: Column, off_rule: float, out: str = "readings", zones: list[str] = []) -> DataFrame:  # noqa: B006
     """Add ``out``, all moments ``text`` can denote, as ``array<struct<fmt, ms, cost>>``.
 
     ``zone`` (an IANA name, not null) is the clock a text without zone is local
@@ -74,7 +85,8 @@ def with_readings(df: DataFrame, text: str, zone: Column, order: Column, off_rul
     them costs 0; the other slash order and the second pass of a repeated hour
     are readings too, at ``off_rule`` each.  A skipped local time is read with the
     offset in force before the skip.  Numbers count from 1970 in the unit whose
-    size puts them into 2020-2030; with a fraction they are seconds.  Digits finer
+    size puts them into 2020-2030 (``zones`` may list the names ``zone`` takes: each is
+    then looked up once instead of once a row); with a fraction they are seconds.  Digits finer
     than a millisecond are cut off.  Null, blank and unreadable texts and moments
     outside the range give an empty array.
 
@@ -96,6 +108,7 @@ def with_readings(df: DataFrame, text: str, zone: Column, order: Column, off_rul
     z = F.upper(part(8))
     df = df.withColumns(
         {
+            "_q": _apart(F.col("_p")),
             "_form": F.get("_p", F.lit(0)),
             "_y": part(0).try_cast("int"),
             "_a": _number(part(1)),
@@ -120,19 +133,20 @@ def with_readings(df: DataFrame, text: str, zone: Column, order: Column, off_rul
     wall = lambda month, day: F.try_make_timestamp_ntz("_y", month, day, "_h", "_m", F.col("_s").cast("decimal(16,6)"))
     # a, b: month and day; of a slash date its first and second number
     df = df.withColumns({"_w1": wall(F.col("_a"), F.col("_b")), "_w2": F.when(slash, wall(F.col("_b"), F.col("_a")))})
-    df = df.withColumns({f"_u{k}": F.when(F.col("_local"), F.convert_timezone(F.col("_zone_of"), F.lit("UTC"), F.col(f"_w{k}"))) for k in (1, 2)})
-    hour_on = F.expr("INTERVAL '1' HOUR")
-    df = df.withColumns({f"_v{k}": F.col(f"_u{k}") + hour_on for k in (1, 2)})
+    # wall clocks and moments as plain milliseconds from here on
+    df = df.withColumns({f"_e{k}": epoch_ms(F.col(f"_w{k}")) for k in (1, 2)})
+    shifted = lambda by, ms: _by_zone(by, F.col("_zone_of"), F.timestamp_millis(ms), zones)
+    df = df.withColumns({f"_u{k}": F.when(F.col("_local"), F.unix_millis(shifted(F.to_utc_timestamp, F.col(f"_e{k}")))) for k in (1, 2)} | {"_r": _apart(F.col("_q"))})
 
     def entry(fmt: Column | str, ms: Column, cost: Column | float) -> Column:
         fmt = F.lit(fmt) if isinstance(fmt, str) else fmt
         cost = F.lit(float(cost)) if isinstance(cost, (int, float)) else cost
-        return F.struct(fmt.alias("fmt"), _in_range(ms).alias("ms"), cost.alias("cost"))
+        return F.struct(fmt.alias("fmt"), F.when((ms >= FIRST_MS) & (ms < END_MS), ms).alias("ms"), cost.alias("cost"))
 
     def passes(k: int, fmt: Column, cost: Column) -> list[Column]:
-        wall_k, utc, again = F.col(f"_w{k}"), F.col(f"_u{k}"), F.col(f"_v{k}")
-        first = F.when(F.col("_local"), epoch_ms(utc)).when(F.col("_shift").isNotNull(), epoch_ms(wall_k) - F.col("_shift").cast("long") * 60_000)
-        second = F.when(F.convert_timezone(F.lit("UTC"), F.col("_zone_of"), again) == wall_k, epoch_ms(again))
+        wall_k, utc, again = F.col(f"_e{k}"), F.col(f"_u{k}"), F.col(f"_u{k}") + 3_600_000
+        first = F.when(F.col("_local"), utc).when(F.col("_shift").isNotNull(), wall_k - F.col("_shift").cast("long") * 60_000)
+        second = F.when(F.unix_millis(shifted(F.from_utc_timestamp, again)) == wall_k, again)
         return [entry(fmt, first + F.col("_f"), cost), entry(fmt, second + F.col("_f"), cost + F.lit(float(off_rule)))]
 
     t = F.col("_t")
@@ -144,20 +158,18 @@ def with_readings(df: DataFrame, text: str, zone: Column, order: Column, off_rul
     numeric = [  # one at most is in the range: the units' ranges are disjoint
         entry("num_s", F.when(F.length(t) <= 11, value * 1000), 0),
         entry("num_ms", value, 0),
-        entry("num_us", _div(value, 1_000), 0),
-        entry("num_ns", _div(value, 1_000_000), 0),
+        entry("num_us", F.expr("_n div 1000"), 0),
+        entry("num_ns", F.expr("_n div 1000000"), 0),
         entry("num_frac", frac, 0),
     ]
     rule, other = F.lit(0.0), F.lit(float(off_rule))
     one = passes(1, F.when(slash, F.lit("slash_mdy")).otherwise(F.col("_form")), F.when(slash & F.col("_dmy"), other).otherwise(rule))
     two = passes(2, F.lit("slash_dmy"), F.when(F.col("_dmy"), rule).otherwise(other))
-    every = F.when(F.col("_p").isNull(), F.array(*numeric)).otherwise(
+    every = F.when(F.col("_r").isNull(), F.array(*numeric)).otherwise(
         F.when(F.col("_dmy"), F.array(*two, *one)).otherwise(F.array(*one, *two))
     )
-    df = df.withColumn(out, F.filter(every, lambda c: c["ms"].isNotNull()))
-    return df.drop("_t", "_k", "_c", "_n", "_p", "_form", "_y", "_a", "_b", "_h", "_m", "_s", "_f", "_local", "_shift", "_zone_of", "_dmy", "_w1", "_w2", "_u1", "_u2", "_v1", "_v2")
-
-
-def _div(value: Column, by: int) -> Column:
-    """Exact whole division of a non-negative long (a double would round)."""
-    return F.floor(value.cast("decimal(20,0)") / by).cast("long")
+    df = df.withColumns({"_every": every, "_last": _apart(F.col("_r"))})
+    # both are named twice, so neither moves into the filter, whose input no compiler sees
+    there = (F.size("_every") >= 0) & (F.size(F.coalesce("_last", F.array().cast("array<string>"))) >= 0)
+    df = df.withColumn(out, F.when(there, F.filter("_every", lambda c: c["ms"].isNotNull())))
+    return df.drop("_q", "_r", "_every", "_last", "_t", "_k", "_c", "_n", "_p", "_form", "_y", "_a", "_b", "_h", "_m", "_s", "_f", "_local", "_shift", "_zone_of", "_dmy", "_w1", "_w2", "_e1", "_e2", "_u1", "_u2")

@@ -251,15 +251,15 @@ def decide(rows: DataFrame, readings: str = "readings", costs: Costs = Costs(),
     several = F.size(readings) > 1
     # a text has K readings at most; one more would be lost without a word
     at = cut(rows.withColumn(readings, F.when(F.size(readings) <= K, F.col(readings)).otherwise(F.raise_error(F.lit(f"more than {K} readings")))))
-    pad = lambda f, z: F.transform(F.sequence(F.lit(1), F.lit(K)), lambda k: F.coalesce(F.get(F.col(readings), k - 1)[f], z))
+    pad = lambda f, z: F.array(*[F.coalesce(f(F.get(F.col(readings), F.lit(k))), z) for k in range(K)])
     flat = at.where(F.size(readings) > 0).select(
         F.col("_no").alias("row_no"),
         F.shiftright("_no", CHUNK_BITS).alias("chunk"),
         F.col("_src").alias("source"),
         F.least(F.size(readings), F.lit(K)).alias("n"),
-        pad("ms", F.lit(0)).alias("ms"),
-        F.transform(F.sequence(F.lit(1), F.lit(K)), lambda k: F.coalesce(F.crc32(F.get(F.col(readings), k - 1)["fmt"]), F.lit(0))).alias("fmt"),
-        pad("cost", F.lit(0.0)).alias("cost"),
+        pad(lambda r: r["ms"], F.lit(0)).alias("ms"),
+        pad(lambda r: F.crc32(r["fmt"]), F.lit(0)).alias("fmt"),
+        pad(lambda r: r["cost"], F.lit(0.0)).alias("cost"),
     )
     decided = cut(flat.repartition("chunk").sortWithinPartitions("chunk", "row_no").mapInPandas(_decide(costs), OUT))
     ends = decided.where("ends IS NOT NULL").select("source", "chunk", "ends")
@@ -315,9 +315,10 @@ def read_times(rows: DataFrame, text: str, agent: str, source: str, order: list[
     """
     c = clock_rows.select(F.col("agent").alias("_agent"), F.col("zone").alias("_zone"), F.col("date_order").alias("_order"))
     known = placed(rows.join(c, F.col(agent) == F.col("_agent"), "left").drop("_agent"), source, order)
-    read = instants.with_readings(known, text, F.coalesce("_zone", F.lit("UTC")), F.coalesce("_order", F.lit("dmy")), costs.off_rule)
+    zones = sorted({"UTC", *(r[0] for r in clock_rows.select("zone").distinct().collect())})  # a row per zone name
+    read = instants.with_readings(known, text, F.coalesce("_zone", F.lit("UTC")), F.coalesce("_order", F.lit("dmy")), costs.off_rule, zones=zones)
     read = read.drop("_zone", "_order")
     if costs.strict:
-        follows = F.exists("readings", lambda r: r["cost"] == 0)
-        read = read.withColumn("readings", F.when(follows, F.col("readings")).otherwise(F.filter("readings", lambda r: F.lit(False))))
+        follows = F.get("readings", F.lit(0))["cost"] == 0  # the clock's own reading comes first
+        read = read.withColumn("readings", F.when(follows, F.col("readings")).otherwise(F.array().cast(read.schema["readings"].dataType)))
     return decide(read, "readings", costs, tag)

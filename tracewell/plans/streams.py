@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tracewell.functions import tasks
 from tracewell.operators import activity as A
 from tracewell.operators.changes import epoch_us
 from tracewell.plans.registry import Registry
-from tracewell.session import cut, scratch_dir, table
+from tracewell.session import cut, scratch_folder, table
 from tracewell.sources import extract as E
 from tracewell.sources import relations as R
 from tracewell.streaming import events as S
@@ -19,14 +17,27 @@ reg = Registry(R.CTES)
 QUERIES, ORACLES = reg.queries, reg.oracles
 
 
-def _stream(spark, d, name="events"):
-    path = f"{d}/{name}.parquet"
-    return S.source(spark, path, spark.read.parquet(path).schema)
+TICKS = 4
+_ARRIVED: dict[tuple[str, str], str] = {}
+
+
+def _stream(spark, d):
+    """The events as a stream of ``TICKS`` files in order of arrival, one a tick, so state,
+    cursors and watermarks carry over from one to the next."""
+    at = (spark.sparkContext.applicationId, d)
+    e = table(spark, d, "events")
+    if at not in _ARRIVED:
+        _ARRIVED[at] = scratch_folder(spark)
+        lo, hi = e.agg(F.min("event_id"), F.max("event_id")).first()
+        for k in range(TICKS):
+            tick = F.floor((F.col("event_id") - lo) * TICKS / max(1, (hi or 0) - (lo or 0) + 1)) == k
+            e.where(tick).coalesce(1).write.mode("append").parquet(_ARRIVED[at])
+    return S.source(spark, _ARRIVED[at], e.schema)
 
 
 def _drain(spark, df, apply=None, mode="append"):
     """Run a stream over what is there and read back what it wrote."""
-    out = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = scratch_folder(spark)
     write = apply or (lambda b, n: b.write.mode("append").parquet(f"{out}/data"))
     S.run_available(df, f"{out}/checkpoint", write, mode)
     return out
@@ -46,30 +57,60 @@ def stream_dedup_state(spark, d):
     return states.groupBy("identity").agg(F.max("count").alias("count"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
 
 
-@reg("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
+LATEST = "SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id"
+
+
+def _merged(spark, out):
+    last = spark.read.parquet(f"{out}/data").groupBy("user_id").agg(F.max(F.struct("at", "event_type")).alias("m"))
+    return last.select("user_id", F.col("m.at.ts").alias("ts"), F.col("m.event_type").alias("event_type"))
+
+
+@reg(LATEST)
 def stream_debounced(spark, d):
     """The last change per path of each tick, merged over ticks."""
-    out = f"{scratch_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{scratch_folder(spark)}"
 
     def apply(batch, n):
         S.latest_per_path(batch.select("user_id", F.struct("ts", "event_id").alias("at"), "event_type"), "user_id", "at")[0].write.mode("append").parquet(f"{out}/data")
 
     S.run_available(_stream(spark, d), f"{out}/checkpoint", apply)
-    last = spark.read.parquet(f"{out}/data").groupBy("user_id").agg(F.max(F.struct("at", "event_type")).alias("m"))
-    return last.select("user_id", F.col("m.at.ts").alias("ts"), F.col("m.event_type").alias("event_type"))
+    return _merged(spark, out)
+
+
+@reg(LATEST)
+def stream_overflowed(spark, d):
+    """The same where every tick overflows: what was pending gives way to a rescan."""
+    out = f"{scratch_folder(spark)}"
+    pick = lambda df: df.select("user_id", F.struct("ts", "event_id").alias("at"), "event_type")
+
+    def apply(batch, n):
+        S.reconciled(pick(batch), "user_id", "at", lambda: pick(table(spark, d, "events")), cap=5)[0].write.mode("overwrite").parquet(f"{out}/data")
+
+    S.run_available(_stream(spark, d), f"{out}/checkpoint", apply)
+    return _merged(spark, out)
 
 
 @reg("SELECT count(*) AS events, max(event_id) AS cursor FROM events WHERE event_id > 2000")
 def stream_cursor(spark, d):
     """Events after a cursor, tick by tick, with the cursor carried on."""
-    out = _drain(spark, _stream(spark, d).where("event_id > 2000").select("event_id"))
-    return spark.read.parquet(f"{out}/data").agg(F.count("*").alias("events"), F.max("event_id").alias("cursor"))
+    out = f"{scratch_folder(spark)}"
+    cursor = S.Cursor(spark, f"{out}/cursor", 2000)
+
+    def apply(batch, n):
+        page = cut(cursor.page(batch.select("event_id"), "event_id"))
+        page.write.mode("append").parquet(f"{out}/data")
+        cursor.advance(page.agg(F.max("event_id")).first()[0])
+
+    S.run_available(_stream(spark, d), f"{out}/checkpoint", apply)
+    return spark.read.parquet(f"{out}/data").agg(F.count("*").alias("events"), F.lit(cursor.value()).cast("long").alias("cursor"))
 
 
 @reg("SELECT user_id, count(*) AS windows, sum(n) AS n FROM (SELECT user_id, w, count(*) AS n FROM (SELECT user_id, unnest([epoch_us(ts) // 1800000000, epoch_us(ts) // 1800000000 - 1]) AS w FROM events) GROUP BY ALL) GROUP BY user_id", whole="n")
 def windowed_activity(spark, d):
-    """Sliding-window counts; the batch run of the streaming operator."""
-    w = S.windowed_activity(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id")
+    """Sliding-window counts as ticks update them; the last count of a window stands."""
+    w = S.windowed_activity(_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id")
+    out = _drain(spark, w, mode="update")
+    w = spark.read.parquet(f"{out}/data").groupBy("window", "user_id").agg(F.max("n").alias("n"))
     return w.groupBy("user_id").agg(F.count("*").alias("windows"), F.sum("n").alias("n"))
 
 
@@ -83,11 +124,12 @@ def activity_sessions(spark, d):
 
 @reg("SELECT a.event_id AS error_id, b.event_id FROM events a JOIN events b ON b.event_type <> 'error' AND epoch_us(b.ts) BETWEEN epoch_us(a.ts) - 30000000 AND epoch_us(a.ts) + 30000000 WHERE a.event_type = 'error'")
 def correlated_stream(spark, d):
-    """The interval join of two streams, run over the stored events."""
-    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    a = e.where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("ts").alias("error_ts"))
-    b = e.where("event_type <> 'error'").select("event_id", F.col("ts").alias("event_ts"))
-    return S.correlated(a, b, "error_ts", "event_ts").select("error_id", "event_id")
+    """The interval join of two streams: pairs meet across ticks, watermarks bound the state."""
+    e = lambda: _stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    a = e().where("event_type = 'error'").select(F.col("event_id").alias("error_id"), F.col("ts").alias("error_ts"))
+    b = e().where("event_type <> 'error'").select("event_id", F.col("ts").alias("event_ts"))
+    out = _drain(spark, S.correlated(a, b, "error_ts", "event_ts").select("error_id", "event_id"))
+    return spark.read.parquet(f"{out}/data")
 
 
 @reg("SELECT user_id, event_type, min(ts) AS ts FROM events GROUP BY ALL")

@@ -39,6 +39,36 @@ def latest_per_path(changes: DataFrame, path: str, at: str, cap: int = 4096) ->
     return last, overflow
 
 
+def reconciled(changes: DataFrame, path: str, at: str, rescan: Callable[[], DataFrame], cap: int = 4096) -> tuple[DataFrame, bool]:
+    """A tick's changes, or, where they overflow ``cap``, a full rescan in their place: what
+    was pending is dropped, as the rescan covers it."""
+    last, overflow = latest_per_path(changes, path, at, cap)
+    return (latest_per_path(rescan(), path, at, cap)[0], True) if overflow else (last, False)
+
+
+class Cursor:
+    """A growing long id up to which a reader has read, kept on the shared file system.
+
+    ``page`` takes the rows beyond it and ``advance`` moves it after they are written, so a
+    tick that dies in between is read again and one that is replayed adds nothing."""
+
+    def __init__(self, spark: SparkSession, path: str, start: int = 0):
+        from tracewell.streaming.feed import Store
+
+        self.store, self.start = Store(spark, path), start
+
+    def value(self) -> int:
+        return (self.store.read("cursor") or {"at": self.start})["at"]
+
+    def page(self, rows: DataFrame, ident: str, limit: int | None = None) -> DataFrame:
+        after = rows.where(F.col(ident) > self.value())
+        return after.orderBy(ident).limit(limit) if limit else after
+
+    def advance(self, to: int | None) -> None:
+        if to is not None and to > self.value():
+            self.store.write("cursor", {"at": to})
+
+
 def first_seen(events: DataFrame, key: list[str], at: str) -> DataFrame:
     """Each key once within the watermark: stateful deduplication with bounded state."""
     return events.withWatermark(at, LATE).dropDuplicatesWithinWatermark(key)

@@ -305,3 +305,13 @@ def test_budget_fit(spark):
                     continue
                 used, level[i] = used + grow, k
         assert got == level
+
+
+def test_what_falls_off_after_the_best(spark):
+    mk = lambda rows: spark.createDataFrame([(p, t, i, s) for i, (p, t, s) in enumerate(rows, 1)], "path string, tier string, position int, score double")
+    kept = lambda rows, **k: [r["path"] for r in rank.precise(mk(rows), **k).orderBy("position").collect()]
+    with_p0 = [("a", "P0", 1.0), ("b", "P0", 0.8), ("c", "P1", 0.4), ("d", "P1", 0.39), ("e", "P2", 0.5)]
+    assert kept(with_p0) == ["a", "b", "c", "e"] and kept(with_p0, max_tier="P1") == ["a", "b", "c"] and kept(with_p0, gap=False, max_tier="P0") == ["a", "b"]
+    assert kept([("a", "P1", 1.0), ("b", "P1", 0.6), ("c", "P1", 0.3)]) == ["a"]
+    assert kept([("a", "P1", 1.0), ("b", "P1", 0.9), ("c", "P1", 0.3)]) == ["a", "b", "c"]
+    assert kept([("a", "P2", 1.0)]) == ["a"] and kept([]) == []

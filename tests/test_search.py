@@ -125,3 +125,18 @@ def test_anchors_of_the_text_hold_per_line(spark):
     for pattern in (r"\Afoo", r"^foo", r"foo(?=\z| bar)", r"(?<!x)foo"):
         got = {(r["id"], r["line"]) for r in S.lines_matching(docs, "id", "body", pattern).collect()}
         assert got == {(1, 2), (2, 1)}, pattern
+
+
+def test_segments_append_and_merge(spark, tmp_path):
+    rows = [(i, f"turn {i} " + ("stale cursor" if i % 3 else "warm shard")) for i in range(40)]
+    df = lambda part: spark.createDataFrame(part, "id long, body string")
+    index = S.Segments(spark, f"file://{tmp_path}/i")
+    assert index.postings() is None and index.merge(10) == 0
+    for lo, hi in ((0, 25), (25, 30), (30, 33), (33, 40)):
+        index.append(df(rows[lo:hi]), "id", "body")
+    want = {(r["gram"], d) for r in S.postings(df(rows), "id", "body").collect() for d in r["docs"]}
+    held = lambda: [(r["gram"], d) for r in index.postings().collect() for d in r["docs"]]
+    assert len(held()) == len(set(held())) and set(held()) == want
+    assert index.merge(10) == 3 and index.merge(10) == 0
+    assert len(held()) == len(set(held())) and set(held()) == want
+    assert not S.overlay_full(df(rows), df([])) and S.overlay_full(df(rows), df([]), files=39) and S.overlay_full(df([]), df(rows), dead=39)

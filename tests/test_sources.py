@@ -172,3 +172,26 @@ def test_binary_files_are_no_texts(spark):
     rows = [("a", b"x \ny\x00z"), ("b", b"x \ny"), ("c", b""), ("d", b"\x00"), ("e", "é\u0100".encode())]
     df = spark.createDataFrame([(p, len(c), None, bytearray(c)) for p, c in rows], "path string, size long, modified timestamp, content binary")
     assert {r["path"] for r in S.texts(df).collect()} == {"b", "c", "e"}
+
+
+def test_history_is_taken_in_by_ticks(spark, tmp_path):
+    from tracewell.sources import files as S
+
+    for name in ("log", "patch"):
+        (tmp_path / name).mkdir()
+    commit = lambda oid, msg, files: f"\x01{oid}\x02p\x02ann\x022026-05-01T10:00:00Z\x02{msg}\x02\n" + "\x00".join(files) + "\x00"
+    patch = lambda oid: f"\x01{oid}\x02\n\ndiff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,2 +1,3 @@ def f\n a\n@@ -9 +10,0 @@\n-b\ndiff --git a/y b/y\nBinary files differ\ndiff --git a/z b/z\n--- a/z\n+++ /dev/null\n@@ -1 +0,0 @@\n-c\n"
+    (tmp_path / "log" / "1").write_text(commit("a1", "first", ["M", "x.py"]))
+    (tmp_path / "patch" / "1").write_text(patch("a1"))
+    (tmp_path / "sizes").write_text("b1 blob 12\nb2 missing\nt1 tree 3\n")
+    where = [f"file://{tmp_path}/{n}" for n in ("log", "patch", "sizes", "state", "sink")]
+    assert S.ingest_history(spark, *where) == 1
+    assert S.ingest_history(spark, *where) == 0  # nothing new
+    (tmp_path / "log" / "2").write_text(commit("a2", "second", ["A", "y", "D", "z"]) + commit("a3", "third", []))
+    (tmp_path / "patch" / "2").write_text(patch("a2"))
+    assert S.ingest_history(spark, *where) == 2
+    got = spark.read.parquet(f"{where[-1]}/commits")
+    assert {r["oid"]: [tuple(f) for f in r["files"]] for r in got.collect()} == {"a1": [("M", "x.py")], "a2": [("A", "y"), ("D", "z")], "a3": []}
+    hunks = [(r["oid"], r["path"], r["n"], r["old_start"], r["old_lines"], r["new_start"], r["new_lines"]) for r in spark.read.parquet(f"{where[-1]}/hunks").where("oid = 'a2'").collect()]
+    assert sorted(hunks) == [("a2", "x.py", 0, 1, 2, 1, 3), ("a2", "x.py", 1, 9, 1, 10, 0), ("a2", "z", 0, 1, 1, 0, 0)]
+    assert [tuple(r) for r in spark.read.parquet(f"{where[-1]}/sizes").collect()] == [("b1", 12)]

@@ -75,12 +75,18 @@ def reach(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_depth: i
         seen = seen.unionByName(at)
 
 
-def trace(edges: DataFrame, source: int, target: int, max_depth: int) -> DataFrame:
-    """``step, id`` of a shortest path, by least predecessors; empty where there is none."""
+def trace(edges: DataFrame, source: int, target: int, max_depth: int, furthest: bool = False) -> DataFrame:
+    """``step, id`` of a shortest path, by least predecessors; empty where there is none.
+
+    With ``furthest`` a target out of reach gives the path to the furthest node reached
+    instead (the least id of the furthest), so it ends anywhere but at the target.
+    """
     verdict, seen = reach(edges, edges.sparkSession.range(source, source + 1), edges.sparkSession.range(target, target + 1), max_depth)
-    if verdict != "established":
-        return edges.sparkSession.createDataFrame([], "step int, id long")
     levels = cut(seen)
+    if verdict != "established":
+        if not furthest:
+            return edges.sparkSession.createDataFrame([], "step int, id long")
+        target = -levels.agg(F.max(F.struct("depth", (-F.col("id")).alias("n"))).alias("m")).first()["m"]["n"]
     steps = _turned(edges, False).select("at", "next")
     last = levels.where(F.col("id") == target).first()["depth"]
     path, at = [(last, target)], target

@@ -182,6 +182,31 @@ def tiered(cands: DataFrame, limit: int, p0_cap: int = 5) -> DataFrame:
     return few.withColumn("position", F.row_number().over(w)).where(F.col("position") <= limit).drop("_f")
 
 
+#: A file stays if it reaches this share of the last P0's score, or, without
+#: a P0, of the first's where the second falls short of it.
+GAP, SECOND_GAP = 0.5, 0.7
+
+
+def precise(targets: DataFrame, max_tier: str = "P2", gap: bool = True) -> DataFrame:
+    """``targets`` of :func:`tiered` (a hundred rows at most) without what falls off: files
+    below the gap after the last P0, or, without one, after a clear first; then tiers
+    beyond ``max_tier``.  The best file always stays."""
+    stat = targets.agg(
+        F.max("score").alias("top"), F.min(F.when(F.col("tier") == "P0", F.col("score"))).alias("p0"), F.min_by("score", "position").alias("first"),
+        F.min_by(F.when(F.col("position") > 1, F.col("score")), F.when(F.col("position") > 1, F.col("position"))).alias("second"), F.count("*").alias("n"),
+    ).first()
+    out = targets
+    if gap and stat["n"] > 1:
+        floor = None
+        if stat["p0"] is not None:
+            floor = stat["p0"] * GAP
+        elif stat["first"] > 0 and stat["second"] < stat["first"] * SECOND_GAP:
+            floor = stat["first"] * SECOND_GAP
+        if floor is not None:
+            out = out.where((F.col("score") >= F.lit(floor)) | (F.col("position") == 1))
+    return out.where(F.col("tier") <= max_tier)
+
+
 def best_chunks(chunks: DataFrame, key: str, score: str, seq: str) -> DataFrame:
     """The best chunk of each file; the first of equals."""
     return chunks.groupBy(key).agg(F.max(F.struct(score, (-F.col(seq)).alias("_s"))).alias("b")).select(key, (-F.col("b._s")).alias(seq), F.col("b")[score].alias(score))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import binascii
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from re import _constants as K
@@ -135,6 +136,47 @@ def layered(base: DataFrame, delta: DataFrame, tombstones: DataFrame, overlay: D
     return top.select(key, *[F.col("_r")[c].alias(c) for c in rest])
 
 
+def overlay_full(overlay: DataFrame, tombstones: DataFrame, files: int = 1000, dead: int = 5000) -> bool:
+    """Whether an overlay has outgrown its caps and is due to be folded into the base; no row
+    is dropped either way."""
+    return overlay.limit(files + 1).count() > files or tombstones.limit(dead + 1).count() > dead
+
+
+class Segments:
+    """An index in append-only segments at ``path``: each append writes one, small ones are
+    merged, and one manifest, replaced in a step, says which ones count."""
+
+    def __init__(self, spark, path: str):
+        from tracewell.streaming.feed import Store
+
+        self.spark, self.path, self.store = spark, path.rstrip("/"), Store(spark, f"{path.rstrip('/')}/manifest")
+
+    def _listed(self) -> list[dict]:
+        return (self.store.read("segments") or {"segments": []})["segments"]
+
+    def append(self, docs: DataFrame, key: str, text: str) -> None:
+        """Index documents not indexed before (ids grow, none comes twice)."""
+        data = f"{self.path}/{uuid.uuid4().hex}"
+        postings(docs, key, text).write.parquet(data)
+        self.store.write("segments", {"segments": [*self._listed(), {"data": data, "docs": docs.select(key).count()}]})
+
+    def merge(self, small: int) -> int:
+        """Merge the segments of fewer than ``small`` documents into one; how many."""
+        listed = self._listed()
+        few = [x for x in listed if x["docs"] < small]
+        if len(few) < 2:
+            return 0
+        every = self.spark.read.parquet(*[x["data"] for x in few])
+        data = f"{self.path}/{uuid.uuid4().hex}"
+        every.groupBy("gram", "block").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("docs")).write.parquet(data)
+        self.store.write("segments", {"segments": [*[x for x in listed if x not in few], {"data": data, "docs": sum(x["docs"] for x in few)}]})
+        return len(few)
+
+    def postings(self) -> DataFrame | None:
+        listed = self._listed()
+        return self.spark.read.parquet(*[x["data"] for x in listed]) if listed else None
+
+
 # -- planning -----------------------------------------------------------------------------
 
 

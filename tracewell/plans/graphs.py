@@ -73,14 +73,19 @@ def reachable(spark, d):
     return G.reach(e, first, first.where("false"), 12)[1]
 
 
-@reg()
+_TRACE = """WITH RECURSIVE hop AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('call', 'has_method')), reach(id, depth) AS (SELECT min(src), 0 FROM calls UNION SELECT c.dst, r.depth + 1 FROM reach r JOIN hop c ON c.src = r.id WHERE r.depth < 12),
+  lvl AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id), far AS (SELECT id, depth FROM lvl ORDER BY depth DESC, id LIMIT 1),
+  back(step, id) AS (SELECT depth, id FROM far UNION ALL SELECT b.step - 1, (SELECT min(c.src) FROM hop c JOIN lvl l ON l.id = c.src WHERE c.dst = b.id AND l.depth = b.step - 1) FROM back b WHERE b.step > 0)
+  SELECT step::INT AS step, id FROM back"""
+
+
+@reg(_TRACE, "symbols edges calls", recursive=True)
 def shortest_path(spark, d):
-    """A shortest call path between the least caller and its furthest reach (checked in the tests)."""
-    e = cut(_calls(spark, d))
-    first = e.agg(F.min("src").alias("id"))
-    seen = G.reach(e, first, first.where("false"), 12)[1]
-    far = seen.agg(F.max(F.struct("depth", (-F.col("id")).alias("n"))).alias("m")).first()["m"]
-    return G.trace(e, first.first()["id"], -far["n"], 12)
+    """From the least caller over calls and methods to a symbol out of reach: the path to
+    the furthest one reached."""
+    e = cut(R.edges(spark, d).where("kind IN ('call', 'has_method')"))
+    first = _calls(spark, d).agg(F.min("src")).first()[0]
+    return G.trace(e, first, -1, 12, furthest=True)
 
 
 SCC = """sub AS (SELECT DISTINCT src, dst FROM edges WHERE kind IN ('call', 'import', 'association')), path(a, b) AS (SELECT src, dst FROM sub UNION SELECT p.a, s.dst FROM path p JOIN sub s ON s.src = p.b)"""

@@ -11,7 +11,7 @@ from tracewell.operators import quality as Q
 from tracewell.operators import rank as K
 from tracewell.operators.changes import epoch_us
 from tracewell.plans.registry import Registry
-from tracewell.session import table
+from tracewell.session import cut, table
 from tracewell.sources import relations as R
 
 reg = Registry(R.CTES)
@@ -94,18 +94,42 @@ def reranked_candidates(spark, d):
     return best.select("p_brand", "p_partkey", F.round("score", 6).alias("score"), F.row_number().over(Window.orderBy("tier", F.desc("score"), "p_partkey")).alias("rank"))
 
 
+TASK = ["harbor", "session", "ledger"]
+
+
+def _targets(spark, d):
+    """Files of a task by name (3), symbols (2.5), content (1.5) and graph (1): the files of
+    its symbols' callers and callees and those their files import or are imported by."""
+    from tracewell.operators import graph as G
+    from tracewell.operators.cascade import by_symbol
+
+    f, s, e = R.files(spark, d, "id", "head"), R.symbols(spark, d), cut(R.edges(spark, d))
+    names = cut(K.filename_scores(f, "path", TASK).select("path", "score"))
+    hits = cut(by_symbol(s, TASK).select("id", "file", "share"))
+    symbols = hits.groupBy(F.col("file").alias("path")).agg(F.sum("share").alias("score"))
+    body = cut(K.bm25(f, "path", "head", TASK))
+    near = G.neighbor_files(e, s, hits.select("id", F.col("id").alias("rank"))).select("path")
+    ends = e.where("kind = 'import'").join(s.select(F.col("id").alias("src"), F.col("file").alias("a")), "src").join(s.select(F.col("id").alias("dst"), F.col("file").alias("b")), "dst").select("a", "b").distinct()
+    seeds = hits.select(F.col("file").alias("a")).distinct()
+    side = ends.join(seeds, "a", "left_semi").select(F.col("b").alias("path")).unionByName(ends.join(seeds.withColumnRenamed("a", "b"), "b", "left_semi").select(F.col("a").alias("path")))
+    graph = cut(near.unionByName(side).groupBy("path").agg(F.count("*").cast("double").alias("score")))
+    fused = K.rrf([(K.top(names, "score", "path", 200), 3.0), (K.top(symbols, "score", "path", 200), 2.5), (K.top(body, "score", "path", 200), 1.5), (K.top(graph, "score", "path", 200), 1.0)], "path")
+    flag = lambda df, c: df.select("path", F.lit(1).alias(c))
+    every = fused.join(flag(names, "n"), "path", "left").join(flag(symbols, "s"), "path", "left").join(flag(body, "b"), "path", "left").join(flag(graph, "graph"), "path", "left").na.fill(0, ["n", "s", "b", "graph"])
+    exact = F.col("path").rlike(r"(?:^|/)(?:" + "|".join(TASK) + r")\.[a-z]+$")
+    return every.select("path", "score", exact.alias("exact"), (F.col("n") + F.col("s") + F.col("b")).alias("lexical"), "graph")
+
+
 @reg()
 def targets_tiers(spark, d):
-    """Files tiered for a task from filename, path and content evidence (brute force in the tests)."""
-    f = R.files(spark, d, "id", "head")
-    kw = ["harbor", "session", "ledger"]
-    names = K.filename_scores(f, "path", kw).select("path", "score", F.lit(1).alias("lexical"))
-    body = K.bm25(f, "path", "head", kw)
-    lists = [(K.top(names, "score", "path", 200), 3.0), (K.top(body, "score", "path", 200), 1.5)]
-    fused = K.rrf(lists, "path")
-    both = fused.join(names.select("path", F.lit(1).alias("a")), "path", "left").join(body.select("path", F.lit(1).alias("b")), "path", "left")
-    cands = both.select("path", "score", F.col("path").rlike(r"(?:^|/)(?:harbor|session|ledger)\.[a-z]+$").alias("exact"), (F.coalesce("a", F.lit(0)) + F.coalesce("b", F.lit(0))).alias("lexical"))
-    return K.tiered(cands.withColumn("graph", F.lit(0)), 20).select("path", "tier", "position", F.round("score", 9).alias("score"))
+    """Files tiered for a task from names, symbols, content and graph (tiers by brute force in the tests)."""
+    return K.tiered(_targets(spark, d), 40).select("path", "tier", "position", F.round("score", 9).alias("score"))
+
+
+@reg()
+def targets_precise(spark, d):
+    """The same without what falls off after the best, and no further than P1."""
+    return K.precise(K.tiered(_targets(spark, d), 40), "P1").select("path", "tier", "position", F.round("score", 9).alias("score"))
 
 
 @reg("SELECT t.file AS path, count(*) AS fan_in FROM edges e JOIN symbols t ON t.id = e.dst WHERE e.kind = 'call' GROUP BY t.file", "symbols edges")

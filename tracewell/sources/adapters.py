@@ -88,9 +88,9 @@ def read_lines(spark: SparkSession, path: str, shape: str) -> DataFrame:
     stem = F.regexp_replace(F.substring_index("unit", "/", -1), r"\.jsonl$", "")
     turns = rows.where("_keep AND NOT _head AND text <> ''").join(heads, "unit", "left")
     turns = turns.withColumn("session", F.coalesce("session", F.col("h.session"), stem)).withColumn("cwd", F.coalesce("cwd", F.col("h.cwd"))).drop("h")
-    timed = instants.with_readings(turns, "_time", F.lit("UTC"), F.lit("dmy"), 1000.0, "_r").withColumn("_ms", F.get("_r", F.lit(0))["ms"])
+    timed = instants.with_readings(turns, "_time", F.lit("UTC"), F.lit("dmy"), 1000.0, "_readings").withColumn("_ms", F.get("_readings", F.lit(0))["ms"])
     source = F.when(F.col("_ms").isNull(), "mtime").when(F.col("_time").rlike(r"^\d+$"), "unixms").otherwise("iso")
-    placed = numbered(timed.drop("_r"), ["session", "unit"], ["_block", "_line"], "seq")
+    placed = numbered(timed.drop("_readings"), ["session", "unit"], ["_block", "_line"], "seq")
     return placed.select("unit", F.lit(shape).alias("shape"), "session", (F.col("seq") - 1).alias("seq"), "role", F.coalesce("_ms", "_mtime").alias("ts"), source.alias("ts_source"), "cwd", "text")
 
 

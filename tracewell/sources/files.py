@@ -94,7 +94,7 @@ def unpack(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/data")
 
 
-def git_log(spark: SparkSession, path: str) -> DataFrame:
+def git_log(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``oid, parents, author, committed_at, message, files`` from a dump of
     ``git log -z --name-status --format='%x01%H%x02%P%x02%an%x02%cI%x02%B%x02'``.
 
@@ -110,3 +110,51 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
         F.get(p, F.lit(0)).alias("oid"), F.filter(F.split(F.get(p, F.lit(1)), " "), lambda s: s != "").alias("parents"), F.get(p, F.lit(2)).alias("author"),
         F.try_to_timestamp(F.get(p, F.lit(3))).alias("committed_at"), F.trim(F.get(p, F.lit(4))).alias("message"), files.alias("files"),
     )
+
+
+def blob_sizes(spark: SparkSession, path: str) -> DataFrame:
+    """``oid, size`` from a dump of ``git cat-file --batch-check``; missing objects and other kinds are left out."""
+    p = F.split("value", " ")
+    rows = spark.read.text(path).where((F.size(p) == 3) & (F.get(p, F.lit(1)) == "blob"))
+    return rows.select(F.get(p, F.lit(0)).alias("oid"), F.get(p, F.lit(2)).try_cast("long").alias("size")).where("size IS NOT NULL")
+
+
+def diff_hunks(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``oid, path, n, old_start, old_lines, new_start, new_lines`` from a dump of
+    ``git log -p --format='%x01%H%x02'``; a deleted file keeps its old path."""
+    rows = spark.read.option("lineSep", "\x01").text(path).where(F.length("value") > 0)
+    oid, patch = F.substring_index("value", "\x02", 1), F.regexp_replace("value", r"(?s)^.*?\x02", "")
+    parts = rows.select(oid.alias("oid"), F.explode(F.filter(F.split(patch, r"(?m)^diff --git "), lambda s: s.contains("@@ -"))).alias("_d"))
+    new, old = F.regexp_extract("_d", r"(?m)^\+\+\+ b/(.*)$", 1), F.regexp_extract("_d", r"(?m)^--- a/(.*)$", 1)
+    head = r"(?m)^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
+    group = lambda k: F.regexp_extract_all("_d", F.lit(head), k)
+    hunks = parts.select("oid", F.when(new != "", new).otherwise(old).alias("path"), F.posexplode(F.arrays_zip(group(1).alias("a"), group(2).alias("b"), group(3).alias("c"), group(4).alias("d"))).alias("n", "h"))
+    count = lambda c: F.when(c == "", 1).otherwise(c.try_cast("int"))
+    return hunks.select("oid", "path", "n", F.col("h.a").cast("int").alias("old_start"), count(F.col("h.b")).alias("old_lines"), F.col("h.c").cast("int").alias("new_start"), count(F.col("h.d")).alias("new_lines"))
+
+
+def ingest_history(spark: SparkSession, dump: str, patches: str, sizes: str, state: str, sink: str) -> int:
+    """Commits, then blob sizes and hunks of a growing dump folder into tables at ``sink``.
+
+    The dump's files are the log's partitions: each tick plans the files that are new,
+    appends their commits and changes (phase A) and hunks (phase C) and commits the plan;
+    sizes (phase B) are a snapshot, replaced by every tick that brings commits.  Returns
+    the number of commits taken in; a tick that died is replayed and overwrites its own rows.
+    """
+    from tracewell.streaming.feed import ChangeFeed
+
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(dump).select(F.col("path").alias("part"), F.col("length").alias("offset"))
+    feed, taken = ChangeFeed(spark, state), 0
+
+    def apply(batch: DataFrame, number: int) -> None:
+        nonlocal taken
+        names = sorted(r["part"] for r in batch.collect())  # the files of one tick
+        log = git_log(spark, names).dropDuplicates(["oid"])
+        log.write.mode("overwrite").parquet(f"{sink}/commits/batch={number}")
+        hunks = [p for p in (n.replace(dump.removeprefix("file://"), patches.removeprefix("file://")) for n in names)]
+        diff_hunks(spark, hunks).write.mode("overwrite").parquet(f"{sink}/hunks/batch={number}")
+        blob_sizes(spark, sizes).write.mode("overwrite").parquet(f"{sink}/sizes")
+        taken += spark.read.parquet(f"{sink}/commits/batch={number}").count()
+
+    feed.run(listed, apply)
+    return taken

@@ -69,6 +69,12 @@ def test_descendants_through_circles(spark, seed):
     assert ("r2", "h1", 6) in want and ("self", "leaf", 1) in want
 
 
+def test_a_hot_parent_is_met_in_pieces(spark):
+    rows = [("top", None), *[(f"k{i}", "top") for i in range(200)], *[(f"g{i}", f"k{i % 3}") for i in range(60)], ("deep", "g7")]
+    got = {r["id"]: (r["root_id"], r["depth"], tuple(r["path"])) for r in hierarchy.hierarchy(spark.createDataFrame(rows, "id string, parent string"), "id", "parent").collect()}
+    assert len(got) == len(rows) and got["k150"] == ("top", 1, ("top", "k150")) and got["g7"] == ("top", 2, ("top", "k1", "g7")) and got["deep"] == ("top", 3, ("top", "k1", "g7", "deep"))
+
+
 def test_hierarchy_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, parent string")
     assert hierarchy.hierarchy(empty, "id", "parent").collect() == []

@@ -7,24 +7,29 @@ import unicodedata
 from dataclasses import dataclass, field
 
 #: English words a task does not search for.
-STOPWORDS = (
-    "the a an and to of in on for with is are it its this that these those be was were or as so we our my your into from when then than them they "
-    "there all any can will should must not but without how what why fix add implement support make create update remove change refactor improve ensure "
-    "allow use need want please new also file files code feature bug task issue explain describe where lives live located locate happens happen walk "
-    "through repository repo codebase checked does question simple which who whose about between tell show give"
-).split()
+STOPWORDS = [
+    "the", "and", "for", "with", "that", "this", "its", "it", "a", "an", "to", "in", "of", "on", "at", "by", "is", "are", "be", "was", "were", "or",
+    "as", "so", "we", "our", "my", "your", "into", "from", "when", "then", "than", "them", "they", "there", "all", "any", "can", "will", "should",
+    "must", "not", "but", "without", "how", "what", "why", "fix", "add", "implement", "support", "make", "create", "update", "remove", "change",
+    "refactor", "improve", "ensure", "allow", "use", "need", "want", "please", "new", "also", "file", "files", "code", "feature", "bug", "task",
+    "issue", "explain", "describe", "where", "lives", "live", "located", "locate", "happens", "happen", "walk", "through", "repository", "repo",
+    "codebase", "checked", "does", "question", "simple", "which", "who", "whose", "about", "between", "tell", "show", "give",
+]
 #: French function words, dropped from French tasks only.
-FRENCH_STOPWORDS = (
-    "le la les un une des du de et ou ne pas que qui dans pour sur avec sans ce cette ces son sa ses mon ma mes ton ta tes notre nos votre vos leur leurs "
-    "il elle ils elles nous vous je tu se lui en y tout tous toute toutes rien personne chaque quelque tres plus moins aussi comme si alors donc mais car "
-    "parce est sont etre ete avoir ont faire fait peut doit faut comment pourquoi quand quel quelle quels quelles dont ca cela meme bien encore deja "
-    "jamais toujours ici ensuite puis quoi"
-).split()
+FRENCH_STOPWORDS = [
+    "le", "la", "les", "un", "une", "des", "du", "de", "et", "ou", "ne", "pas", "que", "qui", "dans", "pour", "sur", "avec", "sans", "ce", "cette",
+    "ces", "son", "sa", "ses", "mon", "ma", "mes", "ton", "ta", "tes", "notre", "nos", "votre", "vos", "leur", "leurs", "il", "elle", "ils", "elles",
+    "nous", "vous", "je", "tu", "se", "lui", "en", "y", "tout", "tous", "toute", "toutes", "rien", "personne", "chaque", "quelque", "tres", "plus",
+    "moins", "aussi", "comme", "si", "alors", "donc", "mais", "car", "parce", "est", "sont", "etre", "ete", "avoir", "ont", "faire", "fait", "peut",
+    "doit", "faut", "comment", "pourquoi", "quand", "quel", "quelle", "quels", "quelles", "dont", "ca", "cela", "meme", "bien", "encore", "deja",
+    "jamais", "toujours", "ici", "ensuite", "puis", "quoi",
+]
 #: French words no English task uses; two distinct ones make a task French.
-FRENCH_MARKERS = (
-    "le les une des du et pas que qui dans pour sur avec cette ces est sont nous vous je ils elles mais donc pourquoi quand quelle quels quelles dont cela "
-    "deja toujours jamais peut doit faut etre avoir ne au aux"
-).split()
+FRENCH_MARKERS = [
+    "le", "les", "une", "des", "du", "et", "pas", "que", "qui", "dans", "pour", "sur", "avec", "cette", "ces", "est", "sont", "nous", "vous", "je",
+    "ils", "elles", "mais", "donc", "pourquoi", "quand", "quelle", "quels", "quelles", "dont", "cela", "deja", "toujours", "jamais", "peut", "doit",
+    "faut", "etre", "avoir", "ne", "au", "aux",
+]
 MAX_KEYWORDS, MIN_LENGTH = 12, 3
 SOURCE_EXT = {"rs", "py", "rb", "js", "ts", "tsx", "jsx", "go", "java", "kt", "c", "h", "cpp", "hpp", "md", "json", "yaml", "yml", "toml", "html", "css", "sh", "sql"}
 

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.orphans import heavy_keys
 from tracewell.session import cut, drop
 
 LEVELS = 6  # levels joined per job
@@ -37,12 +38,21 @@ def hierarchy(nodes: DataFrame, key: str, parent: str, paths: bool = True) -> Da
         start = start.withColumn("path", F.array("id"))
     frontier = cut(start)
     reached = [frontier]
+    # a parent of more than 1/64 of all children (fewer than 64 of them) is met in pieces:
+    # its children carry a salt, and its row is repeated for each
+    hot = heavy_keys(left, "parent")
+    pieces = max(1, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     while True:
         # a row follows one way down, level by level; every node on it is found
         at = frontier.withColumnRenamed("id", "c0")
         for k in range(1, LEVELS + 1):
-            step = left.select(F.col("id").alias(f"c{k}"), F.col("parent").alias("_p"))
-            at = at.join(step, F.col(f"c{k - 1}") == F.col("_p"), "left").drop("_p")
+            step, match = left.select(F.col("id").alias(f"c{k}"), F.col("parent").alias("_p")), F.col(f"c{k - 1}") == F.col("_p")
+            if hot:
+                salts = F.when(F.col(f"c{k - 1}").isin(hot), F.sequence(F.lit(0), F.lit(pieces - 1))).otherwise(F.array(F.lit(0)))
+                at = at.withColumn("_s", F.explode(salts))
+                step = step.withColumn("_t", F.when(F.col("_p").isin(hot), F.pmod(F.xxhash64(f"c{k}"), F.lit(pieces))).otherwise(0).cast("int"))
+                match = match & (F.col("_s") == F.col("_t"))
+            at = at.join(step, match, "left").drop("_p", "_s", "_t")
         hop = [F.struct(F.col(f"c{k}").alias("id"), (F.col("depth") + k).alias("depth"), F.lit(k == LEVELS).alias("edge"), *([F.concat("path", F.array(*[f"c{i}" for i in range(1, k + 1)])).alias("path")] if paths else [])) for k in range(1, LEVELS + 1)]
         ways = at.select("root_id", F.explode(F.filter(F.array(*hop), lambda h: h["id"].isNotNull())).alias("h"))
         # the same expressions in every batch: compiled once, whatever the depth

@@ -108,15 +108,3 @@ class OrphanReplay:
 def leaf(name: Column) -> Column:
     """What follows the last ``::``, ``#`` or ``.`` of a name."""
     return F.regexp_replace(name, r"(?s)^.*(?:::|#|\.)", "")
-
-
-def matched(refs: DataFrame, index: DataFrame, key: str) -> DataFrame:
-    """Rows of ``refs`` whose ``key`` is in ``index``; null keys match nothing."""
-    heavy = heavy_keys(refs, key)
-    index = index.select(key).where(F.col(key).isNotNull()).distinct()
-    if not heavy:
-        return refs.join(index, key, "left_semi")
-    there = [r[0] for r in index.where(F.col(key).isin(heavy)).collect()]
-    is_heavy = F.coalesce(F.col(key).isin(heavy), F.lit(False))
-    light = refs.where(~is_heavy).join(index, key, "left_semi")
-    return light.unionByName(refs.where(F.col(key).isin(there)).select(*light.columns)) if there else light

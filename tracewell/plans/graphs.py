@@ -113,12 +113,6 @@ def label_clusters(spark, d):
     return G.clusters(e, G.label_propagation(e), R.symbols(spark, d))
 
 
-@reg()
-def label_clusters_in_place(spark, d):
-    """Labels updated in place in id order (small graphs; brute force in the tests)."""
-    return G.label_propagation_in_place(_calls(spark, d))
-
-
 def _ilike(c, patterns):
     return " OR ".join(f"{c} ILIKE '{p}'" for p in patterns)
 

@@ -195,3 +195,29 @@ def test_history_is_taken_in_by_ticks(spark, tmp_path):
     hunks = [(r["oid"], r["path"], r["n"], r["old_start"], r["old_lines"], r["new_start"], r["new_lines"]) for r in spark.read.parquet(f"{where[-1]}/hunks").where("oid = 'a2'").collect()]
     assert sorted(hunks) == [("a2", "x.py", 0, 1, 2, 1, 3), ("a2", "x.py", 1, 9, 1, 10, 0), ("a2", "z", 0, 1, 1, 0, 0)]
     assert [tuple(r) for r in spark.read.parquet(f"{where[-1]}/sizes").collect()] == [("b1", 12)]
+
+
+def test_a_cursor_outlives_its_reader(spark, tmp_path):
+    from tracewell.streaming import events as V
+
+    rows = spark.createDataFrame([(i,) for i in (5, 1, 3, 9, 7)], "id long")
+    cursor = V.Cursor(spark, f"file://{tmp_path}/c", 2)
+    first = [r["id"] for r in cursor.page(rows, "id", 2).collect()]
+    assert first == [3, 5]
+    assert [r["id"] for r in V.Cursor(spark, f"file://{tmp_path}/c", 2).page(rows, "id", 2).collect()] == [3, 5]  # not moved: read again
+    cursor.advance(5)
+    cursor.advance(4)  # never back
+    cursor.advance(None)
+    again = V.Cursor(spark, f"file://{tmp_path}/c", 2)
+    assert again.value() == 5 and sorted(r["id"] for r in again.page(rows, "id").collect()) == [7, 9]
+
+
+def test_overflow_gives_way_to_a_rescan(spark):
+    from tracewell.streaming import events as V
+
+    whole = spark.createDataFrame([("a", 9, "x"), ("b", 1, "y"), ("c", 5, "z")], "path string, at int, v string")
+    tick = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("b", 1, "y")], "path string, at int, v string")
+    last, full = V.reconciled(tick, "path", "at", lambda: whole, cap=2)
+    assert not full and {(r["path"], r["v"]) for r in last.collect()} == {("a", "new"), ("b", "y")}
+    last, full = V.reconciled(tick, "path", "at", lambda: whole, cap=1)
+    assert full and {(r["path"], r["v"]) for r in last.collect()} == {("a", "x"), ("b", "y"), ("c", "z")}

@@ -140,3 +140,14 @@ def test_segments_append_and_merge(spark, tmp_path):
     assert index.merge(10) == 3 and index.merge(10) == 0
     assert len(held()) == len(set(held())) and set(held()) == want
     assert not S.overlay_full(df(rows), df([])) and S.overlay_full(df(rows), df([]), files=39) and S.overlay_full(df([]), df(rows), dead=39)
+
+
+def test_lookups_in_a_small_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "abcd"), (2, "bcde"), (3, None), (4, "")], "id long, body string")
+    S.write_index(docs, "id", "body", f"file://{tmp_path}/i")
+    find = lambda *g: {r["gram"]: r["docs"] for r in S.read_postings(spark, f"file://{tmp_path}/i", list(g)).collect()}
+    assert find("bcd", "zzz") == {"bcd": [1, 2]} and find("zzz") == {} and find() == {}
+    long = "|".join(f"x{i:03d}yz" for i in range(80)) + "|abcd"  # more grams than a long has bits
+    assert len(S.plan_pattern(long).grams()) > S.MASK
+    got = S.search(docs, "id", "body", long, f"file://{tmp_path}/i").collect()
+    assert [(r["id"], r["line"]) for r in got] == [(1, 1)]

@@ -97,6 +97,8 @@ def postings(docs: DataFrame, key: str, text: str, extract=grams) -> DataFrame:
 
 
 BUCKETS = 64
+MASK = 62  # grams a long holds a bit for
+INDEX = "gram string, block long, docs array<long>, bucket int"
 
 
 def bucket_of(gram: str, buckets: int = BUCKETS) -> int:
@@ -113,7 +115,12 @@ def write_index(docs: DataFrame, key: str, text: str, path: str, buckets: int =
 
 def read_postings(spark, path: str, wanted: list[str], buckets: int = BUCKETS) -> DataFrame:
     """The postings of the given grams; partition and row-group pruning do the rest."""
-    return spark.read.parquet(path).where(F.col("bucket").isin(sorted({bucket_of(g, buckets) for g in wanted})) & F.col("gram").isin(wanted))
+    # only the folders that can hold them are even listed
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = [b for b in sorted({bucket_of(g, buckets) for g in wanted}) if fs.exists(root.suffix(f"/bucket={b}"))]
+    read = spark.read.schema(INDEX).option("basePath", path)
+    return read.parquet(*[f"{path}/bucket={b}" for b in there]).where(F.col("gram").isin(wanted)) if there else read.parquet(path).where("false")
 
 
 def candidate_count(post: DataFrame, wanted: list[str]) -> int | None:
@@ -297,9 +304,17 @@ def candidates(post: DataFrame, plan: Plan) -> DataFrame | None:
     wanted = plan.grams()
     if not wanted:
         return None
-    hit = post.where(F.col("gram").isin(wanted)).select("gram", F.explode("docs").alias("doc"))
-    flags = hit.groupBy("doc").agg(*[F.max(F.when(F.col("gram") == g, True).otherwise(False)).alias(f"g{i}") for i, g in enumerate(wanted)])
-    return flags.where(plan.holds(lambda g: F.col(f"g{wanted.index(g)}"))).select("doc")
+    # a bit per gram, looked up once a posting row; MASK bits a column
+    cols = range(-(-len(wanted) // MASK))
+    bits = [F.create_map(*[x for i, g in enumerate(wanted[c * MASK : (c + 1) * MASK]) for x in (F.lit(g), F.lit(1 << i).cast("long"))]) for c in cols]
+    hit = post.where(F.col("gram").isin(wanted)).select(F.explode("docs").alias("doc"), *[F.coalesce(F.try_element_at(m, F.col("gram")), F.lit(0).cast("long")).alias(f"m{c}") for c, m in enumerate(bits)])
+    flags = hit.groupBy("doc").agg(*[F.bit_or(f"m{c}").alias(f"m{c}") for c in cols])
+
+    def has(gram: str) -> Column:
+        i = wanted.index(gram)
+        return F.col(f"m{i // MASK}").bitwiseAND(F.lit(1 << i % MASK).cast("long")) != 0
+
+    return flags.where(plan.holds(has)).select("doc")
 
 
 # -- search -----------------------------------------------------------------------------

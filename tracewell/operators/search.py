@@ -28,13 +28,19 @@ EXACT_CAP, CLASS_CAP = 64, 4  # alternatives kept while planning, characters of
 
 
 def windows(text: Column, n: int) -> Column:
-    """Every n-character window, in order; linear in the text (positions in a UTF-8
-    string are not, so the characters become an array first)."""
+    """Every n-character window, in order; linear in the text.
+
+    A look-ahead matches at every place, which is compiled; it would also match between
+    the halves of a character beyond the basic plane, so texts that hold one are cut
+    into an array of characters first (positions in a UTF-8 string are not constant time).
+    """
     c = F.split(text, "")
     out = c
     for k in range(1, n):
         out = F.zip_with(out, F.slice(c, k + 1, F.length(text)), lambda a, b: F.concat(a, b))
-    return F.filter(out, lambda g: g.isNotNull())
+    by_character = F.filter(out, lambda g: g.isNotNull())
+    wide = text.rlike(r"[\x{10000}-\x{10FFFF}]")
+    return F.when(wide, by_character).otherwise(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
 
 
 def grams(text: Column, n: int = GRAM) -> Column:

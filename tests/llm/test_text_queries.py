@@ -45,3 +45,21 @@ def test_pack_and_fill_agree(spark):
 def test_clock_errors_are_undone(spark):
     rows = [r for r in queries.p6_realigned(spark, DATA).collect()]
     assert all(r["restored"] for r in rows)
+
+
+def test_reply_links_change_nothing_where_times_stand(spark, tmp_path):
+    """p6_found against its SQL on messages that all declare to answer their session's last one."""
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    for t in ["oc_message", "oc_part", "oc_session", "agent_clocks"]:
+        p = Path(DATA, f"{t}.parquet")
+        linked = r"""* REPLACE (regexp_replace(data, '^\s*\{\s*"', '{"parentID":"' || max_by(id, time_created) OVER (PARTITION BY session_id) || '","') AS data)"""
+        c.execute(f"COPY (SELECT {linked if t == 'oc_message' else '*'} FROM '{p}') TO '{tmp_path}/{t}.parquet'")
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    assert c.execute("SELECT count(*) > 100 FROM oc_message WHERE data LIKE '%parentID%' AND json_valid(data)").fetchone()[0]
+    df = queries.p6_found(spark, str(tmp_path))
+    got = verify.rows(df.columns, [tuple(r) for r in df.collect()])
+    q = c.execute(queries.ORACLES["p6_found"])
+    assert got[1] and got == verify.rows([x[0] for x in q.description], q.fetchall())
+    # where clocks are aligned the same links do count
+    assert queries.conversation_turns(spark, str(tmp_path), texts=False).count() < len(got[1])

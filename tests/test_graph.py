@@ -5,6 +5,7 @@ import pytest
 
 from tracewell.operators import graph as G
 from tracewell.operators import joins as J
+from tracewell.session import cut
 
 
 def edges(spark, pairs, tier="exact"):
@@ -113,6 +114,34 @@ def test_layers_condense_cycles(spark):
     assert got == {1: 2, 2: 2, 3: 1, 4: 0, 9: 0}
 
 
+def test_layers_of_a_long_way_take_few_tables(spark, monkeypatch):
+    """As many layers as nodes, above a ring as long: no table may be written for each."""
+    made = []
+
+    def few(df):
+        made.append(df)
+        assert len(made) < 10
+        return cut(df)
+
+    monkeypatch.setattr(G, "cut", few)
+    pairs = [*((i, i + 1) for i in range(300, 600)), *((i, i % 100 + 1) for i in range(1, 101)), (40, 300), *((i, i + 1) for i in range(1000, 1200)), (1200, 7)]
+    got = {r["id"]: r["layer"] for r in G.layers(edges(spark, pairs)).collect()}
+    assert got == {i: 600 - i for i in range(300, 601)} | {i: 301 for i in range(1, 101)} | {i: 1502 - i for i in range(1000, 1201)}
+
+
+@pytest.mark.parametrize("most_edges", [0, 8, 1000])
+def test_layers_of_graphs_beyond_a_task(spark, most_edges):
+    rng = random.Random(6)
+    pairs = [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 5), (4, 7), (6, 8), (8, 9), (10, 11), (11, 2), (11, 9), (12, 12), *((rng.randrange(8, 20), rng.randrange(14, 26)) for _ in range(14))]
+    far, out = reaches(pairs), defaultdict(set)
+    for a, b in pairs:
+        out[a].add(b)
+    layer = dict.fromkeys(far, 0)
+    for _ in far:
+        layer = {v: max((1 + layer[w] for u in {v, *(x for x in far[v] if v in far[x])} for w in out[u] if u not in far[w]), default=0) for v in far}
+    assert {r["id"]: r["layer"] for r in G.layers(edges(spark, pairs), most_edges).collect()} == layer
+
+
 def test_flows_dedup_equal_sets(spark):
     e = edges(spark, [(1, 2), (2, 3), (4, 2), (5, 6)])
     s = spark.createDataFrame([(i, f"n{i}", "src/a.rb") for i in range(1, 7)], "id long, name string, file string")

@@ -348,21 +348,112 @@ def merge_findings(*findings: DataFrame) -> DataFrame:
     return g.select("file", "line", "label", "m.severity", "m.fan_in")
 
 
-def layers(edges: DataFrame) -> DataFrame:
+def layers(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
     """``id, layer``: the longest path to a sink, over the graph with its strongly
-    connected components condensed; members of a component share a layer."""
-    comps = components(edges)
-    nodes = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
-    group = cut(nodes.join(comps, "id", "left").select("id", F.coalesce("component", "id").alias("g")))
-    dag = cut(edges.join(group.withColumnsRenamed({"id": "src", "g": "a"}), "src").join(group.withColumnsRenamed({"id": "dst", "g": "b"}), "dst").where("a <> b").select("a", "b").distinct())
-    layer = cut(group.select("g").distinct().withColumn("layer", F.lit(0)))
-    while True:
-        up = dag.join(layer, F.col("b") == F.col("g")).groupBy(F.col("a").alias("g")).agg((F.max("layer") + 1).alias("l2"))
-        nxt = cut(layer.join(up, "g", "left").select("g", F.greatest("layer", F.coalesce("l2", F.lit(0))).alias("layer"), (F.coalesce("l2", F.lit(0)) > F.col("layer")).alias("_m")))
-        moved = not nxt.where("_m").isEmpty()
-        layer = nxt.drop("_m")
-        if not moved:
-            return group.join(layer, "g").select("id", "layer")
+    connected components condensed; members of a component share a layer.
+
+    Up to ``most_edges`` edges are walked in one task.  Of a larger graph, what has no
+    way out or no way in is peeled off in joins until the rest is small enough; what
+    stays larger, all of it between cycles, is condensed in joins and peeled again.
+    """
+    pairs = cut(edges.select("src", "dst").distinct())
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("id")).distinct().withColumn("layer", F.lit(0))
+    return _layers(pairs.where("src <> dst"), nodes, most_edges)
+
+
+def _layers(left: DataFrame, open_: DataFrame, most_edges: int) -> DataFrame:
+    """The same of the nodes ``open_``, whose ``layer`` is what they have at least."""
+    settled, waiting, before, n = [], [], None, left.count()
+    while n > most_edges and n != before:
+        # no way out: what a node has at least is its layer, and those before it have one more
+        ends = cut(open_.join(left.select(F.col("src").alias("id")), "id", "left_anti"))
+        settled.append(ends)
+        above = left.join(ends.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg((F.max("layer") + 1).alias("l2"))
+        open_ = cut(open_.join(ends.select("id"), "id", "left_anti").join(above, "id", "left").select("id", F.greatest("layer", F.coalesce("l2", F.lit(0))).alias("layer")))
+        left = cut(left.join(ends.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"))
+        # no way in: nobody needs their layers, so they wait for all others
+        starts = cut(open_.join(left.select(F.col("dst").alias("id")), "id", "left_anti"))
+        first = starts.select(F.col("id").alias("src"))
+        waiting.append((starts, cut(left.join(first, "src", "left_semi"))))
+        open_, left = cut(open_.join(starts.select("id"), "id", "left_anti")), cut(left.join(first, "src", "left_anti"))
+        before, n = n, left.count()
+    if n <= most_edges:
+        core = left.select("src", "dst", F.lit(0).alias("layer")).unionByName(open_.select(F.col("id").alias("src"), F.col("id").alias("dst"), "layer"))
+        core = core.repartition(1).mapInPandas(_longest(), "id long, layer int")
+    else:
+        group = cut(open_.join(components(left), "id", "left").select("id", F.coalesce("component", "id").alias("g"), "layer"))
+        ends_of = group.select("id", "g")
+        dag = cut(left.join(ends_of.withColumnsRenamed({"id": "src", "g": "a"}), "src").join(ends_of.withColumnsRenamed({"id": "dst", "g": "b"}), "dst").where("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct())
+        least = cut(group.groupBy(F.col("g").alias("id")).agg(F.max("layer").alias("layer")))
+        core = ends_of.join(_layers(dag, least, most_edges).withColumnRenamed("id", "g"), "g").select("id", "layer")
+    if not settled:
+        return core
+    known = reduce(DataFrame.unionByName, settled, cut(core))
+    for starts, on in reversed(waiting):
+        below = on.join(known.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg((F.max("layer") + 1).alias("l2"))
+        known = known.unionByName(cut(starts.join(below, "id", "left").select("id", F.greatest("layer", F.coalesce("l2", F.lit(0))).alias("layer"))))
+    return known
+
+
+def _longest():
+    """A task's function: ``id, layer`` of edges (src, dst) and nodes (src = dst, with
+    their least layer) by Tarjan's walk, which leaves a component after all those it
+    leads to."""
+
+    def walk(parts):
+        from array import array
+
+        import numpy as np
+        import pandas as pd
+
+        src, dst, least = (np.concatenate(c) for c in zip((np.zeros(0, "int64"),) * 3, *((p["src"].to_numpy(), p["dst"].to_numpy(), p["layer"].to_numpy()) for p in parts)))
+        ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        a, b = at[: len(src)], at[len(src) :]
+        base = np.zeros(len(ids), "int64")
+        np.maximum.at(base, a, least)
+        a, b = a[a != b], b[a != b]
+        ints = lambda x: array("q", x.astype("int64").tobytes())
+        ends = np.cumsum(np.bincount(a, minlength=len(ids)))
+        out, to, end, layer = ints(b[np.argsort(a, kind="stable")]), ints(np.concatenate([[0], ends])), ints(ends), ints(base)
+        begin = to[:]
+        num, low = ints(np.zeros(len(ids))), ints(np.zeros(len(ids)))
+        over = len(ids) + 1  # the number of those that have been left
+        count, held = 0, []
+        for root in range(len(ids)):
+            way = [] if num[root] else [root]
+            while way:
+                v = way[-1]
+                if not num[v]:
+                    count += 1
+                    num[v] = low[v] = count
+                    held.append(v)
+                k = to[v]
+                if k < end[v]:
+                    to[v] = k + 1
+                    if not num[out[k]]:
+                        way.append(out[k])
+                    elif num[out[k]] < low[v]:
+                        low[v] = num[out[k]]
+                    continue
+                way.pop()
+                if way and low[v] < low[way[-1]]:
+                    low[way[-1]] = low[v]
+                if low[v] == num[v]:
+                    i = len(held) - 1
+                    while held[i] != v:
+                        i -= 1
+                    members, far = held[i:], 0
+                    del held[i:]
+                    for m in members:
+                        far = max(far, layer[m])
+                        for k in range(begin[m], end[m]):
+                            if num[out[k]] == over and layer[out[k]] >= far:
+                                far = layer[out[k]] + 1
+                    for m in members:
+                        num[m], layer[m] = over, far
+        yield pd.DataFrame({"id": ids, "layer": np.array(layer, dtype="int32")})
+
+    return walk
 
 
 def neighbor_files(edges: DataFrame, symbols: DataFrame, seeds: DataFrame) -> DataFrame:
